@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartzfolio.llm import fingerprints
+from quartzfolio.llm import fingerprints, quality_rules, url_filters
 from quartzfolio.llm.common import table
 
 
@@ -12,9 +12,46 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edited(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
+#: Hosts that the list blocks where no rule fits, with their subdomains.
+LISTED_HOSTS = ("free-bets.example.com", "casino-win.example.com", "cheap-pills.example.com", "ads-track.example.com", "spam-farm.example.com", "adult-x.example.net")
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES, LISTED_HOSTS)
+
+
+def values(rows: list[tuple[str, ...]]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
+
+
+OP3_SQL = f"""
+WITH rules(verdict, rule, rule_host, rule_path) AS (VALUES {values([(v, e, *url_filters.split_entry(e)) for v, e in URL_RULES])}),
+listed(listed_host) AS (VALUES {values([(h,) for h in LISTED_HOSTS])}),
+rest AS (SELECT page_id, coalesce(strpos(url, '://') > 0, false) AS has, substr(url, strpos(url, '://') + 3) AS r FROM pages),
+split AS (
+  SELECT page_id,
+    CASE WHEN has THEN translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN has THEN regexp_extract(r, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM rest)
+SELECT page_id, host, path, best.rule AS rule,
+  CASE WHEN best.rule IS NOT NULL THEN best.verdict
+    WHEN EXISTS (SELECT 1 FROM listed WHERE host = listed_host OR ends_with(host, '.' || listed_host)) THEN 'block' ELSE 'allow' END AS verdict
+FROM split LEFT JOIN LATERAL (
+  SELECT rule, verdict FROM rules
+  WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  ORDER BY length(rule) DESC LIMIT 1) AS best ON true
+"""
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_url_filters": op3_url_filters,
 }
 
 #: Queries that SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL}
