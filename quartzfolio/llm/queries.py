@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartzfolio.llm import fingerprints, quality_rules, url_filters
+from quartzfolio.llm import fingerprints, language_id, quality_rules, url_filters
 from quartzfolio.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES, LISTED_HOSTS)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.learn(docs))
+
+
 def values(rows: list[tuple[str, ...]]) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
 
@@ -51,6 +56,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality_rules": op2_quality_rules,
     "op3_url_filters": op3_url_filters,
+    "op4_language_id": op4_language_id,
 }
 
 #: Queries that SQL can express; the others are tested against brute force.
