@@ -58,3 +58,18 @@ def odd_multipliers(n: int, seed: int) -> np.ndarray:
 
 def code_points(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-32-le"), dtype="<u4")
+
+
+def ngram_features(text: str, bits: int, orders: tuple[int, ...]) -> np.ndarray:
+    """Hashed character n-gram counts of a whole text under a root, at unit
+    length; ``orders`` are 1, 2, ... in turn."""
+    c = code_points(text).astype(np.uint64)
+    total = np.zeros(1 << bits, np.float32)
+    h = np.zeros(len(c), np.uint64)
+    for n in orders:
+        if len(c) < n:
+            break
+        h = (h[: len(c) - n + 1] + c[n - 1 :] + np.uint64(n)) * MIX_1
+        total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    total = np.sqrt(total)
+    return total / max(float(np.linalg.norm(total)), 1e-9)

@@ -14,7 +14,7 @@ to the first name. Equal texts have equal results. Further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzfolio.llm.common import MIX_1, code_points
+from quartzfolio.llm.common import ngram_features
 
-DIMENSIONS = 1 << 14
-SHIFT = np.uint64(64 - 14)
+BITS = 14
+DIMENSIONS = 1 << BITS
 ORDERS = (1, 2, 3)
 BATCH = 256
 FAMILIES = {
@@ -34,8 +34,6 @@ FAMILIES = {
     "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr", "sl"), "uralic": ("fi", "et", "hu"), "turkic": ("tr", "az", "kk"),
 }
 UNKNOWN = "und"
-OUT_DDL = "doc_id long, held_out boolean, lang_pred string, score double"
-OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
 def has_letter(text: str | None) -> bool:
@@ -44,16 +42,7 @@ def has_letter(text: str | None) -> bool:
 
 def features(text: str | None) -> np.ndarray:
     """Hashed n-gram counts of the whole text under a root, at unit length."""
-    c = code_points((text or "").lower()).astype(np.uint64)
-    total = np.zeros(DIMENSIONS, np.float32)
-    h = np.zeros(len(c), np.uint64)
-    for n in ORDERS:
-        if len(c) < n:
-            break
-        h = (h[: len(c) - n + 1] + c[n - 1 :] + np.uint64(n)) * MIX_1
-        total += np.bincount((h >> SHIFT).astype(np.int64), minlength=DIMENSIONS)
-    total = np.sqrt(total)
-    return total / max(float(np.linalg.norm(total)), 1e-9)
+    return ngram_features((text or "").lower(), BITS, ORDERS)
 
 
 def svm(x: np.ndarray, use: np.ndarray, y: np.ndarray, epochs: int, rate: float, seed: int) -> np.ndarray:
@@ -174,21 +163,27 @@ def learn(docs: DataFrame, per_language: int = 500, chars: int = 4_000_000, max_
     return train([t for t, _ in rows], [x for _, x in rows], families)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Language and score of every row; whole texts, no shuffle."""
+def predicted(docs: DataFrame, model: Model, text: str = "text") -> F.Column:
+    """Struct of lang_pred and score for the texts of a column of ``docs``."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # a few machines of fixed size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
-        for b in batches:
-            for at in range(0, b.num_rows, BATCH):
-                part = b.slice(at, BATCH)
-                texts = part.column("text").to_pylist()
-                langs, scores = m.predict(np.stack([features(t) for t in texts]))
-                known = [has_letter(t) for t in texts]
-                yield pa.record_batch([
-                    part.column("doc_id"), part.column("held_out"), pa.array([x if k else UNKNOWN for x, k in zip(langs, known, strict=True)], pa.string()),
-                    pa.array([s if k else 0.0 for s, k in zip(scores, known, strict=True)], pa.float64()),
-                ], schema=OUT)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, OUT_DDL)
+    @F.arrow_udf("lang_pred string, score double")
+    def run(column: pa.Array) -> pa.Array:
+        langs: list[str] = []
+        scores: list[float] = []
+        for at in range(0, len(column), BATCH):
+            texts = column.slice(at, BATCH).to_pylist()
+            got = shipped.value.predict(np.stack([features(t) for t in texts]))
+            for t, lang, score in zip(texts, *got, strict=True):
+                known = has_letter(t)
+                langs.append(lang if known else UNKNOWN)
+                scores.append(score if known else 0.0)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+    return run(F.col(text))
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """Language and score of every row; whole texts, no shuffle."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
+    return rows.withColumn("p", predicted(rows, model)).select("doc_id", "held_out", "p.lang_pred", "p.score")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartzfolio.llm import fingerprints, language_id, quality_rules, url_filters
+from quartzfolio.llm import fingerprints, language_id, quality_classifier, quality_rules, url_filters
 from quartzfolio.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.learn(docs))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.judge(table(spark, sf_dir, "documents"))
+
+
 def values(rows: list[tuple[str, ...]]) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_url_filters": op3_url_filters,
     "op4_language_id": op4_language_id,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 #: Queries that SQL can express; the others are tested against brute force.

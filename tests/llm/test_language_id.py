@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from quartzfolio.llm import language_id as li
-from quartzfolio.llm.common import table
+from quartzfolio.llm.common import MIX_1, table
 
 
 def test_features_are_the_counts():
@@ -15,8 +15,8 @@ def test_features_are_the_counts():
         for i in range(len(low) - n + 1):
             h = 0
             for j, c in enumerate(low[i : i + n], 1):
-                h = (h + ord(c) + j) * int(li.MIX_1) % 2**64
-            want[h >> int(li.SHIFT)] += 1
+                h = (h + ord(c) + j) * int(MIX_1) % 2**64
+            want[h >> (64 - li.BITS)] += 1
     want = np.sqrt(want)
     assert np.allclose(li.features(text), want / np.linalg.norm(want), atol=1e-6)
     assert not li.features("").any()
