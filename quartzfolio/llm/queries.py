@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quartzfolio.llm import fingerprints, language_id, quality_classifier, quality_rules, url_filters
+from quartzfolio.llm import fingerprints, language_id, pieces, quality_classifier, quality_rules, url_filters
 from quartzfolio.llm.common import table
 
 
@@ -30,6 +31,25 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.learn(docs))
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and whether they decode to it (the blank sign aside)."""
+    model = pieces.load(tokenizer("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = docs.withColumn("ids", pieces.encoded(docs, model))
+    back = ids.withColumn("back", pieces.decoded(ids, model))
+    return back.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
+        F.col("back").eqNullSafe(F.replace("text", F.lit("\u2581"), F.lit(" "))).alias("round_trip"),
+    )
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.judge(table(spark, sf_dir, "documents"))
 
@@ -61,6 +81,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_url_filters": op3_url_filters,
     "op4_language_id": op4_language_id,
+    "op6_pieces": op6_pieces,
     "op9_quality_classifier": op9_quality_classifier,
 }
 
