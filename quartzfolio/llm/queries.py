@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzfolio.llm import fingerprints, language_id, pieces, quality_classifier, quality_rules, url_filters
+from quartzfolio.llm import fingerprints, language_id, packing, pieces, quality_classifier, quality_rules, url_filters
 from quartzfolio.llm.common import table
 
 
@@ -38,6 +38,15 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def tokenizer_spec(name: str = "word_bpe_49k.json") -> str:
+    with open(tokenizer(name), encoding="utf-8") as f:
+        return f.read()
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_spec())
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and whether they decode to it (the blank sign aside)."""
     model = pieces.load(tokenizer("piece_bpe_32k.model"))
@@ -81,6 +90,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_url_filters": op3_url_filters,
     "op4_language_id": op4_language_id,
+    "op5_packing": op5_packing,
     "op6_pieces": op6_pieces,
     "op9_quality_classifier": op9_quality_classifier,
 }
