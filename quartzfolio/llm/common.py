@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX_1 = np.uint64(0xFF51AFD7ED558CCD)
 MIX_2 = np.uint64(0xC4CEB9FE1A85EC53)
@@ -41,6 +44,37 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+KEPT_BY_WORKER: dict[str, tuple[str, object]] = {}
+
+
+def kept_by_worker(kind: str, key: str, make: Callable[[], T]) -> T:
+    """What ``make`` returns, made once in a Python worker for all its tasks;
+    another key replaces it."""
+    if KEPT_BY_WORKER.get(kind, ("", None))[0] != key:
+        KEPT_BY_WORKER[kind] = (key, make())
+    return KEPT_BY_WORKER[kind][1]
+
+
+class Remembered(dict):
+    """A dictionary that forgets: beyond ``most`` entries it starts anew, and
+    what is asked for again is taken over from the one before."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.before = most, {}
+
+    def missing(self, keys: set) -> set:
+        """Those of ``keys`` that are in neither; all the others are in this one
+        afterwards."""
+        if len(self) + len(keys) > self.most:
+            self.before = dict(self)
+            self.clear()
+        new = keys.difference(self)
+        again = new.intersection(self.before)
+        self.update((k, self.before[k]) for k in again)
+        return new - again
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser, element by element."""
     x = x ^ (x >> S33)

@@ -15,6 +15,7 @@ is full. Ids of empty tables: none. Further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -27,14 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quartzfolio.llm.common import materialize
+from quartzfolio.llm.common import Remembered, kept_by_worker, materialize
 
 WINDOW, END_ID = 4096, 2
 #: Whole windows get sequence ids from here, by the task that tokenised them.
 TASK_BITS = 36
 #: Up to so many offsets (24 bytes each) are broadcast; more are joined by a shuffle.
 MOST_OFFSETS = 1_000_000
-REMEMBERED, LONGEST_KEPT = 1_200_000, 40
+#: Words that a worker remembers, twice; longer words aren't kept.
+REMEMBERED, LONGEST_KEPT = 300_000, 40
 BATCH = 500
 
 #: Splits that a lower-casing word tokenizer makes, and the same over Latin-1
@@ -60,7 +62,7 @@ class TokenIds:
         split = (parts["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
         self.by_word = kinds == NORMALIZERS and split == SPLIT and parts["post_processor"] is None
         self.special = [t["content"] for t in parts["added_tokens"]]
-        self.known: dict[bytes, bytes] = {}
+        self.known: Remembered = Remembered(REMEMBERED)
 
     def words(self, text: str) -> list[bytes] | None:
         """Words of a text of common characters, else None."""
@@ -78,13 +80,8 @@ class TokenIds:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         split = [self.words(t) for t in texts]
-        new = set().union(*(w for w in split if w))
-        missing = new.difference(self.known)
-        if missing:
-            if len(self.known) + len(missing) > REMEMBERED:
-                self.known, missing = {}, new
-            listed = list(missing)
-            self.known.update(zip(listed, self.whole([w.decode("latin-1") for w in listed]), strict=True))
+        missing = list(self.known.missing(set().union(*(w for w in split if w))))
+        self.known.update(zip(missing, self.whole([w.decode("latin-1") for w in missing]), strict=True))
         get = self.known.__getitem__
         rest = iter(self.whole([t for t, w in zip(texts, split, strict=True) if w is None]))
         out = [next(rest) if w is None else b"".join(map(get, w)) for w in split]
@@ -99,11 +96,12 @@ def tokenize(docs: DataFrame, spec: str, window: int = WINDOW, end_id: int = END
     task: ``number`` among equal rests, ``windows_before`` of whole windows.
     ``spec`` is the tokenizer's JSON."""
     shipped = docs.sparkSession.sparkContext.broadcast(spec)  # a tokenizer file, of fixed size
+    digest = hashlib.sha256(spec.encode()).hexdigest()
     end = int(end_id).to_bytes(4, "little")
     schema = pa.schema([("task", pa.int64()), ("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("rest", pa.int64()), ("number", pa.int64()), ("windows_before", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = TokenIds(shipped.value), TaskContext.get().partitionId()
+        encoder, task = kept_by_worker("tokens", digest, lambda: TokenIds(shipped.value)), TaskContext.get().partitionId()
         seen, before = [0] * window, 0
         for b in batches:
             for at in range(0, b.num_rows, BATCH):

@@ -21,6 +21,7 @@ little-endian unsigned 32-bit integers in a binary column.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quartzfolio.llm.common import mix64
+from quartzfolio.llm.common import Remembered, kept_by_worker, mix64
 
 BLANK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C55)
@@ -37,8 +38,8 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 FILTER_BITS = 20
 NEVER = np.int64(2**62)
-#: Words that a worker remembers before it starts anew; longer words aren't kept.
-REMEMBERED, LONGEST_KEPT = 600_000, 40
+#: Words that a worker remembers, twice; longer words aren't kept.
+REMEMBERED, LONGEST_KEPT = 300_000, 40
 #: Rows of a matrix, and the size beyond which it is split.
 MOST_ROWS, MOST_CELLS = 20_000, 2_000_000
 
@@ -71,6 +72,7 @@ class Model:
     key_ids: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
+        self.digest = hashlib.sha256(repr((self.kind, self.pieces, self.scores.tolist())).encode()).hexdigest()
         self.usable = [i for i, t in enumerate(self.types.tolist()) if t in (NORMAL, USER)]
         symbols = {self.pieces[i]: i for i in self.usable}
         inner = sorted({ch for p in symbols for ch in p} - symbols.keys())
@@ -145,7 +147,7 @@ class Encoder:
 
     def __init__(self, model: Model) -> None:
         self.m = model
-        self.known: dict[str, bytes] = {}
+        self.known: Remembered = Remembered(REMEMBERED)
         self.near_keys = np.array([-1], np.int64)
         self.near_ok = np.array([False])
         names = {i: s for s, i in model.symbols.items()}
@@ -249,8 +251,6 @@ class Encoder:
         return out
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known = {}
         by_size: dict[int, list[str]] = {}
         for w in words:
             by_size.setdefault(len(w), []).append(w)
@@ -262,12 +262,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
         split = [self.m.words.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        new = set().union(*split)
-        missing = new.difference(self.known)
-        if missing:
-            if len(self.known) + len(missing) > REMEMBERED:
-                missing = new
-            self.learn(missing)
+        missing = self.known.missing(set().union(*split))
+        self.learn(missing)
         get = self.known.__getitem__
         out = [None if t is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
         for w in [w for w in missing if len(w) > LONGEST_KEPT]:
@@ -302,15 +298,12 @@ def decode(model: Model, ids: bytes | None) -> str | None:
 def encoded(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """Ids of the texts of a column of ``docs``, in a binary column."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # a vocabulary, of fixed size
-    mine: list[Encoder] = []
-
     @F.arrow_udf("binary")
     def run(column: pa.Array) -> pa.Array:
-        if not mine:
-            mine.append(Encoder(shipped.value))
+        model_encoder = kept_by_worker("pieces", shipped.value.digest, lambda: Encoder(shipped.value))
         out: list[bytes | None] = []
         for at in range(0, len(column), 2000):
-            out += mine[0].encode(column.slice(at, 2000).to_pylist())
+            out += model_encoder.encode(column.slice(at, 2000).to_pylist())
         return pa.array(out, pa.binary())
 
     return run(F.col(text))
