@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzfolio.llm import chat, fingerprints, language_id, ngram_join, packing, pieces, quality_classifier, quality_rules, url_filters
+from quartzfolio.llm import chat, fingerprints, language_id, licenses, ngram_join, packing, pieces, quality_classifier, quality_rules, url_filters
 from quartzfolio.llm.common import table
 
 
@@ -70,6 +70,24 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(told.unionByName(planted)))
 
 
+def virtual_files(docs: DataFrame) -> DataFrame:
+    """Documents as files: a directory for each thousand of ids, in it one for
+    each hundred. Short documents with a cue play the licence files of the
+    thousands. The key is of the path and the text."""
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-"))
+    head = (F.length("text") <= 200) & F.col("text").rlike(licenses.CUES)
+    thousand, hundred = (F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 100))
+    path = F.when(head, F.concat_ws("/", thousand, F.concat(F.lit("LICENSE-"), key))).otherwise(F.concat_ws("/", thousand, hundred, F.concat(key, F.lit(".txt"))))
+    files = docs.select("doc_id", path.alias("path"), "text")
+    return files.withColumn("key", F.concat_ws(" ", "path", F.coalesce(F.sha2("text", 256), F.lit("-"))))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(virtual_files(table(spark, sf_dir, "documents")))
+    doc_id = F.regexp_extract("path", "([0-9]+)(\\.txt)?$", 1)
+    return out.select(F.when(doc_id != "", doc_id.cast("long")).alias("doc_id"), "path", "license", "score", "origin", "license_path")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.judge(table(spark, sf_dir, "documents"))
 
@@ -112,6 +130,41 @@ said AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM said
 """
 
+OP8_SQL = f"""
+WITH templates(license, variant, text) AS (VALUES {", ".join(f"('{k}', {i}, '{t}')" for k, ts in licenses.TEMPLATES.items() for i, t in enumerate(ts))}),
+files AS (
+  SELECT doc_id, text, CAST(doc_id // 1000 AS VARCHAR) || '/' ||
+    CASE WHEN length(text) <= 200 AND regexp_matches(text, '{licenses.CUES}') THEN 'LICENSE-' || doc_id ELSE (doc_id // 100) || '/' || doc_id || '.txt' END AS path
+  FROM documents),
+split AS (SELECT *, regexp_matches(path, '{licenses.LICENCE_FILE}') AS head, regexp_replace(path, '/?[^/]*$', '') AS dir FROM files),
+found AS (
+  SELECT DISTINCT doc_id, path, head, dir, unit FROM (
+    SELECT doc_id, path, head, dir, unnest(string_split(text, chr(10))) AS unit FROM split WHERE regexp_matches(text, '{licenses.CUES}')
+  ) WHERE regexp_matches(unit, '{licenses.CUES}')
+  UNION SELECT doc_id, path, head, dir, text FROM split WHERE head AND length(text) > 0),
+terms AS (
+  SELECT 'n' || unit AS bag, unit, NULL AS license, term, count(*) AS tf FROM (SELECT unit, unnest(string_split_regex(lower(unit), '{licenses.SEPARATORS}')) AS term FROM (SELECT DISTINCT unit FROM found)) WHERE term <> '' GROUP BY ALL
+  UNION ALL
+  SELECT 't' || license || variant, NULL, license, term, count(*) FROM (SELECT license, variant, unnest(string_split_regex(lower(text), '{licenses.SEPARATORS}')) AS term FROM templates) WHERE term <> '' GROUP BY ALL),
+counts AS (SELECT unit, count(*) AS n FROM found GROUP BY unit),
+df AS (SELECT term, sum(coalesce(n, 1)) AS df FROM terms LEFT JOIN counts USING (unit) GROUP BY term),
+idf AS (SELECT term, ln(((SELECT count(*) FROM found) + (SELECT count(*) FROM templates) + 1) / (df + 1)) + 1 AS idf FROM df),
+weights AS (SELECT bag, unit, license, term, tf * idf AS w FROM terms JOIN idf USING (term)),
+norms AS (SELECT bag, sqrt(sum(w * w)) AS norm FROM weights GROUP BY bag),
+dots AS (SELECT a.bag AS a, b.bag AS b, any_value(a.unit) AS unit, any_value(b.license) AS license, sum(a.w * b.w) AS dot FROM weights a JOIN weights b USING (term) WHERE a.unit IS NOT NULL AND b.license IS NOT NULL GROUP BY a.bag, b.bag),
+scored AS (SELECT unit, license, round(dot / (x.norm * y.norm), 6) AS score FROM dots JOIN norms x ON x.bag = a JOIN norms y ON y.bag = b),
+best AS (SELECT * FROM scored WHERE score >= {licenses.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY unit ORDER BY score DESC, license) = 1),
+own AS (SELECT doc_id, path, head, dir, license, score FROM found JOIN best USING (unit) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
+heads AS (SELECT dir, path, license, score FROM own WHERE head QUALIFY row_number() OVER (PARTITION BY dir ORDER BY path) = 1),
+given AS (
+  SELECT s.doc_id, h.license, h.score, h.path FROM split s JOIN heads h ON h.dir = '' OR s.dir = h.dir OR starts_with(s.dir, h.dir || '/')
+  QUALIFY row_number() OVER (PARTITION BY s.doc_id ORDER BY length(h.dir) DESC) = 1)
+SELECT s.doc_id, s.path, coalesce(o.license, g.license) AS license, coalesce(o.score, g.score) AS score,
+  CASE WHEN o.license IS NOT NULL THEN 'own' WHEN g.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN o.license IS NOT NULL THEN s.path ELSE g.path END AS license_path
+FROM split s LEFT JOIN own o USING (doc_id) LEFT JOIN given g USING (doc_id)
+"""
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality_rules": op2_quality_rules,
@@ -120,9 +173,10 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_pieces": op6_pieces,
     "op7_chat": op7_chat,
+    "op8_licenses": op8_licenses,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_ngram_join": op10_ngram_join,
 }
 
 #: Queries that SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op7_chat": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op7_chat": OP7_SQL, "op8_licenses": OP8_SQL}
