@@ -36,7 +36,7 @@ BLANK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C55)
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
-FILTER_BITS = 20
+FILTER_BITS, SLOT_BITS = 20, 20
 NEVER = np.int64(2**62)
 #: Words that a worker remembers, twice; longer words aren't kept.
 REMEMBERED, LONGEST_KEPT = 300_000, 40
@@ -150,12 +150,25 @@ class Encoder:
         self.known: Remembered = Remembered(REMEMBERED)
         self.near_keys = np.array([-1], np.int64)
         self.near_ok = np.array([False])
+        self.slot_keys, self.slot_ok = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, bool)
         names = {i: s for s, i in model.symbols.items()}
         self.chars_of = {i: [model.symbols[ch] for ch in s] for i, s in names.items()}
 
     def neighbours(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether two symbols, merged on their own, stay these two."""
         key = left << 32 | right
+        slot = (mix64(key.astype(np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        hit = self.slot_keys[slot] == key
+        out = self.slot_ok[slot]
+        if hit.all():
+            return out
+        rest = np.flatnonzero(~hit)
+        out[rest] = self.looked_up(key[rest])
+        self.slot_keys[slot[rest]], self.slot_ok[slot[rest]] = key[rest], out[rest]
+        return out
+
+    def looked_up(self, key: np.ndarray) -> np.ndarray:
+        """The same from the table of all pairs met so far, which grows by new ones."""
         wanted = np.unique(key)
         at = np.minimum(np.searchsorted(self.near_keys, wanted), len(self.near_keys) - 1)
         new = wanted[self.near_keys[at] != wanted]
@@ -188,20 +201,20 @@ class Encoder:
             unknown = symbol[:, 0] < 0
             rows, less = np.nonzero((symbol >= 0) & (best[:, i - deep : i][:, ::-1] > -np.inf))
             t, k = symbol[rows, less], less + 1
-            value = best[rows, i - k]
-            if m.kind == BPE:
+            if m.kind == BPE:  # one way at most is admitted
                 ok = self.reachable(t)
                 before = last[rows, i - k]
                 check = np.flatnonzero(ok & (before >= 0))
                 ok[check] = self.neighbours(before[check], t[check])
-                value = np.where(ok, value + 1.0, -np.inf)
+                r, t, k = rows[ok], t[ok], k[ok]
+                best[r, i], last[r, i], back[r, i] = 0.0, t, k
             else:
-                value = np.where(t < m.n_pieces, value + m.weight[t], -np.inf)
-            order = np.lexsort((-k, value, rows))  # of each row the greatest value, then the shortest piece, comes last
-            rows, t, k, value = rows[order], t[order], k[order], value[order]
-            top = np.flatnonzero(np.append(rows[1:] != rows[:-1], True) & (value > -np.inf)) if len(rows) else order
-            r = rows[top]
-            best[r, i], last[r, i], back[r, i] = value[top], t[top], k[top]
+                value = np.where(t < m.n_pieces, best[rows, i - k] + m.weight[t], -np.inf)
+                order = np.lexsort((-k, value, rows))  # of each row the greatest value, then the shortest piece, comes last
+                rows, t, k, value = rows[order], t[order], k[order], value[order]
+                top = np.flatnonzero(np.append(rows[1:] != rows[:-1], True) & (value > -np.inf)) if len(rows) else order
+                r = rows[top]
+                best[r, i], last[r, i], back[r, i] = value[top], t[top], k[top]
             lone = unknown if m.kind == BPE else (best[:, i] == -np.inf) | unknown
             value = best[:, i - 1] + (0.0 if m.kind == BPE else m.unknown_score)
             r = np.flatnonzero(lone & (value > best[:, i]))
