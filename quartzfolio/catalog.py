@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quartzfolio.plans import prioritize
+from quartzfolio.plans.common import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "prioritize_parts"
+PLANS = (prioritize,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: v for p in PLANS for k, v in p.R.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for p in PLANS for k, v in p.R.sql.items()}
