@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quartzfolio.plans import prioritize
+from quartzfolio.plans import metrics, prioritize
 from quartzfolio.plans.common import Query
 
 FLAGSHIP = "prioritize_parts"
-PLANS = (prioritize,)
+PLANS = (prioritize, metrics)
 
 
 def queries() -> dict[str, Query]:
