@@ -11,7 +11,7 @@ from quartzfolio.plans.common import ITEMS_SQL, REVENUE, Registry, items, r, rou
 R = Registry()
 
 METRIC = {
-    "id": "event_id", "at": "ts", "document": "user_id", "kind": "event_type", "tenant": "user_id % 10",
+    "id": "event_id", "seen_at": "ts", "document": "user_id", "kind": "event_type", "tenant": "user_id % 10",
     "accuracy": "CASE WHEN event_id % 13 = 0 THEN NULL ELSE 1.0 - (event_id * 7919 % 1000) / 2000.0 END",
     "extracted": "1 + event_id % 10", "approved": "(1 + event_id % 10) / 2 - (1 + event_id % 10) / 2 % 1", "corrected": "event_id % 3",
     "confidence": "(event_id * 104729 % 1000) / 1000.0", "value": "value", "props": "props",
@@ -34,25 +34,25 @@ def k() -> F.Column:
 K_SQL = "CAST(json_extract(props, '$.k') AS BIGINT)"
 
 
-@R.add("enrichment_sector_stats", f"WITH {METRICS_SQL} SELECT tenant, kind, count(*) AS n, {r('avg(confidence)')} AS mean_confidence, max(at) AS latest, count(DISTINCT {K_SQL}) AS n_keys FROM m GROUP BY ALL")
+@R.add("enrichment_sector_stats", f"WITH {METRICS_SQL} SELECT tenant, kind, count(*) AS n, {r('avg(confidence)')} AS mean_confidence, max(seen_at) AS latest, count(DISTINCT {K_SQL}) AS n_keys FROM m GROUP BY ALL")
 def enrichment_sector_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics(spark, sf_dir).groupBy("tenant", "kind").agg(F.count("*").alias("n"), rounded(F.avg("confidence")).alias("mean_confidence"), F.max("at").alias("latest"), F.countDistinct(k()).alias("n_keys"))
+    return metrics(spark, sf_dir).groupBy("tenant", "kind").agg(F.count("*").alias("n"), rounded(F.avg("confidence")).alias("mean_confidence"), F.max("seen_at").alias("latest"), F.countDistinct(k()).alias("n_keys"))
 
 
-@R.add("cache_stats", f"WITH {METRICS_SQL} SELECT kind, count(*) AS n, CAST(sum(extracted) AS BIGINT) AS hits, count(*) FILTER (confidence < 0.2) AS expired, {r('avg(extracted)')} AS mean_hits, min(at) AS oldest, max(at) AS newest FROM m GROUP BY kind")
+@R.add("cache_stats", f"WITH {METRICS_SQL} SELECT kind, count(*) AS n, CAST(sum(extracted) AS BIGINT) AS hits, count(*) FILTER (confidence < 0.2) AS expired, {r('avg(extracted)')} AS mean_hits, min(seen_at) AS oldest, max(seen_at) AS newest FROM m GROUP BY kind")
 def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), F.sum("extracted").alias("hits"), F.count_if(F.col("confidence") < 0.2).alias("expired"), rounded(F.avg("extracted")).alias("mean_hits"), F.min("at").alias("oldest"), F.max("at").alias("newest"))
+    return metrics(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), F.sum("extracted").alias("hits"), F.count_if(F.col("confidence") < 0.2).alias("expired"), rounded(F.avg("extracted")).alias("mean_hits"), F.min("seen_at").alias("oldest"), F.max("seen_at").alias("newest"))
 
 
-@R.add("daily_accuracy", f"WITH {METRICS_SQL} SELECT CAST(at AS DATE) AS day, {r('avg(accuracy)')} AS accuracy, CAST(sum(extracted) AS BIGINT) AS extracted, {r('avg(CASE WHEN extracted > 0 THEN (approved + 0.5 * corrected)::DOUBLE / extracted ELSE 0 END)')} AS approval FROM m GROUP BY 1")
+@R.add("daily_accuracy", f"WITH {METRICS_SQL} SELECT CAST(seen_at AS DATE) AS day, {r('avg(accuracy)')} AS accuracy, CAST(sum(extracted) AS BIGINT) AS extracted, {r('avg(CASE WHEN extracted > 0 THEN (approved + 0.5 * corrected)::DOUBLE / extracted ELSE 0 END)')} AS approval FROM m GROUP BY 1")
 def daily_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratio = F.when(F.col("extracted") > 0, (F.col("approved") + 0.5 * F.col("corrected")) / F.col("extracted")).otherwise(0.0)
-    return metrics(spark, sf_dir).groupBy(F.to_date("at").alias("day")).agg(rounded(F.avg("accuracy")).alias("accuracy"), F.sum("extracted").alias("extracted"), rounded(F.avg(ratio)).alias("approval"))
+    return metrics(spark, sf_dir).groupBy(F.to_date("seen_at").alias("day")).agg(rounded(F.avg("accuracy")).alias("accuracy"), F.sum("extracted").alias("extracted"), rounded(F.avg(ratio)).alias("approval"))
 
 
-@R.add("pattern_effectiveness", f"WITH {METRICS_SQL} SELECT document, CAST(sum(approved) AS BIGINT) AS good, CAST(sum(extracted) AS BIGINT) AS used, {r('sum(approved)::DOUBLE / sum(extracted)')} AS effectiveness, date_diff('day', CAST(max(at) AS DATE), DATE '{AS_OF}') AS age FROM m GROUP BY document HAVING sum(extracted) >= 10")
+@R.add("pattern_effectiveness", f"WITH {METRICS_SQL} SELECT document, CAST(sum(approved) AS BIGINT) AS good, CAST(sum(extracted) AS BIGINT) AS used, {r('sum(approved)::DOUBLE / sum(extracted)')} AS effectiveness, date_diff('day', CAST(max(seen_at) AS DATE), DATE '{AS_OF}') AS age FROM m GROUP BY document HAVING sum(extracted) >= 10")
 def pattern_effectiveness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = metrics(spark, sf_dir).groupBy("document").agg(F.sum("approved").alias("good"), F.sum("extracted").alias("used"), F.max("at").alias("last")).where("used >= 10")
+    g = metrics(spark, sf_dir).groupBy("document").agg(F.sum("approved").alias("good"), F.sum("extracted").alias("used"), F.max("seen_at").alias("last")).where("used >= 10")
     return g.select("document", "good", "used", rounded(F.col("good") / F.col("used")).alias("effectiveness"), F.datediff(F.lit(AS_OF).cast("date"), F.to_date("last")).cast("long").alias("age"))
 
 
@@ -87,32 +87,32 @@ def metrics_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("field").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
 
 
-@R.add("accuracy_trend_day", f"WITH {METRICS_SQL} SELECT CAST(at AS DATE) AS day, count(accuracy) AS n, {r('avg(accuracy)')} AS accuracy, {r('avg(confidence)')} AS confidence FROM m WHERE at >= DATE '{AS_OF}' - INTERVAL 14 DAY GROUP BY 1")
+@R.add("accuracy_trend_day", f"WITH {METRICS_SQL} SELECT CAST(seen_at AS DATE) AS day, count(accuracy) AS n, {r('avg(accuracy)')} AS accuracy, {r('avg(confidence)')} AS confidence FROM m WHERE seen_at >= DATE '{AS_OF}' - INTERVAL 14 DAY GROUP BY 1")
 def accuracy_trend_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recent = metrics(spark, sf_dir).where(F.col("at") >= F.date_sub(F.lit(AS_OF).cast("date"), 14))
-    return recent.groupBy(F.to_date("at").alias("day")).agg(F.count("accuracy").alias("n"), rounded(F.avg("accuracy")).alias("accuracy"), rounded(F.avg("confidence")).alias("confidence"))
+    recent = metrics(spark, sf_dir).where(F.col("seen_at") >= F.date_sub(F.lit(AS_OF).cast("date"), 14))
+    return recent.groupBy(F.to_date("seen_at").alias("day")).agg(F.count("accuracy").alias("n"), rounded(F.avg("accuracy")).alias("accuracy"), rounded(F.avg("confidence")).alias("confidence"))
 
 
-@R.add("accuracy_trend_week", f"WITH {METRICS_SQL} SELECT CAST(at AS DATE) - CAST(dayofweek(at) AS INTEGER) AS week, count(accuracy) AS n, {r('avg(accuracy)')} AS accuracy FROM m GROUP BY 1")
+@R.add("accuracy_trend_week", f"WITH {METRICS_SQL} SELECT CAST(seen_at AS DATE) - CAST(dayofweek(seen_at) AS INTEGER) AS week, count(accuracy) AS n, {r('avg(accuracy)')} AS accuracy FROM m GROUP BY 1")
 def accuracy_trend_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weeks start on Sunday."""
-    week = F.date_sub(F.to_date("at"), F.dayofweek("at") - 1)
+    week = F.date_sub(F.to_date("seen_at"), F.dayofweek("seen_at") - 1)
     return metrics(spark, sf_dir).groupBy(week.alias("week")).agg(F.count("accuracy").alias("n"), rounded(F.avg("accuracy")).alias("accuracy"))
 
 
-@R.add("metrics_summary", f"WITH {METRICS_SQL}, s AS (SELECT tenant, avg(accuracy) FILTER (at >= DATE '{AS_OF}' - INTERVAL 7 DAY) AS recent, avg(accuracy) FILTER (at < DATE '{AS_OF}' - INTERVAL 7 DAY) AS older, count(*) AS n FROM m GROUP BY tenant) SELECT tenant, n, {r('recent')} AS recent, {r('older')} AS older, {r('CASE WHEN older > 0 THEN (recent - older) / older ELSE 0 END')} AS improvement FROM s")
+@R.add("metrics_summary", f"WITH {METRICS_SQL}, s AS (SELECT tenant, avg(accuracy) FILTER (seen_at >= DATE '{AS_OF}' - INTERVAL 7 DAY) AS recent, avg(accuracy) FILTER (seen_at < DATE '{AS_OF}' - INTERVAL 7 DAY) AS older, count(*) AS n FROM m GROUP BY tenant) SELECT tenant, n, {r('recent')} AS recent, {r('older')} AS older, {r('CASE WHEN older > 0 THEN (recent - older) / older ELSE 0 END')} AS improvement FROM s")
 def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = F.col("at") >= F.date_sub(F.lit(AS_OF).cast("date"), 7)
+    new = F.col("seen_at") >= F.date_sub(F.lit(AS_OF).cast("date"), 7)
     s = metrics(spark, sf_dir).groupBy("tenant").agg(F.count("*").alias("n"), F.avg(F.when(new, F.col("accuracy"))).alias("a"), F.avg(F.when(~new, F.col("accuracy"))).alias("b"))
     return s.select("tenant", "n", rounded(F.col("a")).alias("recent"), rounded(F.col("b")).alias("older"), rounded(F.when(F.col("b") > 0, (F.col("a") - F.col("b")) / F.col("b")).otherwise(0.0)).alias("improvement"))
 
 
-@R.add("anomaly_detect", f"""WITH {METRICS_SQL}, d AS (SELECT kind, CAST(at AS DATE) AS day, count(*) AS n, avg(accuracy) AS acc, count(*) FILTER (corrected = 2) AS rejected FROM m GROUP BY ALL),
+@R.add("anomaly_detect", f"""WITH {METRICS_SQL}, d AS (SELECT kind, CAST(seen_at AS DATE) AS day, count(*) AS n, avg(accuracy) AS acc, count(*) FILTER (corrected = 2) AS rejected FROM m GROUP BY ALL),
 b AS (SELECT kind, avg(n) AS mean_n, avg(acc) AS mean_acc FROM d GROUP BY kind)
 SELECT d.kind, day, 'accuracy_drop' AS anomaly FROM d JOIN b USING (kind) WHERE acc < mean_acc * 0.95 UNION ALL SELECT d.kind, day, 'volume' FROM d JOIN b USING (kind) WHERE n > 1.3 * mean_n UNION ALL SELECT kind, day, 'rejections' FROM d WHERE n > 10 AND rejected::DOUBLE / n > 0.4""")
 def anomaly_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days of a kind that stand out from its mean day."""
-    d = metrics(spark, sf_dir).groupBy("kind", F.to_date("at").alias("day")).agg(F.count("*").alias("n"), F.avg("accuracy").alias("acc"), F.count_if(F.col("corrected") == 2).alias("rejected"))
+    d = metrics(spark, sf_dir).groupBy("kind", F.to_date("seen_at").alias("day")).agg(F.count("*").alias("n"), F.avg("accuracy").alias("acc"), F.count_if(F.col("corrected") == 2).alias("rejected"))
     w = Window.partitionBy("kind")
     d = d.withColumns({"mean_n": F.avg("n").over(w), "mean_acc": F.avg("acc").over(w)})
     found = F.array_compact(F.array(
@@ -130,10 +130,10 @@ def review_tier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRIORITY_SQL = "CAST(greatest(1, least(10, 5 + CASE WHEN confidence < 0.5 THEN 3 WHEN confidence < 0.7 THEN 1 ELSE 0 END + CASE WHEN extracted >= 8 THEN 2 WHEN extracted >= 6 THEN 1 ELSE 0 END + CASE WHEN approved >= 4 THEN 1 ELSE 0 END)) AS INTEGER)"
 
 
-@R.add("review_queue", f"WITH {METRICS_SQL} SELECT tenant, id, {PRIORITY_SQL} AS priority, row_number() OVER (PARTITION BY tenant ORDER BY {PRIORITY_SQL} DESC, at, id) AS place FROM m WHERE confidence < 0.9 QUALIFY place <= 20")
+@R.add("review_queue", f"WITH {METRICS_SQL} SELECT tenant, id, {PRIORITY_SQL} AS priority, row_number() OVER (PARTITION BY tenant ORDER BY {PRIORITY_SQL} DESC, seen_at, id) AS place FROM m WHERE confidence < 0.9 QUALIFY place <= 20")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     waiting = metrics(spark, sf_dir).where("confidence < 0.9").withColumn("priority", windows.review_priority(F.col("confidence"), F.col("extracted"), F.col("approved") * 2))
-    return windows.top_per_group(waiting, ["tenant"], [F.desc("priority"), "at", "id"], 20).select("tenant", "id", F.col("priority").cast("int").alias("priority"), "place")
+    return windows.top_per_group(waiting, ["tenant"], [F.desc("priority"), "seen_at", "id"], 20).select("tenant", "id", F.col("priority").cast("int").alias("priority"), "place")
 
 
 @R.add("latest_row", "SELECT user_id, event_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -162,20 +162,20 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.stratified(s, {"low": 6, "medium": 5, "high": 4}).select("stratum", "category", "id", "confidence", "place")
 
 
-@R.add("confidence_ema", f"""WITH RECURSIVE {METRICS_SQL}, o AS (SELECT document, confidence, row_number() OVER (PARTITION BY document ORDER BY at, id) AS n FROM m),
+@R.add("confidence_ema", f"""WITH RECURSIVE {METRICS_SQL}, o AS (SELECT document, confidence, row_number() OVER (PARTITION BY document ORDER BY seen_at, id) AS n FROM m),
 f(document, n, state) AS (SELECT document, 0::BIGINT, 0.5::DOUBLE FROM (SELECT DISTINCT document FROM m) UNION ALL SELECT f.document, f.n + 1, 0.3::DOUBLE * o.confidence + 0.7::DOUBLE * f.state FROM f JOIN o ON o.document = f.document AND o.n = f.n + 1)
 SELECT document, {r('arg_max(state, n)')} AS state FROM f GROUP BY document""")
 def confidence_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = windows.fold(metrics(spark, sf_dir), ["document"], ["at", "id"], "confidence", F.lit(0.5), lambda s, v: F.lit(0.3) * v + F.lit(0.7) * s)
+    out = windows.fold(metrics(spark, sf_dir), ["document"], ["seen_at", "id"], "confidence", F.lit(0.5), lambda s, v: F.lit(0.3) * v + F.lit(0.7) * s)
     return out.select("document", rounded(F.col("state")).alias("state"))
 
 
-@R.add("progressive_confidence", f"""WITH RECURSIVE {METRICS_SQL}, o AS (SELECT document, kind, CASE WHEN corrected = 0 THEN 0.1 ELSE -0.1 END::DOUBLE AS d, row_number() OVER (PARTITION BY document, kind ORDER BY at, id) AS n FROM m),
+@R.add("progressive_confidence", f"""WITH RECURSIVE {METRICS_SQL}, o AS (SELECT document, kind, CASE WHEN corrected = 0 THEN 0.1 ELSE -0.1 END::DOUBLE AS d, row_number() OVER (PARTITION BY document, kind ORDER BY seen_at, id) AS n FROM m),
 f(document, kind, n, state) AS (SELECT DISTINCT document, kind, 0::BIGINT, 0.5::DOUBLE FROM m UNION ALL SELECT f.document, f.kind, f.n + 1, least(0.95::DOUBLE, greatest(0.3::DOUBLE, f.state + o.d)) FROM f JOIN o ON o.document = f.document AND o.kind = f.kind AND o.n = f.n + 1)
 SELECT document, kind, {r('arg_max(state, n)')} AS state FROM f GROUP BY ALL""")
 def progressive_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = metrics(spark, sf_dir).withColumn("d", F.when(F.col("corrected") == 0, 0.1).otherwise(-0.1))
-    out = windows.fold(m, ["document", "kind"], ["at", "id"], "d", F.lit(0.5), lambda s, v: F.least(F.lit(0.95), F.greatest(F.lit(0.3), s + v)))
+    out = windows.fold(m, ["document", "kind"], ["seen_at", "id"], "d", F.lit(0.5), lambda s, v: F.least(F.lit(0.95), F.greatest(F.lit(0.3), s + v)))
     return out.select("document", "kind", rounded(F.col("state")).alias("state"))
 
 
@@ -202,9 +202,9 @@ def conversation_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("conv_id", "messages", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("context"))
 
 
-@R.add("error_stats", f"WITH {METRICS_SQL} SELECT tenant, count(*) AS n, {r('count(*) / 720.0::DOUBLE')} AS per_hour, max(at) AS latest FROM m WHERE kind = 'error' GROUP BY tenant")
+@R.add("error_stats", f"WITH {METRICS_SQL} SELECT tenant, count(*) AS n, {r('count(*) / 720.0::DOUBLE')} AS per_hour, max(seen_at) AS latest FROM m WHERE kind = 'error' GROUP BY tenant")
 def error_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics(spark, sf_dir).where("kind = 'error'").groupBy("tenant").agg(F.count("*").alias("n"), rounded(F.count("*") / 720.0).alias("per_hour"), F.max("at").alias("latest"))
+    return metrics(spark, sf_dir).where("kind = 'error'").groupBy("tenant").agg(F.count("*").alias("n"), rounded(F.count("*") / 720.0).alias("per_hour"), F.max("seen_at").alias("latest"))
 
 
 @R.add("correction_stats", f"""WITH {METRICS_SQL}, f AS (SELECT id, unnest(list_filter([CASE WHEN id % 2 = 0 THEN 'name' END, CASE WHEN id % 3 = 0 THEN 'vendor' END, CASE WHEN id % 5 = 0 THEN 'category' END], lambda x: x IS NOT NULL)) AS field FROM m) SELECT field, count(*) AS n FROM f GROUP BY field""")
