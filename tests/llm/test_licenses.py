@@ -72,7 +72,7 @@ def test_documents_against_brute_force_and_sql(spark, sf_dir):
     want = brute([(r["key"], r["path"], r["text"]) for r in docs.collect()])
     rows = got.collect()
     assert {r["path"]: tuple(r[c] for c in ("license", "score", "origin", "license_path")) for r in rows} == {r["path"]: want[r["key"]] for r in docs.collect()}
-    assert any(r["origin"] == "inherited" for r in rows)
+    assert any(r["origin"] == "own" for r in rows)
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
     sql = con.sql(queries.ORACLE_SQL["op8_licenses"])
