@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quartzfolio.plans import metrics, prioritize
+from quartzfolio.plans import metrics, prioritize, similarity
 from quartzfolio.plans.common import Query
 
 FLAGSHIP = "prioritize_parts"
-PLANS = (prioritize, metrics)
+PLANS = (prioritize, metrics, similarity)
 
 
 def queries() -> dict[str, Query]:
