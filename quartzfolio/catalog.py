@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quartzfolio.plans import metrics, prioritize, similarity
+from quartzfolio.plans import analytics, metrics, prioritize, quality, similarity
 from quartzfolio.plans.common import Query
 
 FLAGSHIP = "prioritize_parts"
-PLANS = (prioritize, metrics, similarity)
+PLANS = (prioritize, metrics, similarity, quality, analytics)
 
 
 def queries() -> dict[str, Query]:
