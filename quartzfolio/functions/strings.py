@@ -61,4 +61,4 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def split_on(x: Column, separators: str = r"[,;|/]") -> Column:
     """Trimmed parts that aren't empty."""
-    return F.filter(F.transform(F.split(x, separators), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(x, separators), lambda p: F.trim(p)), lambda p: p != "")
