@@ -68,8 +68,9 @@ def bm25(docs: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.75
     """BM25 of the documents (doc_id, text) that have one of the terms. Counts
     are taken inside each row; one row of totals is joined back."""
     w = docs.select("doc_id", words(F.col("text")).alias("w"))
-    tf = [F.size(F.filter("w", is_term(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    n = w.select("doc_id", F.size("w").alias("words"), *tf).where("words > 0")
+    hits = w.select("doc_id", F.size("w").alias("words"), F.filter("w", lambda x: x.isin(*terms)).alias("hits"))
+    tf = [F.size(F.filter("hits", is_term(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
+    n = hits.select("doc_id", "words", *tf).where("words > 0")
     of = range(len(terms))
     totals = n.agg(F.count("*").alias("docs"), F.avg("words").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in of))
     score = F.lit(0.0)

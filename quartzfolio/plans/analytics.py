@@ -56,9 +56,9 @@ def vendor_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HEALTH = {
-    "balance": (0.15, "greatest(0, 70 - CASE WHEN avg(CASE WHEN phase = 1 THEN 1.0 ELSE 0.0 END) > 0.5 THEN 20 ELSE 0 END + CASE WHEN avg(CASE WHEN complexity = 'low' THEN 1.0 ELSE 0.0 END) > 0.2 THEN 10 ELSE 0 END)"),
+    "balance": (0.15, "greatest(0, 70 - CASE WHEN avg(CASE WHEN phase = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) > 0.5 THEN 20 ELSE 0 END + CASE WHEN avg(CASE WHEN complexity = 'low' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) > 0.2 THEN 10 ELSE 0 END)"),
     "risk": (0.30, "greatest(0, 100 - least(40, 2 * count_if(lifecycle = 'end_of_life')) - least(40, count_if(risk = 'high')))"),
-    "alignment": (0.25, "least(100, floor(avg(coalesce(alignment, 5)) / 10 * 50 + avg(CASE WHEN alignment >= 7 THEN 1.0 ELSE 0.0 END) * 50))"),
+    "alignment": (0.25, "least(100, floor(CAST(0.000001 AS DOUBLE) + avg(CAST(coalesce(alignment, 5) AS DOUBLE)) / 10 * 50 + avg(CASE WHEN alignment >= 7 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) * 50))"),
     "efficiency": (0.10, "greatest(0, 100 - least(60, count_if(active_users < 10) * 4) - least(30, count_if(cost > 3 * budget) * 5))"),
     "coverage": (0.20, "least(100, 10 * count(DISTINCT category))"),
 }
@@ -74,7 +74,7 @@ def portfolio_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RISKS = {
     "end_of_life": (0.25, "least(100, 15 * count_if(lifecycle = 'deprecated') + 10 * count_if(lifecycle = 'end_of_life'))"), "integration": (0.25, "least(100, 8 * count_if(n_dependencies > 4) + 3 * count_if(n_dependencies = 4))"),
-    "continuity": (0.30, "CASE WHEN count_if(risk = 'critical') = 1 THEN 5 WHEN count_if(risk = 'critical') > 10 THEN 60 ELSE 10 END"), "debt": (0.20, "CASE WHEN avg(CASE WHEN status = 'outdated' THEN 1.0 ELSE 0.0 END) > 0.15 THEN 60 ELSE 15 END"),
+    "continuity": (0.30, "CASE WHEN count_if(risk = 'critical') = 1 THEN 5 WHEN count_if(risk = 'critical') > 10 THEN 60 ELSE 10 END"), "debt": (0.20, "CASE WHEN avg(CASE WHEN status = 'outdated' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) > 0.15 THEN 60 ELSE 15 END"),
 }
 RISK_WEIGHED = " + ".join(f"CAST({w} AS DOUBLE) * {n}" for n, (w, _) in RISKS.items())
 
