@@ -130,9 +130,10 @@ def linked(sizes: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.n
     return out
 
 
-def verify(texts: list[str], buckets: np.ndarray, kept: np.ndarray, band: int, block: np.ndarray, n: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def verify(texts: list[str], buckets: np.ndarray, kept: np.ndarray, band: int, block: np.ndarray, crossing: bool, n: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Of the texts of one task: the matrix of links to count here, and for each
-    text the place of the first one in its linked group."""
+    text the place of the first one in its linked group. In a ``crossing`` task,
+    one of two blocks, pairs inside a block are left to that block's own task."""
     sets = [ngrams(t, n) for t in texts]
     links = linked(np.array(list(map(len, sets))), sets, similarity)
     group = np.arange(len(texts))
@@ -142,7 +143,7 @@ def verify(texts: list[str], buckets: np.ndarray, kept: np.ndarray, band: int, b
             break
         group = new
     count = links & ~np.eye(len(texts), dtype=bool)
-    if len(np.unique(block)) > 1:  # pairs inside a block are counted by its own task
+    if crossing:
         count &= block[:, None] != block[None, :]
     for k in range(band):  # a pair is counted in the first bucket it shares
         count &= ~((buckets[:, k, None] == buckets[None, :, k]) & kept[:, k, None] & kept[None, :, k])
@@ -159,11 +160,15 @@ def verifier(n: int, similarity: float):
             return out.empty_table()
         g = group.take(pa.array(first))
         node = node[first]
+        block = np.array(g.column("block").to_pylist())
+        crossing = key[2].as_py() != key[3].as_py()
+        if crossing and len(np.unique(block)) < 2:  # the other block is empty
+            return out.empty_table()
         copies = np.array(g.column("copies").to_pylist(), np.int64)
         raw = g.column("kept").to_pylist()
         kept = np.array([[x is not None for x in r] for r in raw])
         buckets = np.array([[x or 0 for x in r] for r in raw], np.int64)
-        count, roots = verify(g.column("text").to_pylist(), buckets, kept, key[0].as_py(), np.array(g.column("block").to_pylist()), n, similarity)
+        count, roots = verify(g.column("text").to_pylist(), buckets, kept, key[0].as_py(), block, crossing, n, similarity)
         grouped = np.flatnonzero(np.bincount(roots, minlength=len(node))[roots] > 1)
         cols = [node[grouped], node[roots[grouped]], count.sum(1)[grouped], (count @ copies)[grouped]]
         return pa.table([pa.array(c, pa.int64()) for c in cols], schema=out)

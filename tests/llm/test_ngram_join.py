@@ -90,6 +90,16 @@ def test_large_groups_are_split_without_loss(spark, monkeypatch, block):
     assert max(v[3] for v in want.values()) > 20
 
 
+def test_blocks_without_texts_count_no_pair_again(spark, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK_BYTES", 300)
+    texts = [f"{t}{end}" for i in range(30) for t in near_copies(i, 1) for end in ("", " tail")]
+    rows = list(enumerate(texts))
+    got = result(nj.join(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = brute(rows)
+    assert {v[3:] for v in want.values()} == {(1, 1)}
+    assert got == want
+
+
 def test_one_of_each(spark):
     texts = near_copies(5, 20) + ["alone in the world with its own words"] + [None, "", " \n"]
     rows = [(i, t, "k") for i, t in enumerate(texts)] + [(0, texts[0], "k"), (0, texts[0], "other")]
