@@ -104,7 +104,9 @@ def shingles(text: Column, k: int = 3) -> Column:
 
 def lsh_pairs(rows: DataFrame, threshold: float, bands: int = 20, height: int = 5) -> DataFrame:
     """Pairs of rows (id, text) that share a band of seeded minimal hashes of
-    letter triples, verified on their full sets. Equal texts are one row."""
+    letter triples, verified on their full sets, and the copies of equal texts.
+    The least id stands for its text: ``copy`` rows tie every other id of the text
+    to it, the rest are pairs of such ids. Null texts are copies of nothing."""
     texts = rows.groupBy("text").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     sets = texts.select("id", shingles(F.col("text")).alias("g"))
     seeded = lambda j: lambda x: F.xxhash64(x, F.lit(j))
@@ -113,7 +115,9 @@ def lsh_pairs(rows: DataFrame, threshold: float, bands: int = 20, height: int =
     banded = sets.select("id", F.explode(keys).alias("band"))
     pairs = banded.alias("a").join(banded.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
     both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("g").alias("h")), "other")
-    return both.select("id", "other", strings.jaccard(F.col("g"), F.col("h")).alias("likeness")).where(F.col("likeness") >= threshold)
+    near = both.select("id", "other", strings.jaccard(F.col("g"), F.col("h")).alias("likeness"), F.lit(False).alias("copy")).where(F.col("likeness") >= threshold)
+    members = texts.where("copies > 1").join(rows.select(F.col("id").alias("other"), "text"), "text").where("id < other")
+    return near.unionByName(members.select("id", "other", F.lit(1.0).alias("likeness"), F.lit(True).alias("copy")))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -106,7 +106,7 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("minhash_lsh_pairs")
 def minhash_lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate names of parts: 20 bands of 5 seeded hashes over letter
-    triples, verified by exact Jaccard."""
+    triples, verified by exact Jaccard; copies are tied to their least id."""
     return dedup.lsh_pairs(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text")), 0.75)
 
 

@@ -37,6 +37,13 @@ def test_lsh_pairs_are_true_pairs(spark):
     assert {(i, 30 + i) for i in range(10)} <= got
 
 
+def test_lsh_pairs_have_every_copy(spark):
+    texts = ["alpha beta gamma delta epsilon"] * 4 + ["zeta eta theta iota kappa lambda"] * 3 + ["alpha beta gamma delta epsilon x", None, None, "alone"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(r["id"], r["other"], r["copy"]) for r in dedup.lsh_pairs(df, 0.75).collect()}
+    assert got == {(0, 1, True), (0, 2, True), (0, 3, True), (4, 5, True), (4, 6, True), (0, 7, False)}
+
+
 def test_greedy_heads(spark):
     rows = spark.createDataFrame([(i, "b") for i in range(6)], "id long, block string")
     links = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (4, 5)], "id long, other long")
