@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quartzfolio.functions.numbers import half_up
 from quartzfolio.operators.scoring import level
+from quartzfolio.operators.windows import top_per_group
 
 #: Weights of the local assessment and its bands.
 WEIGHTS = {"fit": 8, "value": 9, "safety": 5, "ease": 7, "timing": 6}
@@ -77,10 +78,15 @@ def greedy(items: DataFrame, group: str, budget: float) -> DataFrame:
 def knapsack(items: DataFrame, group: str, budget: float, unit: float = 1000.0) -> DataFrame:
     """The set of items of each group with the highest summed score whose costs,
     rounded up to units, keep within the budget. Items that don't fit alone are
-    left out before the shuffle; the table of a group has a bit for each item and
-    unit."""
+    left out before the shuffle, items of no cost are taken without it. Of the
+    items of as many units only as many as fit together can be in a best set, so
+    the others, with lesser scores, fall away; a group's table stays small."""
     capacity = int(budget // unit)
+    out = items.select(group, "id", "score", "cost")
     fit = items.withColumn("units", F.ceil(F.col("cost") / unit).cast("int")).where(F.col("units") <= capacity)
+    free = fit.where((F.col("units") == 0) & (F.rint(F.col("score") * 100) > 0)).select(out.columns)
+    best_of_size = top_per_group(fit.where("units > 0"), [group, "units"], [F.desc(F.rint(F.col("score") * 100)), "id"], capacity)
+    fit = best_of_size.where(F.col("place") * F.col("units") <= capacity)
 
     def best(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("id").reset_index(drop=True)
@@ -98,4 +104,4 @@ def knapsack(items: DataFrame, group: str, budget: float, unit: float = 1000.0)
                 left -= int(f["units"][i])
         return f.loc[sorted(chosen), [group, "id", "score", "cost"]]
 
-    return fit.groupBy(group).applyInPandas(best, items.select(group, "id", "score", "cost").schema)
+    return fit.groupBy(group).applyInPandas(best, out.schema).unionByName(free)

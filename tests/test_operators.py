@@ -24,6 +24,21 @@ def test_knapsack_is_the_best_set(spark):
     assert cost(got) <= 40_000 and worth(got) == best
 
 
+def test_knapsack_sends_few_items_of_a_large_group(spark, monkeypatch):
+    rows = [("v", i, float(i % 977), float(i % 5 * 1000)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vendor string, id long, score double, cost double")
+    sent, frame = [], type(df)
+    group_by = frame.groupBy
+    monkeypatch.setattr(frame, "groupBy", lambda self, *c: (sent.append(self), group_by(self, *c))[1])
+    got = budget.knapsack(df, "vendor", 20_000.0).collect()
+    assert sent[-1].count() <= 20 + 10 + 6 + 5
+    worth = [0.0] * 21
+    for _, _, score, cost in rows:
+        for left in range(20, int(cost // 1000) - 1, -1):
+            worth[left] = max(worth[left], worth[left - int(cost // 1000)] + score)
+    assert sum(r["cost"] for r in got) <= 20_000 and sum(r["score"] for r in got) == worth[20]
+
+
 def test_lsh_pairs_are_true_pairs(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
     rng = random.Random(1)
