@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import lru_cache
 from typing import TypeVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, AtomicType, DataType, StructType, VariantType
 
 T = TypeVar("T")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -23,16 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def local_folder() -> str:
+    return tempfile.mkdtemp(prefix="quartzfolio-")
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share.
 
     The folder is the session's ``spark.checkpoint.dir``, else the context's
-    checkpoint directory; where neither is set (local tests), a temporary one.
+    checkpoint directory; where neither is set, a temporary one of this process,
+    which only a local master can use.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="quartzfolio-")
-        spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = local_folder()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -44,6 +54,31 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that hold at least one row of so many are heavy; no more than so many can be.
+HEAVY = 2000
+
+
+def join_by_weight(rows: DataFrame, of_key: DataFrame, keys: Sequence[str], n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``of_key``, which has one row a key and in column ``n``
+    (dropped) how many of the ``total`` rows have it. Heavy keys are broadcast,
+    ``HEAVY`` at most, so that none of them meets in one task; the others are
+    joined by a shuffle. Keys must not be null."""
+    least = max(1, total // HEAVY)
+    heavy = F.broadcast(of_key.where(F.col(n) > least).drop(n))
+    rest = of_key.where(F.col(n) <= least).drop(n)
+    light = rows.join(heavy.select(*keys), list(keys), "left_anti")
+    return rows.join(heavy, list(keys)).unionByName(light.join(rest, list(keys)))
+
+
+def orderable(t: DataType) -> bool:
+    """Whether rows can be ordered by a column of this type."""
+    if isinstance(t, StructType):
+        return all(orderable(f.dataType) for f in t)
+    if isinstance(t, ArrayType):
+        return orderable(t.elementType)
+    return isinstance(t, AtomicType) and not isinstance(t, VariantType)
+
+
 KEPT_BY_WORKER: dict[str, tuple[str, object]] = {}
 
 

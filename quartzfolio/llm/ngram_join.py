@@ -8,7 +8,12 @@ left is verified on full n-gram sets inside tasks: a bucket beyond the size of a
 block is split, and each pair of its blocks is a task of its own. A pair is
 counted in the first bucket that its two texts share. Tasks return a row for
 each linked text, its number of links and the least text of its linked group
-there, never the pairs.
+there, never the pairs. Work in a bucket is the square of its number of
+different texts, as every one of its links is counted; copies cost nothing.
+
+Hot keys. Texts with very many copies, buckets with very many texts and groups
+with very many members are joined by ``join_by_weight``: the few keys that hold
+a two-thousandth of the rows or more are broadcast, their number being bounded.
 
 Defined results. Words are what lies between ASCII blanks; n-grams are of
 ``n`` words, and a shorter text with a word is one n-gram. Null texts and texts
@@ -26,15 +31,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzfolio.llm.common import materialize, mix64, odd_multipliers
+from quartzfolio.llm.common import join_by_weight, materialize, mix64, odd_multipliers, orderable
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.9999
 MOST_HASHES = 128
 #: A block of a bucket has about so many texts, or bytes of them, at most.
-BLOCK_TEXTS, BLOCK_BYTES = 400, 4_000_000
+BLOCK_TEXTS, BLOCK_BYTES = 200, 4_000_000
 LOWEST_ID = -(2**63)
 PLACES = odd_multipliers(64, 101)
 SALT = np.uint64(0x5851F42D4C957F2D)
@@ -48,7 +53,7 @@ def bands_and_rows(similarity: float = SIMILARITY, recall: float = RECALL, most:
         bands = 1 if same >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - same))
         if bands * rows <= most:
             return bands, rows
-    return most, 1
+    raise ValueError(f"{most} hashes can't find pairs of similarity {similarity} with probability {recall}")
 
 
 def ngrams(text: str | None, n: int = N) -> np.ndarray:
@@ -181,10 +186,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     node that can be reached. Alternates between linking all neighbours and the
     lesser ones to the least; a table in the shared folder ends each round."""
     now, seen = materialize(edges.where("node <> root").distinct(), label), None
+    n_edges = now.count()
     while True:
         both = now.unionByName(now.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        least = both.groupBy("node").agg(F.least(F.min("root"), F.first("node")).alias("least"))
-        large = both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("least").alias("root")).where("node <> root").distinct()
+        least = both.groupBy("node").agg(F.least(F.min("root"), F.first("node")).alias("least"), F.count("*").alias("n"))
+        large = join_by_weight(both, least, ["node"], "n", 2 * n_edges).where("root > node").select(F.col("root").alias("node"), F.col("least").alias("root")).where("node <> root").distinct()
         down = large.select(F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root")).distinct()
         low = down.groupBy("node").agg(F.min("root").alias("least"))
         small = down.join(low, "node")
@@ -193,7 +199,18 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         said = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first())
         if said == seen:
             return now
-        seen = said
+        n_edges, seen = said[0], said
+
+
+def bucket_table(banded: DataFrame) -> DataFrame:
+    """Band, hash, number of texts and of blocks of the buckets of ``banded`` (node,
+    size, band, hash) that hold more than one text; of those with the same texts,
+    told by two hashes of 64 bits, the first."""
+    who = [F.bit_xor(F.xxhash64("node", F.lit(seed))) for seed in (3, 7)]  # can't overflow, however large a bucket
+    buckets = banded.groupBy("band", "hash").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), who[0].alias("who"), who[1].alias("who_too")).where("n > 1")
+    fresh = buckets.groupBy("n", "who", "who_too").agg(F.min(F.struct("band", "hash", "bytes")).alias("b")).select("b.*", "n")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    return fresh.select("band", "hash", "n", blocks.alias("blocks"))
 
 
 def classes(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
@@ -208,10 +225,8 @@ def classes(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall:
         "classes",
     )
     banded = alike.select("node", "size", F.posexplode("bands").alias("band", "hash"))
-    buckets = banded.groupBy("band", "hash").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sum(F.pmod(F.xxhash64("node"), F.lit(2**40))).alias("who"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("who_too")).where("n > 1")
-    fresh = buckets.groupBy("n", "who", "who_too").agg(F.min(F.struct("band", "hash", "bytes")).alias("b")).select("b.*", "n")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    kept = banded.drop("size").join(fresh.withColumn("blocks", blocks), ["band", "hash"])
+    fresh = materialize(bucket_table(banded), "buckets")
+    kept = join_by_weight(banded.drop("size"), fresh, ["band", "hash"], "n", alike.count() * bands)
     members = kept.groupBy("node").agg(F.collect_list(F.struct("band", "hash", "blocks")).alias("in"))  # one for each band at most
     members = members.join(alike.select("node", "id", "text_hash", "copies"), "node")
     texts = docs.where(has_word()).select(*keys(), "text").join(members, ["id", "text_hash"])
@@ -226,8 +241,8 @@ def classes(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall:
     counts = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("documents").alias("documents"))
     alike = alike.drop("bands").join(grouped, "node", "left").join(counts, "node", "left")
     alike = materialize(alike.withColumns({"root": F.coalesce("root", "node"), "links": F.coalesce("links", F.lit(0)), "documents": F.coalesce("documents", F.lit(0))}), "grouped")
-    best = alike.groupBy("root").agg(F.min("id").alias("class_id"), F.min_by("text_hash", "id").alias("class_hash"))
-    return signed, alike.join(best, "root")
+    best = alike.groupBy("root").agg(F.min("id").alias("class_id"), F.min_by("text_hash", "id").alias("class_hash"), F.count("*").alias("n"))
+    return signed, materialize(join_by_weight(alike, best, ["root"], "n", alike.count()), "members")
 
 
 def join(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -235,8 +250,8 @@ def join(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: fl
     n-grams, how many these are (itself too), and its links to other documents."""
     signed, alike = classes(docs, n, similarity, recall)
     shown = lambda c: F.when(F.col(c) != LOWEST_ID, F.col(c))
-    said = alike.select("set_a", "set_b", "class_id", F.col("id").alias("copy_of"), "copies", (F.col("documents") + F.col("copies") - 1).alias("n_links"), F.col("links").alias("n_linked_texts"))
-    with_word = signed.select("id", "set_a", "set_b").join(said, ["set_a", "set_b"]).select(shown("id").alias("doc_id"), shown("class_id").alias("class_id"), shown("copy_of").alias("copy_of"), "copies", "n_links", "n_linked_texts")
+    said = alike.select("set_a", "set_b", "class_id", F.col("id").alias("copy_of"), "copies", (F.col("documents") + F.col("copies") - 1).alias("n_links"), F.col("links").alias("n_linked_texts"), F.col("copies").alias("n"))
+    with_word = join_by_weight(signed.select("id", "set_a", "set_b"), said, ["set_a", "set_b"], "n", signed.count()).select(shown("id").alias("doc_id"), shown("class_id").alias("class_id"), shown("copy_of").alias("copy_of"), "copies", "n_links", "n_linked_texts")
     zero = F.lit(0).cast("long")
     own = F.col("doc_id").cast("long")
     alone = docs.where(~has_word()).select(own.alias("doc_id"), own.alias("class_id"), own.alias("copy_of"), F.lit(1).cast("long").alias("copies"), zero.alias("n_links"), zero.alias("n_linked_texts"))
@@ -245,10 +260,11 @@ def join(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: fl
 
 def one_of_each(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """``docs`` with one document of each class, that of the least id, and all
-    documents without a word. Of rows with the same id and text one stays."""
+    documents without a word. Of rows with the same id and text one stays, the
+    first by those of its other columns that can be ordered."""
     _, alike = classes(docs, n, similarity, recall)
     best = alike.select(F.col("class_id").alias("id"), F.col("class_hash").alias("text_hash")).distinct()
     rows = docs.where(has_word()).select(F.struct("*").alias("row"), *keys()).join(best, ["id", "text_hash"], "left_semi")
-    order = [F.col(f"row.`{c}`") for c, t in docs.dtypes if c != "text" and not t.startswith(("map", "variant"))]
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "text_hash").orderBy(*order)))
-    return rows.where("nth = 1").select("row.*").unionByName(docs.where(~has_word()))
+    order = [F.col(f"row.`{f.name}`") for f in docs.schema if f.name != "text" and orderable(f.dataType)]
+    one = rows.groupBy("id", "text_hash").agg(F.min_by("row", F.struct(F.lit(0), *order)).alias("row"))
+    return one.select("row.*").unionByName(docs.where(~has_word()))

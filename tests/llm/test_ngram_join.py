@@ -60,6 +60,34 @@ def test_bands_reach_the_recall():
         assert b * r <= nj.MOST_HASHES
 
 
+def test_too_few_hashes_are_refused():
+    with pytest.raises(ValueError, match="hashes"):
+        nj.bands_and_rows(0.2, 0.9999, 16)
+
+
+def test_a_bucket_of_twenty_million_texts(spark):
+    from pyspark.sql import functions as F
+
+    banded = spark.range(20_000_000).select(F.col("id").alias("node"), F.lit(100).cast("long").alias("size"), F.explode(F.array(F.lit(0), F.lit(1))).alias("band"), F.lit(5).cast("long").alias("hash"))
+    got = [tuple(r) for r in nj.bucket_table(banded).collect()]
+    assert got == [(0, 5, 20_000_000, 100_000)]  # the second has the same texts
+
+
+def test_heavy_keys_are_joined_like_others(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(300)] + [(i, i) for i in range(2, 40)], "k long, v long")
+    of_key = rows.groupBy("k").count()
+    got = nj.join_by_weight(rows, of_key.withColumn("name", of_key["k"] * 10), ["k"], "count", rows.count())
+    assert sorted(map(tuple, got.collect())) == sorted((k, v, 10 * k) for k, v in rows.collect())
+
+
+def test_columns_that_cannot_be_ordered(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "a b c d e f", "z"), (1, "a b c d e f", "y"), (2, "other words of some kind here", "x"), (3, None, "w")], "doc_id long, text string, s string")
+    docs = docs.select("*", F.array(F.create_map("s", F.lit(1))).alias("maps"), F.struct(F.create_map("s", "s").alias("m")).alias("inner"), F.parse_json(F.lit("[1]")).alias("v"))
+    assert sorted((r["doc_id"], r["s"]) for r in nj.one_of_each(docs).collect()) == [(1, "y"), (2, "x"), (3, "w")]
+
+
 def test_documents_against_all_pairs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
