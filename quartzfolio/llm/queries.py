@@ -70,22 +70,26 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(told.unionByName(planted)))
 
 
+#: Code points up to which a document with a cue plays a licence file.
+SHORT_FILE = 500
+
+
 def virtual_files(docs: DataFrame) -> DataFrame:
-    """Documents as files: a directory for each thousand of ids, in it one for
-    each hundred. Short documents with a cue play the licence files of the
-    thousands. The key is of the path and the text."""
+    """Documents as files in directories of ten ids, in such of a hundred and a
+    thousand. Short documents with a cue play licence files, in a directory of
+    ten, a hundred or a thousand by what their id leaves over by three."""
     key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-"))
-    head = (F.length("text") <= 200) & F.col("text").rlike(licenses.CUES)
-    thousand, hundred = (F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 100))
-    path = F.when(head, F.concat_ws("/", thousand, F.concat(F.lit("LICENSE-"), key))).otherwise(F.concat_ws("/", thousand, hundred, F.concat(key, F.lit(".txt"))))
-    files = docs.select("doc_id", path.alias("path"), "text")
-    return files.withColumn("key", F.concat_ws(" ", "path", F.coalesce(F.sha2("text", 256), F.lit("-"))))
+    head = (F.length("text") <= SHORT_FILE) & F.col("text").rlike(licenses.CUES)
+    by = [F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 100, 10)]
+    level = F.pmod(F.col("doc_id"), F.lit(3))
+    of_head = F.when(level == 0, by[0]).when(level == 1, F.concat_ws("/", *by[:2])).otherwise(F.concat_ws("/", *by))
+    path = F.when(head, F.concat_ws("/", of_head, F.concat(F.lit("LICENSE-"), key))).otherwise(F.concat_ws("/", *by, F.concat(key, F.lit(".txt"))))
+    return docs.select(F.col("doc_id").cast("long").alias("key"), path.alias("path"), "text")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(virtual_files(table(spark, sf_dir, "documents")))
-    doc_id = F.regexp_extract("path", "([0-9]+)(\\.txt)?$", 1)
-    return out.select(F.when(doc_id != "", doc_id.cast("long")).alias("doc_id"), "path", "license", "score", "origin", "license_path")
+    return out.select(F.col("key").alias("doc_id"), "path", "license", "score", "origin", "license_path")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,16 +135,20 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 """
 
 OP8_SQL = f"""
-WITH templates(license, variant, text) AS (VALUES {", ".join(f"('{k}', {i}, '{t}')" for k, ts in licenses.TEMPLATES.items() for i, t in enumerate(ts))}),
+WITH templates(license, variant, text) AS (VALUES {", ".join(f"('{k}', {i}, '{t.replace(chr(39), chr(39) * 2)}')" for k, ts in licenses.TEMPLATES.items() for i, t in enumerate(ts))}),
 files AS (
-  SELECT doc_id, text, CAST(doc_id // 1000 AS VARCHAR) || '/' ||
-    CASE WHEN length(text) <= 200 AND regexp_matches(text, '{licenses.CUES}') THEN 'LICENSE-' || doc_id ELSE (doc_id // 100) || '/' || doc_id || '.txt' END AS path
+  SELECT doc_id, text, CASE WHEN length(text) <= {SHORT_FILE} AND regexp_matches(text, '{licenses.CUES}')
+    THEN (doc_id // 1000) || CASE WHEN doc_id % 3 > 0 THEN '/' || (doc_id // 100) ELSE '' END || CASE WHEN doc_id % 3 = 2 THEN '/' || (doc_id // 10) ELSE '' END || '/LICENSE-' || doc_id
+    ELSE (doc_id // 1000) || '/' || (doc_id // 100) || '/' || (doc_id // 10) || '/' || doc_id || '.txt' END AS path
   FROM documents),
 split AS (SELECT *, regexp_matches(path, '{licenses.LICENCE_FILE}') AS head, regexp_replace(path, '/?[^/]*$', '') AS dir FROM files),
 found AS (
   SELECT DISTINCT doc_id, path, head, dir, unit FROM (
     SELECT doc_id, path, head, dir, unnest(string_split(text, chr(10))) AS unit FROM split WHERE regexp_matches(text, '{licenses.CUES}')
   ) WHERE regexp_matches(unit, '{licenses.CUES}')
+  UNION SELECT doc_id, path, head, dir, unit FROM (
+    SELECT doc_id, path, head, dir, unnest(regexp_extract_all(text, '(?m)^{licenses.COMMENT}(?:\n{licenses.COMMENT})*')) AS unit FROM split WHERE regexp_matches(text, '{licenses.CUES}')
+  ) WHERE regexp_matches(unit, '{licenses.CUES}')
   UNION SELECT doc_id, path, head, dir, text FROM split WHERE head AND length(text) > 0),
 terms AS (
   SELECT 'n' || unit AS bag, unit, NULL AS license, term, count(*) AS tf FROM (SELECT unit, unnest(string_split_regex(lower(unit), '{licenses.SEPARATORS}')) AS term FROM (SELECT DISTINCT unit FROM found)) WHERE term <> '' GROUP BY ALL
