@@ -8,9 +8,13 @@ and hashes that tuple. Two texts agree in a component if they share the k-mers
 Defined results. Null text: as empty. Empty texts have the all-zero
 fingerprint, like one another and unlike any other text. A text shorter than
 ``k`` has one k-mer, itself padded with zeros. Equal texts have equal
-fingerprints, whatever row or partition they are in. Rows with equal ids are
-ordered by text. A null id comes after all other ids. Further columns of the
-input are not read.
+fingerprints, whatever row or partition they are in. Very long texts are hashed
+whole. Rows with equal ids are ordered by a hash of their texts, the greatest
+first. A null id comes after all other ids. Further columns of the input are not
+read.
+
+Hot keys. Buckets are ranges of ids with about as many rows each; an id (or the
+null id) that fills several of them is split by ranges of that hash.
 """
 
 from __future__ import annotations
@@ -156,27 +160,34 @@ def fingerprint(docs: DataFrame, k: int = K, picks: int = PICKS, hashes: int = H
 
 
 def in_order(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of (bucket, is_copy, id, doc_id, text): buckets are ranges of ids,
-    and after a bucket's lowest id comes a copy of the row that is next to it.
+    """Rows of (bucket, is_copy, id, tie, doc_id, text): buckets are ranges of ids
+    and text hashes, and after a bucket's lowest row comes a copy of the next one.
 
-    Only one number for each bucket reaches the driver; the texts are shuffled
+    Only a few numbers for each bucket reach the driver; the texts are shuffled
     once.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST_ID)).alias("id"))
+    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST_ID))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own_id.alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
     at = docs.agg(F.percentile_approx("id", [i / buckets for i in range(1, buckets)] or [0.5], 10 * buckets + 100)).first()[0]
-    bounds = np.unique(np.array(at or [0], np.int64))
+    bounds, times = np.unique(np.array(at or [0], np.int64), return_counts=True)
+    parts_of = np.where(times > 1, times, 0)  # a bound met often has buckets of its own
+    first = np.concatenate([[0], np.cumsum(1 + parts_of)])
 
     @F.pandas_udf("int")
-    def bucket_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="left").astype(np.int32))
-
-    heads = [r["id"] for r in docs.select("id", bucket_of("id").alias("bucket")).groupBy("bucket").agg(F.max("id").alias("id")).orderBy("bucket").collect()]
-    before = [*heads[1:], *heads[:1]]  # its copy goes to the bucket that this row is the head of
-    places = np.searchsorted(bounds, np.array(before, np.int64), side="left").tolist()
-    copies = spark.createDataFrame([*zip(heads, places, strict=True)], "id long, bucket int")  # a row for each bucket
-    extra = docs.join(F.broadcast(copies), "id").select("bucket", F.lit(True).alias("is_copy"), "id", "doc_id", "text")
-    own = docs.select(bucket_of("id").alias("bucket"), F.lit(False).alias("is_copy"), "id", "doc_id", "text")
+    def bucket_of(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        i, tie = ids.to_numpy(), ties.to_numpy()
+        j = np.searchsorted(bounds, i, side="left")
+        k = np.minimum(j, len(bounds) - 1)
+        parts = np.where((j < len(bounds)) & (bounds[k] == i), parts_of[k], 0)
+        part = np.where(parts > 0, 1 + np.floor((tie / 2.0**64 + 0.5) * parts), 0)
+        return pd.Series((first[j] + np.minimum(part, parts)).astype(np.int32))
+
+    heads = docs.select("id", "tie", bucket_of("id", "tie").alias("bucket")).groupBy("bucket").agg(F.max(F.struct("id", "tie")).alias("h")).select("bucket", "h.*").orderBy("bucket").collect()
+    places = [*(r["bucket"] for r in heads[1:]), *(r["bucket"] for r in heads[:1])]  # the bucket that is before a head's own
+    copies = spark.createDataFrame([(r["id"], r["tie"], to) for r, to in zip(heads, places, strict=True)], "id long, tie long, bucket int")  # a row for each bucket
+    extra = docs.join(F.broadcast(copies), ["id", "tie"]).select("bucket", F.lit(True).alias("is_copy"), "id", "tie", "doc_id", "text")
+    own = docs.select(bucket_of("id", "tie").alias("bucket"), F.lit(False).alias("is_copy"), "id", "tie", "doc_id", "text")
     return own.unionByName(extra)
 
 
@@ -188,7 +199,7 @@ def fingerprint_edited(docs: DataFrame, k: int = K, picks: int = PICKS, hashes:
     after the last comes the first.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = in_order(docs, buckets or 4 * parts).repartition(parts, "bucket").sortWithinPartitions("bucket", "is_copy", F.desc("id"), "text")
+    rows = in_order(docs, buckets or 4 * parts).repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket", "is_copy", F.desc("id"), F.desc("tie"), F.desc("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how = {"k": k, "picks": picks, "hashes": hashes}

@@ -76,3 +76,20 @@ def test_empty_one_row_and_repeated_rows(spark):
     assert one[0]["edited_sha256"] == hashlib.sha256(b"only text only").hexdigest()
     again = fp.fingerprint_edited(spark.createDataFrame([(5, "only text here")] * 3 + [(None, "z" * 50), (7, "q" * 20)], schema)).collect()
     assert len(again) == 5
+
+
+@pytest.mark.parametrize("buckets", [4, 12])
+def test_one_id_and_null_ids_with_most_rows(spark, buckets):
+    rows = [(5, f"text {i} of the hot id " * 3) for i in range(60)] + [(None, f"no id {i} " * 4) for i in range(40)] + [(i, f"other {i} words") for i in range(20)] + [(5, "text 3 of the hot id " * 3)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = fp.in_order(docs, buckets).where("NOT is_copy").groupBy("bucket", "id").count().collect()
+    assert max(r["count"] for r in held) < 60
+    got = fp.fingerprint_edited(docs, buckets=buckets).collect()
+    ties = {t: h for t, h in docs.selectExpr("text", "xxhash64(text) AS h").distinct().collect()}
+    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], ties[r[1]]), reverse=True)
+    want = []
+    for i, (doc_id, text) in enumerate(order):
+        other = order[(i + 1) % len(order)][1]
+        edited = text[: len(text) - len(text) // 3] + other[: len(text) // 3]
+        want.append((doc_id, hashlib.sha256(edited.encode()).hexdigest(), fp.likeness(brute(text), brute(other))))
+    assert sorted(((r["doc_id"], r["edited_sha256"], r["near_next"]) for r in got), key=str) == sorted(want, key=str)
