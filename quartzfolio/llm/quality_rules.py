@@ -8,7 +8,9 @@ Defined results. Null and empty texts have zero counts (and so fail the base
 rules). Repeated rows give repeated rows. Labels that are null or lack a
 document are not used; of several labels of a document the lowest holds. With
 no usable labels, or labels of one class, the list is empty and every document
-that passes the base rules is kept. Further columns of the inputs are ignored.
+that passes the base rules is kept. Of conditions with the same gain the first
+in the order of ``FEATURES`` is taken. Very long texts are counted whole. Further
+columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -185,7 +187,8 @@ def prune(conditions: list[tuple[str, str, float]], x: dict[str, np.ndarray], ba
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray, max_rules: int = 16, max_conditions: int = 4, least_precision: float = 0.9, least_caught: int = 2) -> Rules:
-    """Sequential covering: ``fold`` 0 to 2 grows, 3 prunes and judges."""
+    """Sequential covering: ``fold`` 0 to 2 grows a rule, 3 prunes it, and all rows
+    that earlier rules leave say whether it is precise enough to stay."""
     out, left = Rules(), np.ones(len(bad), bool)
     for _ in range(max_rules):
         g, h = left & (fold != 3), left & (fold == 3)

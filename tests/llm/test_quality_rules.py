@@ -79,6 +79,52 @@ def test_judge_on_documents(spark, sf_dir):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_conjunctions_in_order_and_pruning():
+    rng = np.random.default_rng(8)
+    n = 6000
+    x = {f: rng.random(n) for f in qr.FEATURES}
+    bad = ((x["symbol_share"] > 0.7) & (x["capital_share"] > 0.6)) | ((x["mark_share"] > 0.8) & (x["words"] <= 0.3))
+    rules = qr.learn(x, bad, rng.integers(0, 4, n))
+    kinds = [{(name, sign) for name, sign, _ in r.conditions} for r in rules.rules]
+    assert any({("symbol_share", ">"), ("capital_share", ">")} <= k for k in kinds)
+    assert any({("mark_share", ">"), ("words", "<=")} <= k for k in kinds)
+    assert all(r.caught >= 0.9 * (r.caught + r.wrong) for r in rules.rules)
+    long = [("symbol_share", ">", 0.7), ("capital_share", ">", 0.6), ("words", ">", 0.999)]
+    assert qr.prune(long, x, bad).conditions == long[:2]
+    assert (rules.rejects(x) == bad).mean() > 0.97
+
+
+@pytest.mark.parametrize("size", ["0.01", "0.1"])
+def test_held_out_labels(spark, size):
+    """The learned list on labels that it hasn't seen, and its verdicts by plain loops."""
+    import os
+
+    sf_dir = f"/root/testdata/sf{size}"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("needs the driver's tables")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    unseen = {r["doc_id"]: r["quality"] for r in labels.where("crc32(cast(string(doc_id) AS binary)) % 5 = 0").collect()}
+    stats = qr.text_statistics(docs.join(labels.select("doc_id").distinct(), "doc_id")).cache()
+    rules = qr.learn_from(stats, labels.where("crc32(cast(string(doc_id) AS binary)) % 5 <> 0"))
+    said = {}
+    for r in stats.withColumn("base", qr.base_failed()).withColumn("number", rules.number()).collect():
+        value = {f: (r[a] / r[b] if r[b] else 0.0) if b else float(r[a]) for f, (a, b) in qr.FEATURES.items()}
+        hit = next((i for i, rule in enumerate(rules.rules, 1) if all(value[f] > at if sign == ">" else value[f] <= at for f, sign, at in rule.conditions)), 0)
+        assert r["number"] == hit
+        if not r["base"]:
+            said[r["doc_id"]] = hit == 0
+    good = [said[i] for i, q in unseen.items() if q == 1 and i in said]
+    assert np.mean(good) > 0.97
+    bad = [not said[i] for i, q in unseen.items() if q == 0 and i in said]
+    assert not bad or np.mean(bad) > 0.5
+
+
+def test_very_long_texts_and_ties(spark):
+    docs = spark.createDataFrame([(1, "long word of text " * 60_000), (2, "#" * 500_000), (2, "#" * 500_000)], "doc_id long, text string")
+    got = qr.judge(docs, spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, quality int")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_symbols"]) for r in got) == [(1, 240_000, 0), (2, 1, 500_000), (2, 1, 500_000)]
+
+
 def test_odd_inputs(spark):
     docs = spark.createDataFrame([(1, None, 0), (1, None, 0), (2, "word " * 60, 1), (None, "x y z " * 40, 2), (3, " ".join(f"w{i}" for i in range(60)), 3)], "doc_id long, text string, kept int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
