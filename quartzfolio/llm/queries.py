@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +24,13 @@ URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net
 LISTED_HOSTS = ("free-bets.example.com", "casino-win.example.com", "cheap-pills.example.com", "ads-track.example.com", "spam-farm.example.com", "adult-x.example.net")
 
 
+#: The list goes on by rule: so many numbered hosts.
+NUMBERED = 1_000_000
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES, LISTED_HOSTS)
+    listed = chain(LISTED_HOSTS, (f"host-{i}.listed.example.org" for i in range(NUMBERED)))
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES, listed)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +109,7 @@ def values(rows: list[tuple[str, ...]]) -> str:
 
 OP3_SQL = f"""
 WITH rules(verdict, rule, rule_host, rule_path) AS (VALUES {values([(v, e, *url_filters.split_entry(e)) for v, e in URL_RULES])}),
-listed(listed_host) AS (VALUES {values([(h,) for h in LISTED_HOSTS])}),
+listed(listed_host) AS (FROM (VALUES {values([(h,) for h in LISTED_HOSTS])}) UNION ALL SELECT 'host-' || range || '.listed.example.org' FROM range({NUMBERED})),
 rest AS (SELECT page_id, coalesce(strpos(url, '://') > 0, false) AS has, substr(url, strpos(url, '://') + 3) AS r FROM pages),
 split AS (
   SELECT page_id,
@@ -111,8 +118,10 @@ split AS (
   FROM rest)
 SELECT page_id, host, path, best.rule AS rule,
   CASE WHEN best.rule IS NOT NULL THEN best.verdict
-    WHEN EXISTS (SELECT 1 FROM listed WHERE host = listed_host OR ends_with(host, '.' || listed_host)) THEN 'block' ELSE 'allow' END AS verdict
-FROM split LEFT JOIN LATERAL (
+    WHEN blocked.page_id IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM split LEFT JOIN (SELECT DISTINCT page_id FROM (
+    SELECT page_id, unnest(list_transform(generate_series(1, len(string_split(host, '.'))), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) AS listed_host FROM split) JOIN listed USING (listed_host)
+) AS blocked USING (page_id) LEFT JOIN LATERAL (
   SELECT rule, verdict FROM rules
   WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   ORDER BY length(rule) DESC LIMIT 1) AS best ON true
