@@ -15,8 +15,11 @@ sentencepiece library for both kinds of model.
 Defined results. Null text: null ids (and null again when decoded). Empty text:
 no ids. A code point that no piece has becomes its UTF-8 bytes where the model
 has byte pieces, else the unknown piece. A text decodes to itself, but for the
-blank sign U+2581, which decodes to a space, and unknown pieces. Ids are
-little-endian unsigned 32-bit integers in a binary column.
+blank sign U+2581, which decodes to a space, and unknown pieces. Of unigram paths
+with the same score (ties) the one whose last pieces are shorter is taken.
+Repeated rows have the same ids; very long texts are encoded whole, a long word
+without blanks one code point at a time. Ids are little-endian unsigned 32-bit
+integers in a binary column. Only the column that is named is read.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 FILTER_BITS, SLOT_BITS = 20, 20
 NEVER = np.int64(2**62)
+#: Neighbours that a worker keeps (18 bytes each); beyond that it starts anew.
+MOST_NEAR = 2_000_000
 #: Words that a worker remembers, twice; longer words aren't kept.
 REMEMBERED, LONGEST_KEPT = 300_000, 40
 #: Rows of a matrix, and the size beyond which it is split.
@@ -84,6 +89,7 @@ class Model:
         self.keys, self.key_ids = hashes[order], np.array(list(self.symbols.values()), np.int64)[order]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        self.sizes = np.array([*map(len, self.pieces), *[1] * len(inner)], np.int64)
         self.weight = np.concatenate([self.scores, np.full(len(inner), -np.inf)])
         least = float(self.scores[self.usable].min()) if self.usable else 0.0
         self.unknown_score = least - 10
@@ -180,6 +186,10 @@ class Encoder:
                 rows = np.flatnonzero(sizes == n)
                 got = self.m.merged(np.array([chars[i] for i in rows.tolist()], np.int64))
                 ok[rows] = (got[:, 0] == new[rows] >> 32) & (got[:, 1] == (new[rows] & 0xFFFFFFFF)) & ((got[:, 2] == -1) if n > 2 else True)
+            if len(self.near_keys) + len(new) > MOST_NEAR:
+                kept = np.isin(self.near_keys, wanted)  # those of this call
+                kept[0] = True
+                self.near_keys, self.near_ok = self.near_keys[kept], self.near_ok[kept]
             at = np.searchsorted(self.near_keys, new)
             self.near_keys, self.near_ok = np.insert(self.near_keys, at, new), np.insert(self.near_ok, at, ok)
         return self.near_ok[np.searchsorted(self.near_keys, key)]
@@ -201,6 +211,8 @@ class Encoder:
             unknown = symbol[:, 0] < 0
             rows, less = np.nonzero((symbol >= 0) & (best[:, i - deep : i][:, ::-1] > -np.inf))
             t, k = symbol[rows, less], less + 1
+            if (m.sizes[t] != k).any():  # a hash of another length
+                rows, t, k = (x[m.sizes[t] == k] for x in (rows, t, k))
             if m.kind == BPE:  # one way at most is admitted
                 ok = self.reachable(t)
                 before = last[rows, i - k]
