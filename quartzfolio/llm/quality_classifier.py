@@ -7,9 +7,11 @@ posterior of a pattern labels its documents, and a bounded sample of these
 trains a hashed linear scorer, whose score decides.
 
 Defined results. Null and empty texts: score 0, rejected. If all documents get
-the same label the scorer keeps them all (or, all bad, rejects them all).
-Documents without an id are judged but not learned from. Equal texts have equal
-scores. Further columns are passed on or ignored.
+the same label the scorer keeps them all (or, all bad, rejects them all). Equal
+texts, whatever their ids, are learned from once and have equal scores; ids may
+be null or repeated. Very long texts are measured whole. An empty table keeps
+nothing and learns a scorer that keeps all. Further columns are passed on or
+ignored.
 """
 
 from __future__ import annotations
@@ -222,33 +224,35 @@ def fit(texts: list[str], target: np.ndarray, prior: float = 0.5, epochs: int =
 
 
 def vote_table(docs: DataFrame) -> DataFrame:
-    """doc_id and vote pattern of every row."""
+    """Hash, size and vote pattern of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "size": b.column("size"), "pattern": pa.array([votes(t) for t in b.column("text").to_pylist()], pa.int64())})
+            yield pa.record_batch({"hash": b.column("hash"), "size": b.column("size"), "pattern": pa.array([votes(t) for t in b.column("text").to_pylist()], pa.int64())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").cast("long").alias("size"), "text").mapInArrow(run, "doc_id long, size long, pattern long")
+    return docs.select(F.xxhash64("text").alias("hash"), F.length("text").cast("long").alias("size"), "text").mapInArrow(run, "hash long, size long, pattern long")
 
 
 def learn(docs: DataFrame, per_class: int = 2000, chars: int = 12_000_000) -> tuple[Labels, Scorer]:
-    """Accuracies from all documents; the scorer from about ``per_class``
-    documents, of about ``chars`` code points, with each label."""
-    seen = materialize(vote_table(docs), "votes")
-    counts = {r["pattern"]: r for r in seen.where("pattern IS NOT NULL").groupBy("pattern").agg(F.count("*").alias("n"), F.sum("size").alias("chars")).collect()}  # 3 ** 11 at most
+    """Accuracies from all documents; the scorer from about ``per_class`` texts,
+    of about ``chars`` code points, with each label."""
+    spark = docs.sparkSession
+    seen = materialize(vote_table(docs), "votes").where("pattern IS NOT NULL")
+    counts = {r["pattern"]: r for r in seen.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("size").alias("chars")).collect()}  # 3 ** 11 at most
     labels = estimate({p: r["n"] for p, r in counts.items()})
-    of = {c: [p for p, q in labels.posterior.items() if (q >= 0.5) == bool(c)] for c in (BAD, GOOD)}
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    wanted: Column = F.lit(False)
-    for patterns in of.values():
-        if patterns:
-            rate = min(per_class / sum(counts[p]["n"] for p in patterns), chars / max(1, sum(counts[p]["chars"] for p in patterns)))
-            wanted = wanted | (F.col("pattern").isin(patterns) & (spot < rate))
-    picked = seen.where(wanted & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("pattern").alias("pattern"))
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * per_class)  # two numbers a row
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").where("text IS NOT NULL").select("text", "pattern")
-    rows = sorted(tuple(r) for r in rows.collect())
-    return labels, fit([t for t, _ in rows], np.array([labels.posterior[p] for _, p in rows]), labels.prior)
+    rates = []
+    for c in (BAD, GOOD):
+        of = [p for p, q in labels.posterior.items() if (q >= 0.5) == bool(c)]
+        if of:
+            rate = min(per_class / sum(counts[p]["n"] for p in of), chars / max(1, sum(counts[p]["chars"] for p in of)))
+            rates += [(p, rate) for p in of]
+    wanted = F.broadcast(spark.createDataFrame(rates, "pattern long, rate double"))  # a row a pattern
+    spot = F.pmod(F.xxhash64("hash"), F.lit(1_000_003)) / 1_000_003.0
+    picked = seen.join(wanted, "pattern").where(spot < F.col("rate")).select("hash").distinct()
+    picked = picked.orderBy(F.xxhash64("hash"), "hash").limit(4 * per_class)  # a number a row
+    texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("hash"), "text").join(F.broadcast(picked), "hash")
+    rows = sorted(r["text"] for r in texts.groupBy("hash").agg(F.min("text").alias("text")).collect())  # copies meet first
+    return labels, fit(rows, np.array([labels.posterior[votes(t)] for t in rows]), labels.prior)
 
 
 def scored(docs: DataFrame, scorer: Scorer, text: str = "text") -> Column:

@@ -62,6 +62,31 @@ def test_labelled_documents(spark, sf_dir):
     assert np.mean([not k for q, k in said if q == 0]) > 0.8
 
 
+def test_verdicts_against_plain_loops(spark, sf_dir):
+    """Patterns counted, estimated and sampled again by hand give the same scorer."""
+    docs = table(spark, sf_dir, "documents")
+    texts = [r["text"] for r in docs.collect()]
+    patterns = [p for p in map(qc.votes, texts) if p is not None]
+    labels, scorer = qc.learn(docs)
+    by_hand = qc.estimate(Counter(patterns))
+    assert labels.posterior == by_hand.posterior
+    used = sorted({t for t in texts if qc.votes(t) is not None})  # the table is smaller than the sample
+    again = qc.fit(used, np.array([by_hand.posterior[qc.votes(t)] for t in used]), by_hand.prior)
+    assert np.allclose(again.weights, scorer.weights, atol=1e-6)
+    for r, t in zip(sorted(qc.judge(docs).collect(), key=lambda r: r["doc_id"]), [r["text"] for r in docs.orderBy("doc_id").collect()], strict=True):
+        z = 0.0 if not (t or "").split() else 1 / (1 + np.exp(-(float(qc.features(t, qc.measures(t)) @ again.weights) + again.bias)))
+        assert abs(r["score"] - z) < 1e-4
+        assert r["kept"] == (r["score"] >= 0.5)
+
+
+def test_repeated_ids_are_learned_by_their_texts(spark):
+    good = [" ".join(f"plain{'abcdefgh'[(i * j) % 8]} words" for j in range(40)) for i in range(1, 30)]
+    bad = [" ".join(f"#{i}$ %% {j}&|" for j in range(40)) for i in range(1, 30)]
+    docs = spark.createDataFrame([(1, t) for t in good + bad], "doc_id long, text string")
+    kept = sorted(qc.judge(docs).select("kept").collect())
+    assert [r["kept"] for r in kept] == [False] * len(bad) + [True] * len(good)
+
+
 def test_odd_inputs(spark):
     random.seed(2)
     prose = [" ".join(random.choice(["stone", "river", "the", "walks", "over"]) for _ in range(60)) for _ in range(40)]
