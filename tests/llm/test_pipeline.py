@@ -16,8 +16,8 @@ def test_stages_against_brute_force(spark, sf_dir):
     model = language_id.learn(good)
     want = set()
     for r in good.collect():
-        (lang,), (score,) = model.predict(language_id.features(r["text"])[None, :])
-        if language_id.has_letter(r["text"]) and score >= cp.LEAST_LANGUAGE:
+        x = language_id.features(r["text"])[None, :]
+        if language_id.has_letter(r["text"]) and model.fits(x, [len(r["text"])], model.predict(x)[0]) == [True]:
             want.add(r["doc_id"])
     assert known.columns == docs.columns
     assert {r["doc_id"] for r in known.collect()} == want
@@ -35,6 +35,16 @@ def test_clean_documents_stay(spark, sf_dir):
     assert kept.join(labels, "doc_id").count() > 0.93 * n
 
 
+def test_a_language_that_was_not_learned_goes(spark, sf_dir):
+    from tests.llm.test_language_id import NOISE, POLISH
+
+    docs = table(spark, sf_dir, "documents")
+    more = spark.createDataFrame([(10**9 + i, t * 12, None, "s", len(t)) for i, t in enumerate([POLISH, NOISE])], docs.schema)
+    kept = {r["doc_id"] for r in cp.language(spark, docs.unionByName(more), sf_dir).collect()}
+    assert not kept & {10**9, 10**9 + 1}
+    assert len(kept) > 0.8 * docs.count()
+
+
 def test_clashing_columns_and_no_rows(spark):
     rows = [(i, " ".join(f"word{'abcdefgh'[j % 8]} and the river{'xyz'[j % 3]}" for j in range(i, i + 40)), "en", "said", 1, 2) for i in range(30)]
     docs = spark.createDataFrame([*rows, (99, None, None, None, None, None)], "doc_id long, text string, lang string, row string, said int, id int")
