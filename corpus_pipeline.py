@@ -1,8 +1,11 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Every stage but the last returns the columns of ``documents``; each works on all
-that the one before has kept. Null and empty texts go in the first stage. With
-an empty table every stage returns an empty one.
+that the one before has kept, and passes on further columns, whatever their
+names and types. Null and empty texts go in the first stage; a null id is kept,
+and counts as the least of its group. Very long texts are read whole by every
+stage. Repeated rows and ties: the third stage leaves one. With an empty table
+every stage returns an empty one.
 """
 
 from __future__ import annotations
@@ -14,8 +17,8 @@ from quartzfolio.llm import language_id, ngram_join, packing, quality_classifier
 from quartzfolio.llm.common import materialize, table
 from quartzfolio.llm.queries import tokenizer_spec
 
-#: Scores below which a document goes.
-LEAST_QUALITY, LEAST_LANGUAGE = 0.5, 0.2
+#: Score below which a document goes.
+LEAST_QUALITY = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +30,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; those without a letter, and
-    those that no language claims, go."""
+    those that don't fit the language nearest to them, go."""
     model = language_id.learn(docs)
     rows = docs.select(F.struct("*").alias("row"), language_id.predicted(docs, model).alias("said"))
-    return rows.where((F.col("said.lang_pred") != language_id.UNKNOWN) & (F.col("said.score") >= LEAST_LANGUAGE)).select("row.*")
+    return rows.where(F.col("said.fits")).select("row.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
