@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quartzfolio.plans import analytics, ingest, metrics, prioritize, quality, similarity
+from quartzfolio.plans import analytics, ingest, metrics, portfolio, prioritize, quality, similarity
 from quartzfolio.plans.common import Query
 
 FLAGSHIP = "prioritize_parts"
-PLANS = (prioritize, metrics, similarity, quality, analytics, ingest)
+PLANS = (prioritize, metrics, similarity, quality, analytics, ingest, portfolio)
 
 
 def queries() -> dict[str, Query]:

@@ -59,36 +59,3 @@ def cooldown(rows: DataFrame, pause: str) -> DataFrame:
             yield b[keep]
 
     return by_key(rows).mapInPandas(run, rows.select("key", "ts", "event_id").schema)
-
-
-def breaker(rows: DataFrame, failures: int = 3, window: str = "60 days", reset: str = "30 minutes", successes: int = 2) -> DataFrame:
-    """State changes (key, event_id, state) of a circuit breaker over rows (key,
-    ts, event_id, ok): ``failures`` within ``window`` open it, after ``reset`` it
-    is half open, and then ``successes`` close or one failure opens it."""
-    span, rest = pd.Timedelta(window), pd.Timedelta(reset)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, failed, good, opened = object(), "closed", [], 0, None
-        for b in batches:
-            out = []
-            for k, ts, event, ok in zip(b["key"], b["ts"], b["event_id"], b["ok"], strict=True):
-                if k != key:
-                    key, state, failed, good, opened = k, "closed", [], 0, None
-                before = state
-                if state == "open" and ts - opened >= rest:
-                    state, good = "half_open", 0
-                if state == "half_open":
-                    good = good + 1 if ok else 0
-                    if not ok:
-                        state, opened = "open", ts
-                    elif good >= successes:
-                        state, failed = "closed", []
-                elif state == "closed" and not ok:
-                    failed = [t for t in failed if ts - t < span][-failures:] + [ts]
-                    if len(failed) >= failures:
-                        state, opened = "open", ts
-                if state != before:
-                    out.append((k, event, state))
-            yield pd.DataFrame(out, columns=["key", "event_id", "state"])
-
-    return by_key(rows).mapInPandas(run, "key long, event_id long, state string")

@@ -55,37 +55,6 @@ def vendor_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).groupBy("vendor").agg(F.count("*").alias("n"), rounded(F.sum(F.col("budget").cast("decimal(18,2)")).cast("double"), 2).alias("spend"), F.when(F.sum("budget") > 500_000, "enterprise").otherwise("smb").alias("size"), rounded(risk).alias("risk"))
 
 
-HEALTH = {
-    "balance": (0.15, "greatest(0, 70 - CASE WHEN avg(CASE WHEN phase = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) > 0.5 THEN 20 ELSE 0 END + CASE WHEN avg(CASE WHEN complexity = 'low' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) > 0.2 THEN 10 ELSE 0 END)"),
-    "risk": (0.30, "greatest(0, 100 - least(40, 2 * count_if(lifecycle = 'end_of_life')) - least(40, count_if(risk = 'high')))"),
-    "alignment": (0.25, "least(100, floor(CAST(0.000001 AS DOUBLE) + avg(CAST(coalesce(alignment, 5) AS DOUBLE)) / 10 * 50 + avg(CASE WHEN alignment >= 7 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) * 50))"),
-    "efficiency": (0.10, "greatest(0, 100 - least(60, count_if(active_users < 10) * 4) - least(30, count_if(cost > 3 * budget) * 5))"),
-    "coverage": (0.20, "least(100, 10 * count(DISTINCT category))"),
-}
-WEIGHED = " + ".join(f"CAST({w} AS DOUBLE) * {n}" for n, (w, _) in HEALTH.items())
-
-
-@R.add("portfolio_health", f"WITH {ITEMS_SQL}, h AS (SELECT vendor, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, (_, e) in HEALTH.items()) + f" FROM items GROUP BY vendor) SELECT *, {r(WEIGHED)} AS health FROM h")
-def portfolio_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five scores of each vendor's portfolio, and their weighed mean."""
-    h = items(spark, sf_dir).groupBy("vendor").agg(*(F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, (_, e) in HEALTH.items()))
-    return h.withColumn("health", rounded(F.expr(WEIGHED)))
-
-
-RISKS = {
-    "end_of_life": (0.25, "least(100, 15 * count_if(lifecycle = 'deprecated') + 10 * count_if(lifecycle = 'end_of_life'))"), "integration": (0.25, "least(100, 8 * count_if(n_dependencies > 4) + 3 * count_if(n_dependencies = 4))"),
-    "continuity": (0.30, "CASE WHEN count_if(risk = 'critical') = 1 THEN 5 WHEN count_if(risk = 'critical') > 10 THEN 60 ELSE 10 END"), "debt": (0.20, "CASE WHEN avg(CASE WHEN status = 'outdated' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) > 0.15 THEN 60 ELSE 15 END"),
-}
-RISK_WEIGHED = " + ".join(f"CAST({w} AS DOUBLE) * {n}" for n, (w, _) in RISKS.items())
-
-
-@R.add("risk_overall", f"WITH {ITEMS_SQL}, h AS (SELECT category, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, (_, e) in RISKS.items()) + f" FROM items GROUP BY category), o AS (SELECT *, {r(RISK_WEIGHED)} AS overall FROM h) SELECT *, CASE WHEN overall >= 75 THEN 'critical' WHEN overall >= 50 THEN 'high' WHEN overall >= 25 THEN 'medium' ELSE 'low' END AS level FROM o")
-def risk_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = items(spark, sf_dir).groupBy("category").agg(*(F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, (_, e) in RISKS.items())).withColumn("overall", rounded(F.expr(RISK_WEIGHED)))
-    o = F.col("overall")
-    return h.withColumn("level", F.when(o >= 75, "critical").when(o >= 50, "high").when(o >= 25, "medium").otherwise("low"))
-
-
 THEMES = {"metal": ("steel", "copper", "tin"), "fine": ("brass", "nickel"), "bulk": ("economy", "large")}
 THEME_SQL = " UNION ALL ".join(f"SELECT id, '{t}' AS theme, budget, alignment FROM items WHERE " + " OR ".join(f"contains(lower(category), '{w}')" for w in ws) for t, ws in THEMES.items())
 
@@ -106,13 +75,6 @@ def budget_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.crossJoin(F.broadcast(total)).select("category", rounded(F.col("b"), 2).alias("budget"), rounded(share).alias("share"), (share <= 0.4).alias("optimal"))
 
 
-@R.add("redundant_capabilities", f"WITH {ITEMS_SQL} SELECT category, complexity, count(*) AS n, min(id) FILTER (status = 'active') AS kept FROM items WHERE complexity IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
-def redundant_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that do the same, and the one to keep."""
-    g = items(spark, sf_dir).where("complexity IS NOT NULL").groupBy("category", "complexity").agg(F.count("*").alias("n"), F.min(F.when(F.col("status") == "active", F.col("id"))).alias("kept"))
-    return g.where("n > 1")
-
-
 EDGES_SQL = f"""{ITEMS_SQL}, byvendor AS (SELECT a.id AS src, b.id AS dst, 'vendor' AS kind, 2 AS rank FROM items a JOIN items b ON a.vendor = b.vendor AND a.category = b.category AND a.id < b.id),
 bycategory AS (SELECT a.id AS src, b.id AS dst, 'category' AS kind, 1 AS rank FROM items a JOIN items b ON a.category = b.category AND a.owner = b.owner AND a.id < b.id),
 e AS (SELECT src, dst, kind FROM (SELECT * FROM byvendor UNION ALL SELECT * FROM bycategory) QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY rank) = 1)"""
@@ -210,10 +172,3 @@ def cooldown_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of each user that raise an alert: an hour after one there is none."""
     e = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("key"), "ts", "event_id")
     return learning.cooldown(e, "1 hour")
-
-
-@R.add("circuit_breaker")
-def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State changes of a breaker for each user: errors open it."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", "event_id", (F.col("event_type") != "error").alias("ok"))
-    return learning.breaker(e)

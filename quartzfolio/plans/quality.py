@@ -141,22 +141,6 @@ def sector_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", F.when(good, top).otherwise("unknown").alias("sector"), F.when(good, F.least(F.lit(0.95), rounded(sure))).otherwise(0.3).alias("confidence"))
 
 
-TIERS = {"presentation": ("html", "page", "style"), "data": ("table", "list", "data"), "integration": ("link", "script", "api"), "security": ("license", "secret", "password")}
-HITS = {c: "(" + " + ".join(f"contains(lower(html), '{w}')::INT" for w in ws) + ")" for c, ws in TIERS.items()}
-
-
-@R.add("tier_classify", "WITH h AS (SELECT page_id, " + ", ".join(f"{e} AS {c}" for c, e in HITS.items()) + " FROM pages), g AS (SELECT *, greatest(" + ", ".join(TIERS) + ") AS most FROM h) SELECT page_id, CASE WHEN most = 0 OR most IS NULL THEN 'business' " + " ".join(f"WHEN {c} = most THEN '{c}'" for c in TIERS) + " END AS tier FROM g")
-def tier_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", F.lower("html").alias("h"))
-    hits = {}
-    for c, ws in TIERS.items():
-        n = F.lit(0)
-        for w in ws:
-            n = n + F.coalesce(F.contains("h", F.lit(w)).cast("int"), F.lit(0))
-        hits[c] = n
-    return p.select("page_id", quality.best_class(list(TIERS), hits, "business").alias("tier"))
-
-
 TAXONOMY = (("10", "steel parts standard"), ("11", "copper parts standard"), ("20", "economy anodized steel"), ("21", "promo plated tin"), ("30", "large brass polished"), ("31", "small nickel brushed"))
 TAXONOMY_ROWS = ", ".join(f"('{c}', '{d}')" for c, d in TAXONOMY)
 

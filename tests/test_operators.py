@@ -85,16 +85,12 @@ def test_mentions(spark):
     assert sorted(map(tuple, graph.mentions(docs, passages).collect())) == [(1, 1), (1, 2), (4, 2)]
 
 
-def test_cooldown_and_breaker(spark):
+def test_cooldown(spark):
     import datetime as dt
 
     at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
     rows = spark.createDataFrame([(1, at(m), i) for i, m in enumerate((0, 10, 61, 70, 121))] + [(2, at(5), 9)], "key long, ts timestamp, event_id long")
     assert sorted(r["event_id"] for r in learning.cooldown(rows, "1 hour").collect()) == [0, 2, 4, 9]
-    seen = [(0, False), (1, False), (2, False), (3, True), (40, True), (41, True), (42, False)]
-    rows = spark.createDataFrame([(1, at(m), i, ok) for i, (m, ok) in enumerate(seen)], "key long, ts timestamp, event_id long, ok boolean")
-    got = sorted((r["event_id"], r["state"]) for r in learning.breaker(rows, window="1 hour").collect())
-    assert got == [(2, "open"), (4, "half_open"), (5, "closed")]
 
 
 def test_empty_inputs(spark):
