@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quartzfolio.plans import analytics, ingest, metrics, portfolio, prioritize, quality, similarity, validation
+from quartzfolio.plans import analytics, fields, ingest, metrics, portfolio, prioritize, quality, similarity, validation
 from quartzfolio.plans.common import Query
 
 FLAGSHIP = "prioritize_parts"
-PLANS = (prioritize, metrics, similarity, quality, analytics, ingest, portfolio, validation)
+PLANS = (prioritize, metrics, similarity, quality, analytics, ingest, portfolio, validation, fields)
 
 
 def queries() -> dict[str, Query]:
