@@ -56,22 +56,13 @@ def nearest(queries: DataFrame, vecs: DataFrame, k: int, places: int) -> DataFra
     return some.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k)
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-
-
-def is_term(t: str):
-    return lambda x: x == F.lit(t)
-
-
 def bm25(docs: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 of the documents (doc_id, text) that have one of the terms. Counts
-    are taken inside each row; one row of totals is joined back."""
-    w = docs.select("doc_id", words(F.col("text")).alias("w"))
-    hits = w.select("doc_id", F.size("w").alias("words"), F.filter("w", lambda x: x.isin(*terms)).alias("hits"))
-    tf = [F.size(F.filter("hits", is_term(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    n = hits.select("doc_id", "words", *tf).where("words > 0")
+    """BM25 of the documents (doc_id, text) that have one of the terms. Texts are
+    read and split once: their words become rows, which are counted before they
+    leave the task. One row of totals is joined back."""
+    found = docs.select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word")).where("word <> ''")
     of = range(len(terms))
+    n = found.groupBy("doc_id").agg(F.count("*").alias("words"), *(F.count_if(F.col("word") == t).alias(f"tf{i}") for i, t in enumerate(terms)))
     totals = n.agg(F.count("*").alias("docs"), F.avg("words").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in of))
     score = F.lit(0.0)
     for i in of:

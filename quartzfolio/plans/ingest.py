@@ -21,7 +21,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.unionByName(pages).unionByName(orders)
 
 
-@R.add("sniff_content", f"""WITH {RAW_SQL}, l AS (SELECT key, content, split_part(content, chr(10), 1) AS line FROM raw) SELECT key, CASE WHEN regexp_matches(lower(left(content, 2000)), '<(html|head|body|div|table|!doctype)') THEN 'html' WHEN regexp_matches(content, '^\\s*[\\[{{]') AND regexp_matches(content, '[\\]}}]\\s*$') THEN 'json'
+@R.add("sniff_content", f"""WITH {RAW_SQL}, l AS (SELECT key, content, split_part(content, chr(10), 1) AS line FROM raw) SELECT key, CASE WHEN regexp_matches(content, '(?i)<(html|head|body|div|table|!doctype)') THEN 'html' WHEN regexp_matches(content, '^\\s*[\\[{{]') AND regexp_matches(content, '[\\]}}]\\s*$') THEN 'json'
 WHEN len(string_split(line, ',')) > 2 OR len(string_split(line, ';')) > 2 THEN 'csv' WHEN len(string_split(line, chr(9))) > 2 THEN 'tsv' ELSE 'text' END AS format FROM l""")
 def sniff_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir).select("key", formats.sniff(F.col("content")).alias("format"))

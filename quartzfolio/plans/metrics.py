@@ -62,17 +62,17 @@ def feedback_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics(spark, sf_dir).groupBy("kind", "tenant").agg(F.count("*").alias("n"), n(0).alias("accepted"), n(1).alias("changed"), n(2).alias("rejected"))
 
 
-STATS_SQL = f"""WITH {METRICS_SQL}, p AS (SELECT tenant, id, confidence FROM m WHERE kind = 'purchase'), f AS (SELECT tenant, id, accuracy FROM m WHERE kind = 'error' AND id % 20 = 1), t AS (SELECT tenant, id FROM m WHERE kind = 'view' AND id % 20 = 2)"""
+STATS_SQL = f"""WITH {METRICS_SQL}, p AS (SELECT tenant, count(DISTINCT id) AS runs, avg(confidence) AS mean FROM m WHERE kind = 'purchase' GROUP BY tenant), f AS (SELECT tenant, count(DISTINCT id) AS feedbacks FROM m WHERE kind = 'error' GROUP BY tenant), t AS (SELECT tenant, count(DISTINCT id) AS patterns FROM m WHERE kind = 'view' GROUP BY tenant)"""
 
 
-@R.add("prioritization_stats_fanout", f"{STATS_SQL} SELECT p.tenant, count(DISTINCT p.id) AS runs, count(DISTINCT f.id) AS feedbacks, count(DISTINCT t.id) AS patterns, {r('avg(p.confidence)')} AS mean_confidence FROM p LEFT JOIN f ON f.tenant = p.tenant LEFT JOIN t ON t.tenant = p.tenant GROUP BY 1")
+@R.add("prioritization_stats_fanout", f"{STATS_SQL} SELECT p.tenant, runs, coalesce(feedbacks, 0) AS feedbacks, coalesce(patterns, 0) AS patterns, {r('mean')} AS mean_confidence FROM p LEFT JOIN f USING (tenant) LEFT JOIN t USING (tenant)")
 def prioritization_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each side is counted before they meet: what the joined rows would say
     through DISTINCT, without multiplying them."""
     m = metrics(spark, sf_dir)
     p = m.where("kind = 'purchase'").groupBy("tenant").agg(F.countDistinct("id").alias("runs"), rounded(F.avg("confidence")).alias("mean_confidence"))
-    f = m.where("kind = 'error' AND id % 20 = 1").groupBy("tenant").agg(F.countDistinct("id").alias("feedbacks"))
-    t = m.where("kind = 'view' AND id % 20 = 2").groupBy("tenant").agg(F.countDistinct("id").alias("patterns"))
+    f = m.where("kind = 'error'").groupBy("tenant").agg(F.countDistinct("id").alias("feedbacks"))
+    t = m.where("kind = 'view'").groupBy("tenant").agg(F.countDistinct("id").alias("patterns"))
     return p.join(f, "tenant", "left").join(t, "tenant", "left").na.fill(0, ["feedbacks", "patterns"])
 
 
@@ -107,16 +107,25 @@ def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("tenant", "n", rounded(F.col("a")).alias("recent"), rounded(F.col("b")).alias("older"), rounded(F.when(F.col("b") > 0, (F.col("a") - F.col("b")) / F.col("b")).otherwise(0.0)).alias("improvement"))
 
 
-@R.add("anomaly_detect", f"""WITH {METRICS_SQL}, d AS (SELECT kind, CAST(seen_at AS DATE) AS day, count(*) AS n, avg(accuracy) AS acc, count(*) FILTER (corrected = 2) AS rejected FROM m GROUP BY ALL),
+#: Some days are made odd: rows repeated, less accurate, or rejected.
+ODD = "dayofmonth(seen_at) + length(kind)"
+ODD_SQL = "day(seen_at) + length(kind)"
+
+
+@R.add("anomaly_detect", f"""WITH {METRICS_SQL}, o AS (SELECT kind, seen_at, CASE WHEN ({ODD_SQL}) % 13 = 0 THEN accuracy * 0.7::DOUBLE ELSE accuracy END AS accuracy, CASE WHEN ({ODD_SQL}) % 11 = 0 THEN 2 ELSE corrected % 2 END AS corrected, CASE WHEN ({ODD_SQL}) % 17 = 0 THEN 9 ELSE 1 END AS times FROM m),
+d AS (SELECT kind, CAST(seen_at AS DATE) AS day, CAST(sum(times) AS BIGINT) AS n, avg(accuracy) AS acc, CAST(sum(times) FILTER (corrected = 2) AS BIGINT) AS rejected FROM o GROUP BY ALL),
 b AS (SELECT kind, avg(n) AS mean_n, avg(acc) AS mean_acc FROM d GROUP BY kind)
-SELECT d.kind, day, 'accuracy_drop' AS anomaly FROM d JOIN b USING (kind) WHERE acc < mean_acc * 0.95 UNION ALL SELECT d.kind, day, 'volume' FROM d JOIN b USING (kind) WHERE n > 1.3 * mean_n UNION ALL SELECT kind, day, 'rejections' FROM d WHERE n > 10 AND rejected::DOUBLE / n > 0.4""")
+SELECT d.kind, day, 'accuracy_drop' AS anomaly FROM d JOIN b USING (kind) WHERE acc < mean_acc * 0.85 UNION ALL SELECT d.kind, day, 'volume' FROM d JOIN b USING (kind) WHERE n > 3 * mean_n UNION ALL SELECT kind, day, 'rejections' FROM d WHERE n > 10 AND rejected::DOUBLE / n > 0.3""")
 def anomaly_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of a kind that stand out from its mean day."""
-    d = metrics(spark, sf_dir).groupBy("kind", F.to_date("seen_at").alias("day")).agg(F.count("*").alias("n"), F.avg("accuracy").alias("acc"), F.count_if(F.col("corrected") == 2).alias("rejected"))
+    """Days of a kind that stand out from its mean day: accuracy lower by more
+    than 15 %, more than three times the volume, over 30 % rejected."""
+    odd = lambda n: F.expr(f"({ODD}) % {n} = 0")
+    o = metrics(spark, sf_dir).select("kind", "seen_at", F.when(odd(13), F.col("accuracy") * 0.7).otherwise(F.col("accuracy")).alias("accuracy"), F.when(odd(11), 2).otherwise(F.col("corrected") % 2).alias("corrected"), F.when(odd(17), 9).otherwise(1).alias("times"))
+    d = o.groupBy("kind", F.to_date("seen_at").alias("day")).agg(F.sum("times").alias("n"), F.avg("accuracy").alias("acc"), F.coalesce(F.sum(F.when(F.col("corrected") == 2, F.col("times"))), F.lit(0)).alias("rejected"))
     w = Window.partitionBy("kind")
     d = d.withColumns({"mean_n": F.avg("n").over(w), "mean_acc": F.avg("acc").over(w)})
     found = F.array_compact(F.array(
-        F.when(F.col("acc") < F.col("mean_acc") * 0.95, "accuracy_drop"), F.when(F.col("n") > 1.3 * F.col("mean_n"), "volume"), F.when((F.col("n") > 10) & (F.col("rejected") / F.col("n") > 0.4), "rejections"),
+        F.when(F.col("acc") < F.col("mean_acc") * 0.85, "accuracy_drop"), F.when(F.col("n") > 3 * F.col("mean_n"), "volume"), F.when((F.col("n") > 10) & (F.col("rejected") / F.col("n") > 0.3), "rejections"),
     ))
     return d.select("kind", "day", F.explode(found).alias("anomaly"))
 
@@ -193,11 +202,11 @@ def session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("user_id", F.col("w.start").alias("session_start"), "n")
 
 
-@R.add("conversation_window", "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) SELECT conv_id, count(*) AS messages, string_agg(role || ': ' || left(text, 40), chr(10) ORDER BY turn) FILTER (back <= 3) AS context FROM t GROUP BY conv_id")
+@R.add("conversation_window", "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) SELECT conv_id, count(*) AS messages, string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (back <= 3) AS context FROM t GROUP BY conv_id")
 def conversation_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last three turns of a conversation, and how many it has."""
     c = table(spark, sf_dir, "conversations").withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))))
-    line = F.struct("turn", F.concat("role", F.lit(": "), F.left("text", F.lit(40))).alias("t"))
+    line = F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t"))
     g = c.groupBy("conv_id").agg(F.count("*").alias("messages"), F.array_sort(F.collect_list(F.when(F.col("back") <= 3, line))).alias("l"))
     return g.select("conv_id", "messages", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("context"))
 

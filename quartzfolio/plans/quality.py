@@ -89,14 +89,16 @@ def confidence_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured(spark, sf_dir).select("id", rounded(F.least(F.lit(0.99), total)).alias("confidence"))
 
 
-NAME_SQL = "n AS (SELECT doc_id, source, split_part(text, chr(10), 1) AS name FROM documents)"
+LINES_SQL = "n AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS name, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents)"
 NOISE_SQL = "coalesce(length(name) < 3 OR length(name) > 300 OR len(string_split_regex(trim(name), ' +')) > 25 OR (length(name) > 100 AND lower(name) = name) OR " + " OR ".join(f"regexp_matches(name, '{p}')" for p in quality.NOISE) + ", true)"
 
 
-@R.add("noise_filter", f"WITH {NAME_SQL} SELECT doc_id, {NOISE_SQL} AS noise FROM n")
+@R.add("noise_filter", f"WITH {LINES_SQL} SELECT doc_id, count(*) AS lines, count(*) FILTER ({NOISE_SQL}) AS noise, CAST(min(line) FILTER (NOT {NOISE_SQL}) AS INTEGER) AS first_name FROM n GROUP BY doc_id")
 def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the first line of a document could be the name of an item."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("name")).select("doc_id", quality.is_noise(F.col("name")).alias("noise"))
+    """How many lines of each document are no name of an item, and the first that is."""
+    lines = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "name"))
+    noise = quality.is_noise(F.col("name"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(noise).alias("noise"), F.min(F.when(~noise, F.col("line"))).alias("first_name"))
 
 
 CLEAN_SQL = "html"

@@ -57,7 +57,9 @@ STOP_SQL = ", ".join(f"'{w}'" for w in strings.STOP_WORDS)
 SELECT word, count(*) AS n FROM k GROUP BY word HAVING count(*) >= 20""")
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords of documents with the number of documents that have them."""
-    return table(spark, sf_dir, "documents").select(F.explode(strings.keywords(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 20")
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"[^a-z0-9àèéìòù]+")).alias("word"))
+    words = words.where((F.length("word") >= 3) & ~F.col("word").isin(*strings.STOP_WORDS))
+    return words.groupBy("word", "doc_id").agg(F.count("*").alias("k")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 20")
 
 
 @R.add("dedup_exact_hash", "SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
@@ -110,7 +112,7 @@ def minhash_lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.lsh_pairs(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text")), 0.75)
 
 
-COSINE_SQL = """q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
+COSINE_SQL = """q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query, vec_id, label, list_sum(list_transform(list_zip(q, embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(q, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS cosine FROM q CROSS JOIN embeddings WHERE vec_id <> query)"""
 
 
@@ -119,7 +121,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of a stated query set, which meets all vectors in
     blocks; the ten best of every block come first."""
     vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return search.nearest(vecs.where("vec_id % 50 = 0"), vecs, 10, 5)
+    return search.nearest(vecs.where("vec_id % 20 = 0"), vecs, 10, 5)
 
 
 @R.add("cosine_matrix_label", f"""WITH v AS (SELECT label, i, avg(x)::DOUBLE AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL),
@@ -167,7 +169,7 @@ def adaptive_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quartzfolio.operators.windows import adaptive_threshold
 
     vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    best = search.nearest(vecs.where("vec_id % 50 = 0"), vecs, 10, 8)
+    best = search.nearest(vecs.where("vec_id % 20 = 0"), vecs, 10, 8)
     return adaptive_threshold(best, "query", "cosine").withColumn("threshold", rounded(F.col("threshold"), 5))
 
 
@@ -180,12 +182,12 @@ def min_max_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(bounds, "event_type").select("event_type", "event_id", rounded(scaled).alias("scaled"))
 
 
-@R.add("catalog_match", f"""WITH {ITEMS_SQL} SELECT id, name, CAST(10 * (contains(lower(name), 'green') AND contains(lower(category), 'steel'))::INT + 3 * contains(lower(name), 'green')::INT + 2 * contains(lower(category), 'steel')::INT AS BIGINT) AS score FROM items
-WHERE contains(lower(name), 'green') OR contains(lower(category), 'steel') ORDER BY score DESC, id LIMIT 20""")
+@R.add("catalog_match", f"""WITH {ITEMS_SQL} SELECT id, name, CAST(10 * (contains(lower(name), 'red') AND contains(lower(category), 'promo'))::INT + 3 * contains(lower(name), 'red')::INT + 2 * contains(lower(category), 'promo')::INT AS BIGINT) AS score FROM items
+WHERE contains(lower(name), 'red') OR contains(lower(category), 'promo') ORDER BY score DESC, id LIMIT 20""")
 def catalog_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword search of items: three for a term of the name, two for one of the
     category, ten more for all."""
-    name, kind = F.contains(F.lower("name"), F.lit("green")), F.contains(F.lower("category"), F.lit("steel"))
+    name, kind = F.contains(F.lower("name"), F.lit("red")), F.contains(F.lower("category"), F.lit("promo"))
     score = F.when(name & kind, 10).otherwise(0) + F.when(name, 3).otherwise(0) + F.when(kind, 2).otherwise(0)
     return items(spark, sf_dir).where(name | kind).select("id", "name", score.cast("long").alias("score")).orderBy(F.desc("score"), "id").limit(20)
 
@@ -197,12 +199,12 @@ def conversation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add("running_context", f"""WITH {ITEMS_SQL}, o AS (SELECT vendor, id, sum(length(name || chr(10))) OVER (PARTITION BY vendor ORDER BY business_value DESC NULLS LAST, id) AS used FROM items)
-SELECT vendor, count(*) AS n, CAST(max(used) AS BIGINT) AS used FROM o WHERE used <= 600 GROUP BY vendor""")
+SELECT vendor, count(*) AS n, CAST(max(used) AS BIGINT) AS used FROM o WHERE used <= 6000 GROUP BY vendor""")
 def running_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of each vendor's best items fit in a context of 600 signs."""
+    """How many of each vendor's best items fit in a context of 6000 signs."""
     w = Window.partitionBy("vendor").orderBy(F.desc_nulls_last("business_value"), "id").rowsBetween(Window.unboundedPreceding, 0)
     o = items(spark, sf_dir).select("vendor", F.sum(F.length("name") + 1).over(w).alias("used"))
-    return o.where("used <= 600").groupBy("vendor").agg(F.count("*").alias("n"), F.max("used").alias("used"))
+    return o.where("used <= 6000").groupBy("vendor").agg(F.count("*").alias("n"), F.max("used").alias("used"))
 
 
 @R.add("chunk_documents")

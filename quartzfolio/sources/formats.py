@@ -40,7 +40,7 @@ def sniff(text: Column) -> Column:
     """html, json, csv, tsv or text by content. Null and empty texts are text."""
     line = F.split_part(text, F.lit("\n"), F.lit(1))
     return (
-        F.when(F.lower(F.left(text, F.lit(2000))).rlike("<(html|head|body|div|table|!doctype)"), "html")
+        F.when(text.rlike("(?i)<(html|head|body|div|table|!doctype)"), "html")
         .when(text.rlike(r"^\s*[\[{]") & text.rlike(r"[\]}]\s*$"), "json")
         .when((count_of(line, ",") >= 2) | (count_of(line, ";") >= 2), "csv")
         .when(count_of(line, "\t") >= 2, "tsv")
