@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzfolio.functions import strings
 
+SHIFT, HALF, MIX = np.uint64(42), np.uint64(21), np.uint64(0x9E3779B97F4A7C15)
+
 
 def by_content(df: DataFrame, text: str, key: str) -> DataFrame:
     """The first key of each text and the number of its copies."""
@@ -102,19 +106,45 @@ def shingles(text: Column, k: int = 3) -> Column:
     return F.when(F.length(s) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k))))).otherwise(F.array(s))
 
 
+def band_keys(text: str, a: np.ndarray, bands: int) -> np.ndarray:
+    """Hash of each band of seeded minimal hashes over the letter triples of a text."""
+    c = np.frombuffer(" ".join(text.lower().split()).encode("utf-32-le"), "<u4").astype(np.uint64)
+    c = np.pad(c, (0, max(0, 3 - len(c))))
+    h = np.unique(((c[:-2] << SHIFT) + (c[1:-1] << HALF) + c[2:]) * MIX)
+    h ^= h >> np.uint64(31)
+    least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 4096):
+        v = h[at : at + 4096, None] * a[None, :]
+        np.minimum(least, (v ^ (v >> np.uint64(29))).min(axis=0), out=least)
+    rows = least.reshape(bands, -1)
+    key = np.arange(1, bands + 1, dtype=np.uint64) * MIX
+    for j in range(rows.shape[1]):
+        key = (key ^ rows[:, j]) * MIX
+        key ^= key >> np.uint64(32)
+    return key.astype(np.int64)
+
+
 def lsh_pairs(rows: DataFrame, threshold: float, bands: int = 20, height: int = 5) -> DataFrame:
     """Pairs of rows (id, text) that share a band of seeded minimal hashes of
     letter triples, verified on their full sets, and the copies of equal texts.
     The least id stands for its text: ``copy`` rows tie every other id of the text
     to it, the rest are pairs of such ids. Null texts are copies of nothing."""
-    texts = rows.groupBy("text").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    texts = rows.where("text IS NOT NULL").groupBy("text").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    seeds = (np.random.default_rng(7).integers(1, 2**63, bands * height, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+    @F.arrow_udf("array<long>")
+    def keys(column: pa.Array) -> pa.Array:
+        found = np.array([band_keys(t, seeds, bands) for t in column.to_pylist()], np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, bands), pa.int32()), pa.array(found.ravel(), pa.int64()))
+
     sets = texts.select("id", shingles(F.col("text")).alias("g"))
-    seeded = lambda j: lambda x: F.xxhash64(x, F.lit(j))
-    least = [F.array_min(F.transform("g", seeded(j))) for j in range(bands * height)]
-    keys = F.array(*(F.xxhash64(F.lit(b), *least[b * height : (b + 1) * height]) for b in range(bands)))
-    banded = sets.select("id", F.explode(keys).alias("band"))
+    banded = texts.select("id", F.explode(keys("text")).alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who")).where("n > 1")
+    fresh = shared.groupBy("n", "who").agg(F.min("band").alias("band"))  # of bands with the same texts one is enough
+    banded = banded.join(fresh.select("band"), "band")
     pairs = banded.alias("a").join(banded.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
-    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("g").alias("h")), "other")
+    size = F.size("g") / F.size("h")
+    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("g").alias("h")), "other").where(size.between(threshold, 1 / threshold))
     near = both.select("id", "other", strings.jaccard(F.col("g"), F.col("h")).alias("likeness"), F.lit(False).alias("copy")).where(F.col("likeness") >= threshold)
     members = texts.where("copies > 1").join(rows.select(F.col("id").alias("other"), "text"), "text").where("id < other")
     return near.unionByName(members.select("id", "other", F.lit(1.0).alias("likeness"), F.lit(True).alias("copy")))
