@@ -63,3 +63,15 @@ def adaptive_threshold(scores: DataFrame, key: str, score: str) -> DataFrame:
     best = gaps.groupBy(key).agg(F.count("*").alias("n"), F.max_by(score, F.struct("_gap", score)).alias("_at"))
     cut = F.least(F.lit(0.9), F.greatest(F.lit(0.5), F.col("_at")))
     return best.select(key, F.when(F.col("n") < 3, 0.7).otherwise(cut).alias("threshold"))
+
+
+def running_sum(df: DataFrame, group: list[str], coarse: Column, order: list, value: str, out: str) -> DataFrame:
+    """Sum of ``value`` up to each row of its group in order. ``coarse`` is a step
+    of the order that grows with it: steps are summed first, and a window runs over
+    the few steps of a group and over the rows of each step, never a whole group."""
+    rows = df.withColumn("_step", coarse)
+    steps = rows.groupBy(*group, "_step").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*group).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.select(*group, "_step", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*group, "_step").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(steps, [*group, "_step"]).withColumn(out, F.col("_before") + F.sum(value).over(within)).drop("_step", "_before")
