@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quartzfolio.plans import analytics, fields, ingest, metrics, portfolio, prioritize, quality, similarity, validation, variants
+from quartzfolio.plans import analytics, fields, ingest, learning, metrics, portfolio, prioritize, quality, similarity, validation, variants
 from quartzfolio.plans.common import Query
 
 FLAGSHIP = "prioritize_parts"
-PLANS = (prioritize, metrics, similarity, quality, analytics, ingest, portfolio, validation, fields, variants)
+PLANS = (prioritize, metrics, similarity, quality, analytics, ingest, portfolio, validation, fields, variants, learning)
 
 
 def queries() -> dict[str, Query]:

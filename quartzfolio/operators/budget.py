@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quartzfolio.functions.numbers import half_up
 from quartzfolio.operators.scoring import level
-from quartzfolio.operators.windows import top_per_group
+from quartzfolio.operators.windows import running_sum, top_per_group
 
 #: Weights of the local assessment and its bands.
 WEIGHTS = {"fit": 8, "value": 9, "safety": 5, "ease": 7, "timing": 6}
@@ -41,8 +41,8 @@ def waterfall(assessed: DataFrame, of_total: float = 0.4) -> DataFrame:
     total = assessed.groupBy("vendor").agg(F.floor(F.sum(F.col("budget").cast("decimal(18,2)")) * F.lit(of_total).cast("decimal(2,1)")).cast("long").alias("total"))
     shares = F.explode(F.array(*(F.struct(F.lit(k).alias("scenario"), F.lit(v).alias("share")) for k, v in SCENARIOS.items())))
     rows = assessed.join(total, "vendor").withColumn("s", shares).select("s.*", "vendor", "id", "overall", F.floor(F.col("budget") * wish).cast("long").alias("want"), "total")
-    before = Window.partitionBy("scenario", "vendor").orderBy(F.desc("overall"), "id").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.floor(F.col("total") * F.col("share")).cast("long") - F.coalesce(F.sum("want").over(before), F.lit(0))
+    rows = running_sum(rows, ["scenario", "vendor"], F.floor(-F.col("overall")), [F.desc("overall"), "id"], "want", "used")
+    left = F.floor(F.col("total") * F.col("share")).cast("long") - (F.col("used") - F.col("want"))
     return rows.select("scenario", "vendor", "id", "want", F.greatest(F.lit(0), F.least("want", left)).cast("long").alias("given"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quartzfolio.operators import budget, rules, scoring
+from quartzfolio.operators.windows import running_sum
 from quartzfolio.plans.common import ITEMS_SQL, Registry, items, r, rounded, tag
 
 R = Registry()
@@ -107,8 +108,9 @@ def local(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("local_assessment", f"""WITH {LOCAL_SQL} SELECT vendor, id, overall, CASE WHEN overall >= 80 THEN 'accelerate' WHEN overall >= 60 THEN 'keep' WHEN overall >= 40 THEN 'optimize' WHEN overall >= 25 THEN 'pause' ELSE 'stop' END AS recommendation,
 row_number() OVER (PARTITION BY vendor ORDER BY overall DESC, id) AS ranking FROM w""")
 def local_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("vendor").orderBy(F.desc("overall"), "id")).cast("long")
-    return local(spark, sf_dir).select("vendor", "id", "overall", "recommendation", rank.alias("ranking"))
+    rows = local(spark, sf_dir).withColumn("one", F.lit(1).cast("long"))
+    ranked = running_sum(rows, ["vendor"], F.floor(-F.col("overall")), [F.desc("overall"), "id"], "one", "ranking")
+    return ranked.select("vendor", "id", "overall", "recommendation", "ranking")
 
 
 @R.add("budget_waterfall", f"""WITH {LOCAL_SQL}, shares(scenario, share) AS (VALUES ('conservative', 0.75::DOUBLE), ('balanced', 0.9::DOUBLE), ('aggressive', 0.98::DOUBLE)),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzfolio.functions import similarity, strings, vectors
 from quartzfolio.operators import dedup, search
+from quartzfolio.operators.windows import running_sum
 from quartzfolio.plans.common import ITEMS_SQL, Registry, items, r, rounded, table
 
 R = Registry()
@@ -202,8 +203,8 @@ def conversation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT vendor, count(*) AS n, CAST(max(used) AS BIGINT) AS used FROM o WHERE used <= 6000 GROUP BY vendor""")
 def running_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of each vendor's best items fit in a context of 6000 signs."""
-    w = Window.partitionBy("vendor").orderBy(F.desc_nulls_last("business_value"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    o = items(spark, sf_dir).select("vendor", F.sum(F.length("name") + 1).over(w).alias("used"))
+    rows = items(spark, sf_dir).select("vendor", "id", F.coalesce(-F.col("business_value"), F.lit(0)).alias("step"), (F.length("name") + 1).alias("size"))
+    o = running_sum(rows, ["vendor"], F.col("step"), ["id"], "size", "used")
     return o.where("used <= 6000").groupBy("vendor").agg(F.count("*").alias("n"), F.max("used").alias("used"))
 
 
