@@ -81,14 +81,16 @@ def terms(text: str) -> Column:
 
 
 def score_notices(notices: DataFrame, templates: DataFrame) -> DataFrame:
-    """License and cosine of every distinct text of ``notices`` (text, n)."""
-    notice = notices.select("text", "n", F.explode(terms("text")).alias("term")).groupBy("text", "n", "term").agg(F.count("*").alias("tf"))
+    """License and cosine of every distinct text of ``notices`` (text, n). Terms
+    that most notices have are heavy keys and joined as such."""
+    notice = materialize(notices.select("text", "n", F.explode(terms("text")).alias("term")).groupBy("text", "n", "term").agg(F.count("*").alias("tf")), "terms")
     known = templates.select("license", "variant", F.explode(terms("text")).alias("term")).groupBy("license", "variant", "term").agg(F.count("*").alias("tf"))
     both = notice.select("term", "n").unionByName(known.select("term", F.lit(1).cast("long").alias("n")))
     total = notices.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("units")).crossJoin(templates.agg(F.count("*").alias("known")))  # a row each
-    weights = both.groupBy("term").agg(F.sum("n").alias("df")).crossJoin(F.broadcast(total))
-    weights = weights.select("term", (F.log((F.col("units") + F.col("known") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weighed = notice.join(weights, "term").select("text", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    weights = both.groupBy("term").agg(F.sum("n").alias("df"), F.count("*").alias("rows")).crossJoin(F.broadcast(total))
+    weights = materialize(weights.select("term", "rows", (F.log((F.col("units") + F.col("known") + 1) / (F.col("df") + 1)) + 1).alias("idf")), "weights")
+    n_rows = weights.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    weighed = join_by_weight(notice, weights, ["term"], "rows", n_rows).select("text", "term", (F.col("tf") * F.col("idf")).alias("w"))
     model = known.join(weights, "term").select("license", "variant", "term", (F.col("tf") * F.col("idf")).alias("v"))
     size = Window.partitionBy("license", "variant")
     model = model.withColumn("model_norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(size)))
