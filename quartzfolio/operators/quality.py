@@ -1,4 +1,4 @@
-"""Validation issues, noise, encoding, gates, completeness, keyword classes.
+"""Validation issues, noise, encoding, gates, completeness.
 
 An issue is a struct of field, message and severity; a row has an array of them,
 so that nothing is joined or shuffled until they are counted.
@@ -6,9 +6,9 @@ so that nothing is joined or shuffled until they are counted.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What an issue costs a row.
@@ -59,22 +59,6 @@ def filled(*columns: str) -> Column:
     return out
 
 
-def keyword_classes(rows: DataFrame, text: str, keywords: Mapping[str, Mapping[str, float]]) -> DataFrame:
-    """Score of each class for every row (id): weights of its words, over five,
-    one at most. The dictionary is a map in the plan: words are counted in place."""
-    weights = F.create_map(*(x for c, ws in keywords.items() for x in (F.lit(c), F.create_map(*(F.lit(y) for kv in ws.items() for y in kv)))))
-    words = F.split(F.lower(text), "[^a-z0-9]+")
-    total = lambda table: F.aggregate(words, F.lit(0.0), lambda s, w: s + F.coalesce(F.element_at(table, w), F.lit(0.0)))
-    scored = rows.select("id", *(F.least(F.lit(1.0), total(F.element_at(weights, F.lit(c))) / 5).alias(c) for c in keywords))
-    return scored.select("id", F.explode(F.array(*(F.struct(F.lit(c).alias("class"), F.col(c).alias("score")) for c in keywords))).alias("x")).select("id", "x.*")
-
-
-def best_class(classes: Sequence[str], hits: Mapping[str, Column], default: str) -> Column:
-    """The class with the most hits, the first of equals; ``default`` for none."""
-    ranked = F.array_max(F.array(*(F.struct(hits[c].alias("n"), F.lit(-i).alias("o"), F.lit(c).alias("c")) for i, c in enumerate(classes))))
-    return F.when(ranked["n"] > 0, ranked["c"]).otherwise(default)
-
-
 def gate(value: Column, sign: str, at: float) -> Column:
     """Whether a value passes; a missing one doesn't."""
     tests = {">=": value >= at, "<=": value <= at, ">": value > at, "<": value < at, "==": F.abs(value - at) <= 0.01}
