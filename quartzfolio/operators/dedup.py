@@ -21,8 +21,12 @@ SHIFT, HALF, MIX = np.uint64(42), np.uint64(21), np.uint64(0x9E3779B97F4A7C15)
 
 
 def by_content(df: DataFrame, text: str, key: str) -> DataFrame:
-    """The first key of each text and the number of its copies."""
-    return df.where(F.col(text).isNotNull()).groupBy(F.sha2(text, 256).alias("hash")).agg(F.min(key).alias(key), F.count("*").alias("copies"))
+    """Of every row with a text: the first key that has it and the number of its
+    copies. Copies are counted before they meet, and the many-copied texts are
+    joined back like others, as both sides of the join are plain shuffles."""
+    rows = df.where(F.col(text).isNotNull()).select(key, F.sha2(text, 256).alias("hash"))
+    of = rows.groupBy("hash").agg(F.min(key).alias("class_id"), F.count("*").alias("copies"))
+    return rows.join(of, "hash").select(key, "class_id", "copies")
 
 
 def candidate_pairs(df: DataFrame, blocks: Sequence[Column], fields: Sequence[str]) -> DataFrame:
@@ -84,20 +88,65 @@ def merged(df: DataFrame, cluster: str, fields: Sequence[str], confidence: str,
     return df.groupBy(cluster).agg(F.count("*").alias("n"), F.max(confidence).alias(confidence), *best)
 
 
-def jaccard_join(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of rows (id, block, words) of a block whose sets of words are at
-    least ``threshold`` alike. Words are sorted by how rare they are; two sets that
-    pass share one of their first words, and only those words are joined on."""
-    words = rows.select("id", "block", F.explode("words").alias("word"))
-    counts = words.groupBy("block", "word").agg(F.count("*").alias("n"))
-    ranked = words.join(counts, ["block", "word"]).groupBy("id", "block").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
-    ranked = ranked.select("id", "block", F.transform("w", lambda x: x["word"]).alias("w"))
-    few = F.size("w") - F.ceil(F.size("w") * F.lit(threshold) - 1e-9).cast("int") + 1
-    heads = ranked.select("id", "block", F.explode(F.slice("w", F.lit(1), few)).alias("word"))
+def prefix_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs ``id`` < ``other`` of rows (id, w: array of features, few) that share
+    one of their ``few`` rarest features. ``few`` says how many a row must show so
+    that no pair that passes the caller's threshold is missed."""
+    words = rows.select("id", "few", F.explode("w").alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    ranked = words.join(counts, "word").groupBy("id", "few").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))  # the features of one row
+    heads = ranked.select("id", F.explode(F.slice("w", F.lit(1), F.least("few", F.size("w")))).alias("x")).select("id", "x.word")
     a, b = heads.alias("a"), heads.alias("b")
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
-    sets = ranked.select("id", "w")
-    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("w").alias("v")), "other")
+    return a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
+
+
+def occurrences(grams: Column) -> Column:
+    """Features numbered by occurrence, so that sharing them is sharing a multiset."""
+    return F.transform(grams, lambda x, i: F.concat(x, F.lit("#"), F.size(F.filter(F.slice(grams, F.lit(1), i), lambda y: y == x)).cast("string")))
+
+
+def name_pairs(names: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """Pairs of distinct names (id, name) that can be ``threshold`` alike, with
+    both names, by a filter that the likeness implies:
+
+    * ``edit``: d edits change at most 2 d of a name's letter pairs, and d is at
+      most (1 - t) / t of its length;
+    * ``jaro_winkler``: with a prefix of four, Jaro is at least (t - 0.4) / 0.6, so
+      names share at least 3 jaro - 2 of their letters;
+    * ``cosine``: names that share none of the features outside a rest of less than
+      t of the norm are less alike than t.
+    """
+    low = F.lower("name")
+    letters = F.filter(F.split(low, ""), lambda x: x != "")
+    pairs = strings.bigrams(low)
+    size = F.length(low)
+    if kind == "edit":
+        w, few = occurrences(pairs), (2 * F.floor(size * ((1 - threshold) / threshold) + 1e-9) + 1).cast("int")
+    elif kind == "jaro_winkler":
+        least = max(0.0, 3 * (threshold - 0.4) / 0.6 - 2)
+        w, few = occurrences(letters), (size - F.ceil(size * least - 1e-9) + 1).cast("int")
+    elif kind == "cosine":
+        # a rest of k pairs met once has the norm root k; a name with a pair met again shows all
+        w = F.array_distinct(pairs)
+        few = F.when(F.size(pairs) == F.size(w), F.size(w) - F.ceil(F.size(w) * threshold * threshold - 1e-9) + 1).otherwise(F.size(w)).cast("int")
+    else:
+        raise ValueError(kind)
+    found = prefix_pairs(names.select("id", w.alias("w"), few.alias("few")))
+    other = names.select(F.col("id").alias("other"), F.col("name").alias("other_name"))
+    shorter = {"edit": threshold, "jaro_winkler": max(0.0, 3 * (threshold - 0.4) / 0.6 - 2), "cosine": 0.0}[kind]  # least ratio of lengths
+    ratio = F.least(F.length("name"), F.length("other_name")) / F.greatest(F.length("name"), F.length("other_name"))
+    return found.join(names.select("id", "name"), "id").join(other, "other").where(ratio >= shorter - 1e-9)
+
+
+def jaccard_join(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of rows (id, words) whose sets of words are at least ``threshold``
+    alike. Two sets that pass share one of their rarest words, and only those
+    words are joined on."""
+    sets = rows.select("id", F.array_distinct("words").alias("w"))
+    few = (F.size("w") - F.ceil(F.size("w") * F.lit(threshold) - 1e-9) + 1).cast("int")
+    pairs = prefix_pairs(sets.withColumn("few", few))
+    n = F.size("w") / F.size("v")
+    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("w").alias("v")), "other").where(n.between(threshold - 1e-9, 1 / threshold + 1e-9))
     return both.select("id", "other", strings.jaccard(F.col("w"), F.col("v")).alias("likeness")).where(F.col("likeness") >= threshold)
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def latest(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
@@ -47,12 +51,26 @@ def stratified(df: DataFrame, quotas: dict[str, int]) -> DataFrame:
     return taken.where(F.col("place") <= limit).drop("_c")
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], value: str, start: Column, step) -> DataFrame:
-    """Left fold of the values of each key in order, ``step(state, value)``. The
-    values of a key meet in one array; for endless keys there is keyed state in
-    ``streaming``."""
-    seen = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))).alias("_s"))
-    return seen.select(*keys, F.aggregate("_s", start, lambda s, x: step(s, x["_v"])).alias("state"))
+def fold(df: DataFrame, keys: list[str], order: list[str], value: str, start: float | None, step: Callable[[float | None, float], float]) -> DataFrame:
+    """Left fold of the values of each key in order, ``step(state, value)``. Rows
+    of a key stream through a task in order; it holds one state, not the rows."""
+    rows = df.select(*keys, *(o for o in order if o not in keys), value).repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, done = None, start, []
+        for f in frames:
+            for now, v in zip(zip(*(f[k] for k in keys), strict=True), f[value], strict=True):
+                if now != key:
+                    if key is not None:
+                        done.append((*key, state))
+                    key, state = now, start
+                state = step(state, v)
+            yield pd.DataFrame(done, columns=[*keys, "state"])
+            done = []
+        if key is not None:
+            yield pd.DataFrame([(*key, state)], columns=[*keys, "state"])
+
+    return rows.mapInPandas(run, StructType([*(df.schema[k] for k in keys), StructField("state", DoubleType())]))
 
 
 def adaptive_threshold(scores: DataFrame, key: str, score: str) -> DataFrame:

@@ -175,7 +175,7 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 f(document, n, state) AS (SELECT document, 0::BIGINT, 0.5::DOUBLE FROM (SELECT DISTINCT document FROM m) UNION ALL SELECT f.document, f.n + 1, 0.3::DOUBLE * o.confidence + 0.7::DOUBLE * f.state FROM f JOIN o ON o.document = f.document AND o.n = f.n + 1)
 SELECT document, {r('arg_max(state, n)')} AS state FROM f GROUP BY document""")
 def confidence_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = windows.fold(metrics(spark, sf_dir), ["document"], ["seen_at", "id"], "confidence", F.lit(0.5), lambda s, v: F.lit(0.3) * v + F.lit(0.7) * s)
+    out = windows.fold(metrics(spark, sf_dir), ["document"], ["seen_at", "id"], "confidence", 0.5, lambda s, v: 0.3 * v + 0.7 * s)
     return out.select("document", rounded(F.col("state")).alias("state"))
 
 
@@ -184,7 +184,7 @@ f(document, kind, n, state) AS (SELECT DISTINCT document, kind, 0::BIGINT, 0.5::
 SELECT document, kind, {r('arg_max(state, n)')} AS state FROM f GROUP BY ALL""")
 def progressive_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = metrics(spark, sf_dir).withColumn("d", F.when(F.col("corrected") == 0, 0.1).otherwise(-0.1))
-    out = windows.fold(m, ["document", "kind"], ["seen_at", "id"], "d", F.lit(0.5), lambda s, v: F.least(F.lit(0.95), F.greatest(F.lit(0.3), s + v)))
+    out = windows.fold(m, ["document", "kind"], ["seen_at", "id"], "d", 0.5, lambda s, v: min(0.95, max(0.3, s + v)))
     return out.select("document", "kind", rounded(F.col("state")).alias("state"))
 
 

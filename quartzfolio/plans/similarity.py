@@ -7,43 +7,41 @@ from pyspark.sql import functions as F
 
 from quartzfolio.functions import similarity, strings, vectors
 from quartzfolio.operators import dedup, search
-from quartzfolio.operators.windows import running_sum
+from quartzfolio.operators.windows import fold, running_sum
 from quartzfolio.plans.common import ITEMS_SQL, Registry, items, r, rounded, table
 
 R = Registry()
 
 
-def vendor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of suppliers of one nation, by name."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    b = s.select(F.col("s_suppkey").alias("other"), F.col("s_name").alias("other_name"), "s_nationkey")
-    return s.join(b, "s_nationkey").where("s_suppkey < other")
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct names of parts; the least id stands for a name, ``n`` items have it."""
+    return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"), F.count("*").alias("n"))
 
 
-PAIRS_SQL = "p AS (SELECT a.s_suppkey, a.s_name, b.s_suppkey AS other, b.s_name AS other_name FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey)"
+PAIRS_SQL = "d AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY 1), p AS (SELECT a.id, a.name, b.id AS other, b.name AS other_name FROM d a JOIN d b ON a.id < b.id)"
 
 
-@R.add("levenshtein_pairs", f"WITH {PAIRS_SQL}, s AS (SELECT s_suppkey, other, {r('1 - levenshtein(lower(s_name), lower(other_name))::DOUBLE / greatest(length(s_name), length(other_name))')} AS likeness FROM p) SELECT * FROM s WHERE likeness >= 0.9")
+@R.add("levenshtein_pairs", f"WITH {PAIRS_SQL}, s AS (SELECT id, other, {r('1 - levenshtein(lower(name), lower(other_name))::DOUBLE / greatest(length(name), length(other_name))')} AS likeness FROM p) SELECT * FROM s WHERE likeness >= 0.8")
 def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    likeness = rounded(strings.edit_similarity(F.col("s_name"), F.col("other_name"))).alias("likeness")
-    return vendor_pairs(spark, sf_dir).select("s_suppkey", "other", likeness).where("likeness >= 0.9")
+    likeness = rounded(strings.edit_similarity(F.col("name"), F.col("other_name"))).alias("likeness")
+    return dedup.name_pairs(names(spark, sf_dir), "edit", 0.8).select("id", "other", likeness).where("likeness >= 0.8")
 
 
-@R.add("jaro_winkler_pairs", f"WITH {PAIRS_SQL}, s AS (SELECT s_suppkey, other, {r('jaro_winkler_similarity(s_name, other_name)')} AS likeness FROM p) SELECT * FROM s WHERE likeness >= 0.95")
+@R.add("jaro_winkler_pairs", f"WITH {PAIRS_SQL}, s AS (SELECT id, other, {r('jaro_winkler_similarity(lower(name), lower(other_name))')} AS likeness FROM p) SELECT * FROM s WHERE likeness >= 0.9")
 def jaro_winkler_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    likeness = rounded(similarity.jaro_winkler("s_name", "other_name")).alias("likeness")
-    return vendor_pairs(spark, sf_dir).select("s_suppkey", "other", likeness).where("likeness >= 0.95")
+    pairs = dedup.name_pairs(names(spark, sf_dir), "jaro_winkler", 0.9).select("id", "other", F.lower("name").alias("a"), F.lower("other_name").alias("b"))
+    return pairs.select("id", "other", rounded(similarity.jaro_winkler("a", "b")).alias("likeness")).where("likeness >= 0.9")
 
 
-NGRAM_SQL = f"""WITH {PAIRS_SQL}, n AS (SELECT s_suppkey AS k, substr(lower(s_name), i::BIGINT, 2) AS g, count(*)::DOUBLE AS c FROM supplier, generate_series(1, length(s_name) - 1) AS t(i) GROUP BY ALL),
-z AS (SELECT k, sqrt(sum(c * c)) AS norm FROM n GROUP BY k), d AS (SELECT s_suppkey, other, sum(a.c * b.c) AS dot FROM p JOIN n a ON a.k = s_suppkey JOIN n b ON b.k = other AND b.g = a.g GROUP BY ALL)
-SELECT s_suppkey, other, {r('dot / (x.norm * y.norm)')} AS likeness FROM d JOIN z x ON x.k = s_suppkey JOIN z y ON y.k = other WHERE dot / (x.norm * y.norm) >= 0.9"""
+NGRAM_SQL = f"""WITH {PAIRS_SQL}, n AS (SELECT id AS k, substr(lower(name), i::BIGINT, 2) AS g, count(*)::DOUBLE AS c FROM d, generate_series(1, 60) AS t(i) WHERE i < length(name) GROUP BY ALL),
+z AS (SELECT k, sqrt(sum(c * c)) AS norm FROM n GROUP BY k), x AS (SELECT p.id, other, sum(a.c * b.c) AS dot FROM p JOIN n a ON a.k = p.id JOIN n b ON b.k = other AND b.g = a.g GROUP BY ALL)
+SELECT id, other, {r('dot / (u.norm * v.norm)')} AS likeness FROM x JOIN z u ON u.k = id JOIN z v ON v.k = other WHERE {r('dot / (u.norm * v.norm)')} >= 0.7"""
 
 
 @R.add("ngram_cosine_pairs", NGRAM_SQL)
 def ngram_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    likeness = strings.bigram_cosine(F.lower("s_name"), F.lower("other_name")).alias("likeness")
-    return vendor_pairs(spark, sf_dir).select("s_suppkey", "other", likeness).where("likeness >= 0.9").withColumn("likeness", rounded(F.col("likeness")))
+    likeness = rounded(strings.bigram_cosine(F.lower("name"), F.lower("other_name"))).alias("likeness")
+    return dedup.name_pairs(names(spark, sf_dir), "cosine", 0.7).select("id", "other", likeness).where("likeness >= 0.7")
 
 
 @R.add("normalize_text", "SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || ' / ' || p_type), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS plain, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
@@ -63,7 +61,7 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy("word", "doc_id").agg(F.count("*").alias("k")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 20")
 
 
-@R.add("dedup_exact_hash", "SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@R.add("dedup_exact_hash", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS copies FROM documents WHERE text IS NOT NULL")
 def dedup_exact_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.by_content(table(spark, sf_dir, "documents"), "text", "doc_id")
 
@@ -94,16 +92,15 @@ def dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.greedy_heads(items(spark, sf_dir).select("id", "vendor"), links, "vendor")
 
 
-WORDS_SQL = "w AS (SELECT DISTINCT p_partkey AS id, p_type, unnest(string_split(lower(p_name), ' ')) AS word FROM part), k AS (SELECT * FROM w WHERE length(word) > 2)"
+WORDS_SQL = "t AS (SELECT p_name || ' ' || p_type || ' ' || p_brand AS text, min(p_partkey) AS id FROM part GROUP BY 1), k AS (SELECT DISTINCT id, unnest(string_split(lower(text), ' ')) AS word FROM t)"
 
 
-@R.add("jaccard_pairs", f"""WITH {WORDS_SQL}, z AS (SELECT id, count(*) AS n FROM k GROUP BY id), c AS (SELECT a.id, b.id AS other, count(*) AS shared FROM k a JOIN k b ON a.p_type = b.p_type AND a.word = b.word AND a.id < b.id GROUP BY ALL)
+@R.add("jaccard_pairs", f"""WITH {WORDS_SQL}, z AS (SELECT id, count(*) AS n FROM k GROUP BY id), c AS (SELECT a.id, b.id AS other, count(*) AS shared FROM k a JOIN k b ON a.word = b.word AND a.id < b.id GROUP BY ALL)
 SELECT c.id, other, {r('shared::DOUBLE / (x.n + y.n - shared)')} AS likeness FROM c JOIN z x ON x.id = c.id JOIN z y ON y.id = other WHERE shared::DOUBLE / (x.n + y.n - shared) >= 0.75""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of parts of one type whose names share words. Words rare enough for
-    the pair to pass (a prefix of each sorted set) find the candidates."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("block"), F.array_distinct(F.filter(F.split(F.lower("p_name"), " "), lambda w: F.length(w) > 2)).alias("words"))
-    return dedup.jaccard_join(parts, 0.75).withColumn("likeness", rounded(F.col("likeness")))
+    """Pairs of texts of parts that share words; equal texts are one row."""
+    texts = table(spark, sf_dir, "part").groupBy(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text")).agg(F.min("p_partkey").alias("id"))
+    return dedup.jaccard_join(texts.select("id", F.split(F.lower("text"), " ").alias("words")), 0.75).withColumn("likeness", rounded(F.col("likeness")))
 
 
 @R.add("minhash_lsh_pairs")
@@ -236,6 +233,6 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, {r('arg_max(state, n)')} AS score FROM f GROUP BY user_id""")
 def multi_query_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of one key averaged in pairs as they come."""
-    seen = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
-    folded = F.aggregate(F.slice("s", F.lit(2), F.greatest(F.size("s") - 1, F.lit(0))), F.col("s")[0]["value"], lambda a, x: (a + x["value"]) / 2)
-    return seen.select("user_id", rounded(folded).alias("score"))
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    out = fold(e, ["user_id"], ["ts", "event_id"], "value", None, lambda s, v: v if s is None else (s + v) / 2)
+    return out.select("user_id", rounded(F.col("state")).alias("score"))

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from quartzfolio.functions.similarity import jaro, jaro_winkler_of
 from quartzfolio.operators import budget, dedup, graph, learning, search
 
@@ -99,3 +100,78 @@ def test_empty_inputs(spark):
     assert dedup.lsh_pairs(spark.createDataFrame([], "id long, text string"), 0.75).count() == 0
     vecs = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert search.nearest(vecs, vecs, 3, 5).count() == 0
+
+
+@pytest.mark.parametrize(("kind", "threshold"), [("edit", 0.8), ("jaro_winkler", 0.9), ("cosine", 0.7)])
+def test_name_pairs_miss_nothing(spark, kind, threshold):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quartzfolio.functions import similarity, strings
+
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcab ") for _ in range(rng.randrange(1, 14))).strip() or "a" for _ in range(60)]
+    names = sorted({*base, *(n[:-1] + "x" for n in base), *(n + n for n in base), *(n + "a" for n in base), *(n[1:] + n[:1] for n in base)})
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    of = {"edit": strings.edit_similarity(F.col("name"), F.col("other_name")), "jaro_winkler": similarity.jaro_winkler("name", "other_name"), "cosine": strings.bigram_cosine(F.col("name"), F.col("other_name"))}[kind]
+    other = df.select(F.col("id").alias("other"), F.col("name").alias("other_name"))
+    every = df.join(other, F.col("id") < F.col("other")).where(of >= threshold).select("id", "other")
+    some = dedup.name_pairs(df, kind, threshold).where(of >= threshold).select("id", "other")
+    want = sorted(map(tuple, every.collect()))
+    assert sorted(map(tuple, some.collect())) == want
+    assert len(want) > 20
+
+
+def test_fold_streams_in_order(spark):
+    from quartzfolio.operators import windows
+
+    rows = [(k, 10 - i, float(i)) for k in (1, None, 3) for i in range(10)]
+    df = spark.createDataFrame(rows, "k long, t long, v double").repartition(3)
+    got = {r["k"]: r["state"] for r in windows.fold(df.where("k IS NOT NULL"), ["k"], ["t"], "v", 0.0, lambda s, v: 2 * s + v).collect()}
+    want = 0.0
+    for i in reversed(range(10)):
+        want = 2 * want + i
+    assert got == {1: want, 3: want}
+    assert windows.fold(df.limit(0), ["k"], ["t"], "v", 0.0, lambda s, v: s).count() == 0
+
+
+def test_running_sum_by_steps(spark):
+    from pyspark.sql import functions as F
+
+    from quartzfolio.operators import windows
+
+    df = spark.createDataFrame([(i % 2, i, (i * 37) % 100, i) for i in range(200)], "g long, id long, score long, v long")
+    got = {r["id"]: r["s"] for r in windows.running_sum(df, ["g"], F.floor(-F.col("score") / 10), [F.desc("score"), "id"], "v", "s").collect()}
+    for g in (0, 1):
+        total = 0
+        for i in sorted(range(g, 200, 2), key=lambda i: (-((i * 37) % 100), i)):
+            total += i
+            assert got[i] == total
+
+
+def test_greedy_selection_by_hand(spark):
+    from quartzfolio.operators import budget
+
+    rows = [(i % 3, i, float((i * 31) % 50 + 1), float((i * 17) % 40 + 1)) for i in range(90)]
+    got = {(r["g"], r["id"]) for r in budget.greedy(spark.createDataFrame(rows, "g long, id long, score double, cost double"), "g", 100.0).collect()}
+    want = set()
+    for g in range(3):
+        left = 100.0
+        for _, i, _, cost in sorted((r for r in rows if r[0] == g), key=lambda r: (-(r[2] / r[3]), r[1])):
+            if cost <= left:
+                want.add((g, i))
+                left -= cost
+    assert got == want
+
+
+def test_chunks_by_hand(spark):
+    text = "\n\n".join(f"Paragraph {i}. " + "some words here. " * (i % 7 + 1) for i in range(40))
+    rows = search.chunks(spark.createDataFrame([(1, text), (2, None), (3, "short")], "doc_id long, text string")).collect()
+    one = sorted((r for r in rows if r["doc_id"] == 1), key=lambda r: r["chunk"])
+    assert [r["text"] for r in one] == [text[r["start"] : r["start"] + r["length"]] for r in one]
+    assert one[0]["start"] == 0
+    assert one[-1]["start"] + one[-1]["length"] == len(text)
+    assert all(r["length"] <= 1024 for r in one[:-1])
+    assert all(b["start"] == a["start"] + a["length"] - 128 for a, b in zip(one[:-2], one[1:-1], strict=True))
+    assert [(r["start"], r["length"]) for r in rows if r["doc_id"] == 3] == [(0, 5)]
