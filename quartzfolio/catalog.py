@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quartzfolio.plans import analytics, fields, ingest, ingestion, learning, metrics, portfolio, prioritize, quality, sectors, similarity, validation, variants
+from quartzfolio.plans import analytics, fields, ingest, ingestion, learning, metrics, portfolio, prioritize, quality, relations, sectors, similarity, validation, variants
 from quartzfolio.plans.common import Query
 
 FLAGSHIP = "prioritize_parts"
-PLANS = (prioritize, metrics, similarity, quality, analytics, ingest, portfolio, validation, fields, variants, learning, sectors, ingestion)
+PLANS = (prioritize, metrics, similarity, quality, analytics, ingest, portfolio, validation, fields, variants, learning, sectors, ingestion, relations)
 
 
 def queries() -> dict[str, Query]:

@@ -102,3 +102,9 @@ def matrix(scored: DataFrame) -> DataFrame:
     effort = 100 - 10 * ease
     high, hard = F.col("score") >= 60, effort >= 50
     return scored.withColumns({"effort": effort, "quadrant": F.when(high & ~hard, "quick_wins").when(high, "major_projects").when(~hard, "fill_ins").otherwise("thankless")})
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, but filters on them stay above: pushed below, conditions on
+    scores would repeat the whole expressions of the scores many times over."""
+    return df.select(F.inline(F.array(F.struct("*"))))

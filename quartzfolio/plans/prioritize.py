@@ -24,7 +24,7 @@ triaged AS (SELECT matched.*, CASE WHEN confidence >= 0.7 THEN rule END AS triag
 S10 = "(CASE WHEN {0} IS NULL THEN 5.0 WHEN {0} <= 0 THEN 1.0 WHEN {0} >= 10 THEN 10.0 ELSE floor({0} + 0.5) END)::DOUBLE"
 TENTH = "(CASE WHEN {0} IS NULL OR {0} = 0 THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, {0} / 10.0::DOUBLE) END)"
 SCORED_SQL = f"""{TRIAGE_SQL},
-s1 AS (SELECT *,
+s1 AS MATERIALIZED (SELECT *,
   {r(f'''(least(10.0, {S10.format('business_value')} + CASE WHEN alignment >= 8 THEN 1 ELSE 0 END)
     + least(10.0, CASE triage WHEN 'MUST' THEN 9 WHEN 'SHOULD' THEN 7 WHEN 'COULD' THEN 4 WHEN 'WONT' THEN 2 ELSE 5 END + CASE WHEN phase = 1 THEN 2 ELSE 0 END)
     + CASE risk WHEN 'critical' THEN 2 WHEN 'high' THEN 5 WHEN 'medium' THEN 7 WHEN 'low' THEN 9 ELSE 7 END)::DOUBLE
@@ -41,9 +41,9 @@ s1 AS (SELECT *,
     + (CASE risk WHEN 'low' THEN 0.9 WHEN 'medium' THEN 0.5 WHEN 'high' THEN 0.3 WHEN 'critical' THEN 0.1 ELSE 0.5 END)::DOUBLE * 0.1::DOUBLE
     + (CASE WHEN {tag('commodity')} THEN 0.3 WHEN {tag('differentiator')} THEN 0.9 ELSE 0.5 END)::DOUBLE * 0.1::DOUBLE''', 3)} AS retention
   FROM triaged),
-s2 AS (SELECT *, CASE WHEN triage = 'WONT' THEN 'wont_have' WHEN triage = 'MUST' OR wsjf > 3 THEN 'must_have' WHEN triage = 'SHOULD' OR wsjf >= 2 THEN 'should_have' WHEN triage = 'COULD' OR wsjf >= 1 THEN 'could_have' ELSE 'wont_have' END AS moscow,
+s2 AS MATERIALIZED (SELECT *, CASE WHEN triage = 'WONT' THEN 'wont_have' WHEN triage = 'MUST' OR wsjf > 3 THEN 'must_have' WHEN triage = 'SHOULD' OR wsjf >= 2 THEN 'should_have' WHEN triage = 'COULD' OR wsjf >= 1 THEN 'could_have' ELSE 'wont_have' END AS moscow,
   {r("least(100.0::DOUBLE, wsjf / 5 * 100) * 0.4::DOUBLE + least(100.0::DOUBLE, ice / 10) * 0.3::DOUBLE + retention * 100 * 0.3::DOUBLE", 1)} AS score FROM s1),
-scored AS (SELECT *, CASE WHEN moscow = 'wont_have' AND retention < 0.4 THEN 'eliminate' WHEN score >= 70 OR moscow = 'must_have' THEN 'invest' WHEN score >= 50 AND retention >= 0.5 THEN 'maintain' WHEN score >= 40 OR retention >= 0.4 THEN 'optimize' ELSE 'eliminate' END AS recommendation,
+scored AS MATERIALIZED (SELECT *, CASE WHEN moscow = 'wont_have' AND retention < 0.4 THEN 'eliminate' WHEN score >= 70 OR moscow = 'must_have' THEN 'invest' WHEN score >= 50 AND retention >= 0.5 THEN 'maintain' WHEN score >= 40 OR retention >= 0.4 THEN 'optimize' ELSE 'eliminate' END AS recommendation,
   {r("least(1.0::DOUBLE, 0.6::DOUBLE + CASE WHEN business_value IS NOT NULL THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN alignment IS NOT NULL THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN risk IS NOT NULL THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN triage_confidence > 0.7 THEN 0.1::DOUBLE ELSE 0 END)", 2)} AS score_confidence FROM s2)"""
 
 
@@ -160,7 +160,7 @@ def category_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("must_have_enforcement", f"""WITH {SCORED_SQL}, chosen AS (SELECT * FROM scored WHERE score >= 60), forced AS (SELECT * FROM scored s WHERE moscow = 'must_have' AND NOT EXISTS (SELECT 1 FROM chosen c WHERE c.id = s.id))
 SELECT id, 'selected' AS how FROM chosen UNION ALL SELECT id, 'forced' FROM forced""")
 def must_have_enforcement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(spark, sf_dir)
+    s = scoring.settled(scored(spark, sf_dir))
     chosen = s.where("score >= 60")
     forced = s.where("moscow = 'must_have'").join(chosen, "id", "left_anti")
     return chosen.select("id", F.lit("selected").alias("how")).unionByName(forced.select("id", F.lit("forced").alias("how")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzfolio.functions.numbers import half_up
+from quartzfolio.operators.scoring import settled
 from quartzfolio.plans.common import ITEMS_SQL, Registry, items, r, rounded, tag
 from quartzfolio.plans.prioritize import LOCAL_SQL, SCORED_SQL, local, scored
 
@@ -170,7 +171,7 @@ def compare_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("recommendation") == "invest", F.col("score") >= 50
     n = lambda x: F.count_if(x)
     v = lambda x: F.sum(F.when(x, F.col("score")).otherwise(0.0))
-    g = scored(spark, sf_dir).where(a | b).groupBy("category")
+    g = settled(scored(spark, sf_dir)).where(a | b).groupBy("category")
     return g.agg((n(b) - n(a)).alias("more_items"), rounded(v(b) - v(a), 1).alias("more_value"))
 
 
