@@ -178,11 +178,20 @@ def common_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- statistics of stores
 
+def mean_sql(c: str) -> str:
+    """Mean of values of three digits, from a sum of whole numbers: the same in any order."""
+    return r(f"sum(CAST(round({c} * 1000) AS BIGINT))::DOUBLE / (1000 * count(*))")
+
+
+def mean(c: str):
+    return rounded(F.sum(F.round(F.col(c) * 1000).cast("long")).cast("double") / (1000 * F.count("*")))
+
+
 STATS = {
     "pending_enrichments": ("SELECT id, tenant, confidence, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM c WHERE id % 4 = 0", lambda c: c.where("id % 4 = 0").select("id", "tenant", "confidence", F.when(F.col("confidence") >= 0.8, "high").when(F.col("confidence") >= 0.5, "medium").otherwise("low").alias("band"))),
-    "daily_reviews": ("SELECT tenant, CAST(seen_at AS DATE) AS day, count(*) AS n, count(*) FILTER (old = new) AS approved, count(*) FILTER (old <> new) AS changed, " + r("avg(confidence)") + " AS mean_confidence FROM c GROUP BY ALL", lambda c: c.groupBy("tenant", F.to_date("seen_at").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("old") == F.col("new")).alias("approved"), F.count_if(F.col("old") != F.col("new")).alias("changed"), rounded(F.avg("confidence")).alias("mean_confidence"))),
-    "enrichment_stats": ("SELECT field, CAST(seen_at AS DATE) AS day, count(*) AS n, " + r("avg(similarity)") + " AS mean FROM c GROUP BY GROUPING SETS ((field), (CAST(seen_at AS DATE)), ())", lambda c: c.withColumn("day", F.to_date("seen_at")).groupingSets([["field"], ["day"], []], "field", "day").agg(F.count("*").alias("n"), rounded(F.avg("similarity")).alias("mean"))),
-    "learning_stats": ("SELECT tenant, field, count(DISTINCT old) AS rules, " + r("avg(confidence)") + " AS mean_confidence, max(seen_at) AS updated FROM c GROUP BY ALL", lambda c: c.groupBy("tenant", "field").agg(F.countDistinct("old").alias("rules"), rounded(F.avg("confidence")).alias("mean_confidence"), F.max("seen_at").alias("updated"))),
+    "daily_reviews": ("SELECT tenant, CAST(seen_at AS DATE) AS day, count(*) AS n, count(*) FILTER (old = new) AS approved, count(*) FILTER (old <> new) AS changed, " + mean_sql("confidence") + " AS mean_confidence FROM c GROUP BY ALL", lambda c: c.groupBy("tenant", F.to_date("seen_at").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("old") == F.col("new")).alias("approved"), F.count_if(F.col("old") != F.col("new")).alias("changed"), mean("confidence").alias("mean_confidence"))),
+    "enrichment_stats": ("SELECT field, CAST(seen_at AS DATE) AS day, count(*) AS n, " + mean_sql("similarity") + " AS mean FROM c GROUP BY GROUPING SETS ((field), (CAST(seen_at AS DATE)), ())", lambda c: c.withColumn("day", F.to_date("seen_at")).groupingSets([["field"], ["day"], []], "field", "day").agg(F.count("*").alias("n"), mean("similarity").alias("mean"))),
+    "learning_stats": ("SELECT tenant, field, count(DISTINCT old) AS rules, " + mean_sql("confidence") + " AS mean_confidence, max(seen_at) AS updated FROM c GROUP BY ALL", lambda c: c.groupBy("tenant", "field").agg(F.countDistinct("old").alias("rules"), mean("confidence").alias("mean_confidence"), F.max("seen_at").alias("updated"))),
     "feedback_by_kind": ("SELECT k.kind, count(c.id) AS n, " + r("coalesce(avg((c.old <> c.new)::INT::DOUBLE), 0)") + " AS processed FROM (VALUES ('type'), ('status'), ('vendor'), ('category'), ('name'), ('price'), ('owner')) k(kind) LEFT JOIN c ON c.field = k.kind GROUP BY 1", None),
     "pooled_field_accuracy": ("SELECT field, CASE WHEN count(*) > 0 THEN " + r("count(*) FILTER (old = new)::DOUBLE / count(*)") + " ELSE 0.5 END AS accuracy, " + r("sum(similarity * confidence) / sum(confidence)") + " AS blended FROM c GROUP BY field", lambda c: c.groupBy("field").agg(rounded(F.count_if(F.col("old") == F.col("new")) / F.count("*")).alias("accuracy"), rounded(F.sum(F.col("similarity") * F.col("confidence")) / F.sum("confidence")).alias("blended"))),
     "low_confidence_alerts": ("SELECT item, count(*) FILTER (confidence < 0.6) AS weak_fields, avg(confidence) < 0.5 AS weak_item FROM c GROUP BY item HAVING count(*) FILTER (confidence < 0.6) > 3 OR avg(confidence) < 0.5", lambda c: c.groupBy("item").agg(F.count_if(F.col("confidence") < 0.6).alias("weak_fields"), (F.avg("confidence") < 0.5).alias("weak_item")).where("weak_fields > 3 OR weak_item")),
