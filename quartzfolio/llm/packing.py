@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -62,6 +63,7 @@ class TokenIds:
     splits as above, distinct words are encoded once and remembered."""
 
     def __init__(self, spec: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # threads of the library only wait for each other in a task's one core
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
