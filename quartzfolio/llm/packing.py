@@ -22,9 +22,6 @@ pieces. Further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import json
-import os
-import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,9 +31,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from quartzfolio.llm.common import Remembered, kept_by_worker, materialize
+from quartzfolio.llm.common import kept_by_worker, materialize
+from quartzfolio.llm.tokens import TokenIds, ended
 
 WINDOW, END_ID = 4096, 2
 #: Lengths are planned in so many classes, of 8 ids each for a window of 4096.
@@ -44,62 +41,8 @@ CLASSES = 512
 #: Times that a class is repeated in a combination, and how many classes, those
 #: with the most ids, are tried as its second one.
 REPEATS, FREQUENT = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64), 24
-#: Words that a worker remembers, twice; longer words aren't kept.
-REMEMBERED, LONGEST_KEPT = 300_000, 40
 BATCH = 500
 
-#: Splits that a lower-casing word tokenizer makes, and the same over Latin-1
-#: bytes for texts of common characters only, on which both agree.
-NORMALIZERS = ["NFC", "Replace", "Lowercase"]
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SMALL = rb"a-z\xdf-\xf6\xf8-\xff"
-LATIN_SPLIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[" + SMALL + rb"]+|[0-9]|[^\s0-9" + SMALL + rb"]+")
-COMMON = bytes([9, 10, 13, *range(32, 127), *range(0xC0, 0x100)])
-LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
-
-
-class TokenIds:
-    """Ids of texts as the tokenizers library gives them. Where the tokenizer
-    splits as above, distinct words are encoded once and remembered."""
-
-    def __init__(self, spec: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # threads of the library only wait for each other in a task's one core
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        parts = json.loads(spec)
-        kinds = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", [])]
-        split = (parts["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
-        self.by_word = kinds == NORMALIZERS and split == SPLIT and parts["post_processor"] is None
-        self.special = [t["content"] for t in parts["added_tokens"]]
-        self.known: Remembered = Remembered(REMEMBERED)
-
-    def words(self, text: str) -> list[bytes] | None:
-        """Words of a text of common characters, else None."""
-        try:
-            raw = text.encode("latin-1")
-        except UnicodeEncodeError:
-            return None
-        if not self.by_word or raw.translate(None, COMMON) or any(s in text for s in self.special):
-            return None
-        return LATIN_SPLIT.findall(raw.translate(LOWER))
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        split = [self.words(t) for t in texts]
-        missing = list(self.known.missing(set().union(*(w for w in split if w))))
-        self.known.update(zip(missing, self.whole([w.decode("latin-1") for w in missing]), strict=True))
-        get = self.known.__getitem__
-        rest = iter(self.whole([t for t, w in zip(texts, split, strict=True) if w is None]))
-        out = [next(rest) if w is None else b"".join(map(get, w)) for w in split]
-        for w in missing:
-            if len(w) > LONGEST_KEPT:
-                del self.known[w]
-        return out
-
 
 def pieces(docs: DataFrame, spec: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pieces of every row, which ends with the end id: its whole windows and a
@@ -107,7 +50,6 @@ def pieces(docs: DataFrame, spec: str, window: int = WINDOW, end_id: int = END_I
     in its task. ``spec`` is the tokenizer's JSON."""
     shipped = docs.sparkSession.sparkContext.broadcast(spec)  # a tokenizer file, of fixed size
     digest = hashlib.sha256(spec.encode()).hexdigest()
-    end = int(end_id).to_bytes(4, "little")
     schema = pa.schema([("task", pa.int64()), ("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("number", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,14 +58,15 @@ def pieces(docs: DataFrame, spec: str, window: int = WINDOW, end_id: int = END_I
         for b in batches:
             for at in range(0, b.num_rows, BATCH):
                 part = b.slice(at, BATCH)
-                rows = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
-                    ids += end
-                    n = len(ids) // 4
+                rows, first = [], 0
+                ids, sizes = ended(*encoder.flat(part.column("text").to_pylist()), end_id)
+                raw = ids.astype("<u4").tobytes()
+                for doc, n in zip(part.column("doc_id").to_pylist(), sizes.tolist(), strict=True):
                     for start in range(0, n, window):
                         size = min(window, n - start)
-                        rows.append((task, doc, n, start, size, seen[size], ids[4 * start : 4 * (start + size)]))
+                        rows.append((task, doc, n, start, size, seen[size], raw[4 * (first + start) : 4 * (first + start + size)]))
                         seen[size] += 1
+                    first += n
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "task long, doc_id long, doc_tokens long, start long, length long, number long, ids binary")

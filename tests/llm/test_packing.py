@@ -18,7 +18,7 @@ OURS = pk.TokenIds(SPEC)
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("abcdLRSTVM'  \n\t.!éÉßÿÞ×÷0123-"), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_ids_are_those_of_the_library(text):
-    assert OURS.words("plain") is not None
+    assert OURS.common(["plain"]) == [b"plain"]
     assert np.frombuffer(OURS.encode([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
