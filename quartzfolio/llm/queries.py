@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzfolio.llm import chat, fingerprints, language_id, licenses, ngram_join, packing, pieces, quality_classifier, quality_rules, url_filters
+from quartzfolio.llm import chat, fingerprints, language_id, licenses, ngram_join, packing, pieces, quality_classifier, quality_rules, resampling, url_filters
 from quartzfolio.llm.common import table
 
 
@@ -131,6 +131,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP7_SQL = f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -182,6 +186,39 @@ SELECT s.doc_id, s.path, coalesce(o.license, g.license) AS license, coalesce(o.s
 FROM split s LEFT JOIN own o USING (doc_id) LEFT JOIN given g USING (doc_id)
 """
 
+#: The table of the reversed CRC-32 polynomial, and the unsigned CRC-32 of a text by it.
+CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n)) AS t"
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 in SQL; ``t`` is the column of CRC_TABLE."""
+    of_bytes = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::INT, 2))::BIGINT)"
+    return f"xor(list_reduce({of_bytes}, lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295), 4294967295)"
+
+
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""
+WITH crc AS ({CRC_TABLE}),
+words AS (
+  SELECT row_number() OVER () AS r, doc_id, false AS target, {WORDS_SQL} AS w FROM documents
+  UNION ALL SELECT NULL, NULL, true, {WORDS_SQL} FROM benchmark),
+found AS (
+  SELECT r, target, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+    || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS f FROM words),
+buckets AS (SELECT f, {crc32_sql("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM found), crc),
+counts AS (SELECT bucket, count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t FROM found JOIN buckets USING (f) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts),
+weights AS (SELECT r, sum(gain) AS weight FROM found JOIN buckets USING (f) JOIN gains USING (bucket) WHERE NOT target GROUP BY r),
+noised AS (
+  SELECT r, doc_id, len(w) AS n_words, greatest(0, len(w)) + greatest(0, len(w) - 1) + greatest(0, len(w) - 2) AS n_features,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise
+  FROM words WHERE NOT target),
+scored AS (SELECT r, doc_id, n_words, n_features, coalesce(weight, 0)::BIGINT AS weight, (coalesce(weight, 0) + noise)::BIGINT AS score FROM noised LEFT JOIN weights USING (r)),
+places AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM scored LEFT JOIN places USING (r)
+"""
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality_rules": op2_quality_rules,
@@ -193,7 +230,8 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_ngram_join": op10_ngram_join,
+    "op11_resampling": op11_resampling,
 }
 
 #: Queries that SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op7_chat": OP7_SQL, "op8_licenses": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op7_chat": OP7_SQL, "op8_licenses": OP8_SQL, "op11_resampling": OP11_SQL}
