@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzfolio.llm import chat, fingerprints, language_id, licenses, ngram_join, packing, pieces, quality_classifier, quality_rules, resampling, url_filters
+from quartzfolio.llm import chat, fingerprints, language_id, licenses, ngram_join, packing, pieces, quality_classifier, quality_rules, resampling, token_files, url_filters
 from quartzfolio.llm.common import table
 
 
@@ -135,6 +135,10 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_spec())
+
+
 OP7_SQL = f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -231,6 +235,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_ngram_join": op10_ngram_join,
     "op11_resampling": op11_resampling,
+    "op12_token_files": op12_token_files,
 }
 
 #: Queries that SQL can express; the others are tested against brute force.
