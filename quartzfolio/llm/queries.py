@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartzfolio.llm import chat, fingerprints, language_id, licenses, ngram_join, packing, pieces, quality_classifier, quality_rules, resampling, token_files, url_filters
+from quartzfolio.llm import chat, fingerprints, language_id, licenses, ngram_join, packing, pieces, prefix_trie, quality_classifier, quality_rules, resampling, token_files, url_filters
 from quartzfolio.llm.common import table
 
 
@@ -139,6 +139,10 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_spec())
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations")).drop("position", "end")
+
+
 OP7_SQL = f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -223,6 +227,31 @@ places AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST)
 SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM scored LEFT JOIN places USING (r)
 """
 
+OP13_SQL = f"""
+WITH crc AS ({CRC_TABLE}),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS k, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, {crc32_sql("conv_id::VARCHAR")} % 9 AS h, conv_id - conv_id % 5 AS base FROM (SELECT DISTINCT conv_id FROM turns), crc),
+given AS (
+  SELECT i.conv_id, k, turn FROM ids i JOIN turns t ON t.conv_id = i.base AND k < h
+  UNION ALL SELECT conv_id, k, turn FROM ids JOIN turns USING (conv_id) WHERE k >= h),
+rebuilt AS (SELECT i.conv_id, coalesce(s, []) AS s FROM ids i LEFT JOIN (SELECT conv_id, list(turn ORDER BY k) AS s FROM given GROUP BY conv_id) USING (conv_id)),
+prefixes AS (SELECT conv_id, d, s[:d] AS p, d = len(s) AS ends FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT row_number() OVER () AS node, * FROM (
+    SELECT p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+      sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY p, d)),
+parents AS (SELECT c.node, a.node AS parent, a.conv_id AS parent_conv_id FROM nodes c JOIN nodes a ON a.depth = c.depth - 1 AND a.p = c.p[:c.depth - 1]),
+children AS (SELECT parent AS node, count(*) AS n_children FROM parents GROUP BY parent),
+own AS (
+  SELECT *, coalesce(n_children, 0) AS kids, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * octet_length(encode(p[depth].text)) END AS saved
+  FROM nodes LEFT JOIN parents USING (node) LEFT JOIN children USING (node)),
+subtrees AS (
+  SELECT p[:d] AS p, count(*) FILTER (kids = 0) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS d FROM own) GROUP BY 1)
+SELECT conv_id, depth, parent_conv_id, n_convs, kids AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256 FROM own JOIN subtrees USING (p)
+"""
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality_rules": op2_quality_rules,
@@ -236,7 +265,8 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
     "op11_resampling": op11_resampling,
     "op12_token_files": op12_token_files,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: Queries that SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op7_chat": OP7_SQL, "op8_licenses": OP8_SQL, "op11_resampling": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL, "op7_chat": OP7_SQL, "op8_licenses": OP8_SQL, "op11_resampling": OP11_SQL, "op13_prefix_trie": OP13_SQL}
