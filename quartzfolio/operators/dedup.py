@@ -1,16 +1,10 @@
-"""Duplicates among items: candidate pairs, likeness, clusters, merges, upserts.
-
-Candidates come from equal blocking keys, from rare words or from bands of
-minimal hashes; never from all pairs. Keys shared by very many rows make large
-blocks: choose a finer key, or ``jaccard_join``, which looks at rare words only.
-"""
+"""Duplicates: copies, near copies by bands of minimal hashes, merges, upserts."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,58 +23,6 @@ def by_content(df: DataFrame, text: str, key: str) -> DataFrame:
     return rows.join(of, "hash").select(key, "class_id", "copies")
 
 
-def candidate_pairs(df: DataFrame, blocks: Sequence[Column], fields: Sequence[str]) -> DataFrame:
-    """Pairs ``id`` < ``other`` of rows with equal blocking keys, with the fields
-    of both (``b_`` before those of the other)."""
-    names = [f"_k{i}" for i in range(len(blocks))]
-    a = df.select("id", *fields, *(b.alias(n) for b, n in zip(blocks, names, strict=True)))
-    b = a.select(F.col("id").alias("other"), *(F.col(f).alias(f"b_{f}") for f in fields), *names)
-    return a.join(b, names).where("id < other").drop(*names)
-
-
-def number_likeness(a: Column, b: Column) -> Column:
-    return F.when(a == b, 1.0).otherwise(1.0 - F.abs(a - b) / F.greatest(a, b))
-
-
-def text_likeness(a: Column, b: Column) -> Column:
-    return F.when(F.lower(a) == F.lower(b), 1.0).otherwise(strings.edit_similarity(a, b))
-
-
-#: What a field weighs.
-WEIGHTS = {"name": 0.4, "sku": 0.25, "description": 0.15, "vendor": 0.1, "category": 0.05, "budget": 0.05}
-
-
-def item_likeness(fields: Sequence[str] = ("name", "vendor", "category", "budget"), numbers: Sequence[str] = ("budget",)) -> Column:
-    """Weighted likeness over the fields that both sides have."""
-    total, weight = F.lit(0.0), F.lit(0.0)
-    for f in fields:
-        a, b = F.col(f), F.col(f"b_{f}")
-        both = a.isNotNull() & b.isNotNull()
-        s = (number_likeness if f in numbers else text_likeness)(a, b)
-        total = total + F.when(both, F.lit(WEIGHTS[f]) * s).otherwise(0.0)
-        weight = weight + F.when(both, WEIGHTS[f]).otherwise(0.0)
-    return F.when(weight > 0, total / weight).otherwise(0.0)
-
-
-def greedy_heads(rows: DataFrame, links: DataFrame, block: str) -> DataFrame:
-    """Head of each row of ``rows`` (id, block): itself, or the first head before
-    it that it is linked to. Links are within a block; a block's links, which are
-    far fewer than its pairs, are folded in order in one task."""
-
-    def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in zip(group["id"], group["other"], strict=True):
-            near.setdefault(b, []).append(a)
-        heads: dict[int, int] = {}
-        for i in sorted({*group["id"], *group["other"]}):
-            heads[i] = next((a for a in sorted(near.get(i, ())) if heads.get(a, a) == a), i)
-        return pd.DataFrame({"id": list(heads), "head": list(heads.values())}, dtype="int64")
-
-    inside = links.join(rows.select("id", block), "id")
-    found = inside.groupBy(block).applyInPandas(fold, "id long, head long")
-    return rows.join(found, "id", "left").select("id", F.coalesce("head", "id").alias("head"))
-
-
 def merged(df: DataFrame, cluster: str, fields: Sequence[str], confidence: str, key: str = "id") -> DataFrame:
     """One row for each cluster: of every field the value with the highest
     confidence, the first of equals; nulls never win."""
@@ -88,68 +30,6 @@ def merged(df: DataFrame, cluster: str, fields: Sequence[str], confidence: str,
     return df.groupBy(cluster).agg(F.count("*").alias("n"), F.max(confidence).alias(confidence), *best)
 
 
-def prefix_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs ``id`` < ``other`` of rows (id, w: array of features, few) that share
-    one of their ``few`` rarest features. ``few`` says how many a row must show so
-    that no pair that passes the caller's threshold is missed."""
-    words = rows.select("id", "few", F.explode("w").alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    ranked = words.join(counts, "word").groupBy("id", "few").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))  # the features of one row
-    heads = ranked.select("id", F.explode(F.slice("w", F.lit(1), F.least("few", F.size("w")))).alias("x")).select("id", "x.word")
-    a, b = heads.alias("a"), heads.alias("b")
-    return a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
-
-
-def occurrences(grams: Column) -> Column:
-    """Features numbered by occurrence, so that sharing them is sharing a multiset."""
-    return F.transform(grams, lambda x, i: F.concat(x, F.lit("#"), F.size(F.filter(F.slice(grams, F.lit(1), i), lambda y: y == x)).cast("string")))
-
-
-def name_pairs(names: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """Pairs of distinct names (id, name) that can be ``threshold`` alike, with
-    both names, by a filter that the likeness implies:
-
-    * ``edit``: d edits change at most 2 d of a name's letter pairs, and d is at
-      most (1 - t) / t of its length;
-    * ``jaro_winkler``: with a prefix of four, Jaro is at least (t - 0.4) / 0.6, so
-      names share at least 3 jaro - 2 of their letters;
-    * ``cosine``: names that share none of the features outside a rest of less than
-      t of the norm are less alike than t.
-    """
-    low = F.lower("name")
-    letters = F.filter(F.split(low, ""), lambda x: x != "")
-    pairs = strings.bigrams(low)
-    size = F.length(low)
-    if kind == "edit":
-        w, few = occurrences(pairs), (2 * F.floor(size * ((1 - threshold) / threshold) + 1e-9) + 1).cast("int")
-    elif kind == "jaro_winkler":
-        least = max(0.0, 3 * (threshold - 0.4) / 0.6 - 2)
-        w, few = occurrences(letters), (size - F.ceil(size * least - 1e-9) + 1).cast("int")
-    elif kind == "cosine":
-        # a rest of k pairs met once has the norm root k; a name with a pair met again shows all
-        w = F.array_distinct(pairs)
-        few = F.when(F.size(pairs) == F.size(w), F.size(w) - F.ceil(F.size(w) * threshold * threshold - 1e-9) + 1).otherwise(F.size(w)).cast("int")
-    else:
-        raise ValueError(kind)
-    found = prefix_pairs(names.select("id", w.alias("w"), few.alias("few")))
-    other = names.select(F.col("id").alias("other"), F.col("name").alias("other_name"))
-    shorter = {"edit": threshold, "jaro_winkler": max(0.0, 3 * (threshold - 0.4) / 0.6 - 2), "cosine": 0.0}[kind]  # least ratio of lengths
-    ratio = F.least(F.length("name"), F.length("other_name")) / F.greatest(F.length("name"), F.length("other_name"))
-    return found.join(names.select("id", "name"), "id").join(other, "other").where(ratio >= shorter - 1e-9)
-
-
-def jaccard_join(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of rows (id, words) whose sets of words are at least ``threshold``
-    alike. Two sets that pass share one of their rarest words, and only those
-    words are joined on."""
-    sets = rows.select("id", F.array_distinct("words").alias("w"))
-    few = (F.size("w") - F.ceil(F.size("w") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    pairs = prefix_pairs(sets.withColumn("few", few))
-    n = F.size("w") / F.size("v")
-    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("w").alias("v")), "other").where(n.between(threshold - 1e-9, 1 / threshold + 1e-9))
-    return both.select("id", "other", strings.jaccard(F.col("w"), F.col("v")).alias("likeness")).where(F.col("likeness") >= threshold)
-
-
 def shingles(text: Column, k: int = 3) -> Column:
     s = F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
     return F.when(F.length(s) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k))))).otherwise(F.array(s))

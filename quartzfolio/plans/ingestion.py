@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quartzfolio.functions import strings
 from quartzfolio.functions.numbers import currency
 from quartzfolio.functions.similarity import jaro_winkler
+from quartzfolio.operators import likeness
 from quartzfolio.plans.common import Registry, r, rounded, table
 from quartzfolio.plans.portfolio import ITEMS_SQL as P_SQL
 from quartzfolio.plans.portfolio import case
@@ -224,22 +225,33 @@ def grid_of_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- duplicates against a store
 
 SPLIT = "p_partkey % 3 = 0"
-NEW_SQL = f"new AS (SELECT lower(p_name) AS name, p_type AS kind, p_brand AS vendor, min(p_partkey) AS id, count(*) AS n FROM part WHERE {SPLIT} GROUP BY 1, 2, 3), old AS (SELECT lower(p_name) AS name, p_type AS kind, p_brand AS vendor, min(p_partkey) AS id, count(*) AS n FROM part WHERE NOT ({SPLIT}) GROUP BY 1, 2, 3)"
+STORED = "lower(p_name) AS name, p_type AS kind, p_brand AS vendor, CASE WHEN p_size % 4 = 0 THEN NULL ELSE concat(lower(p_type), ' item of size ', p_size % 8) END AS told"
+KINDS_SQL = f"new AS (SELECT {STORED}, min(p_partkey) AS id, count(*) AS n FROM part WHERE {SPLIT} GROUP BY 1, 2, 3, 4), old AS (SELECT {STORED}, min(p_partkey) AS id FROM part WHERE NOT ({SPLIT}) GROUP BY 1, 2, 3, 4)"
+STORED_SPARK = ("lower(p_name) AS name", "p_type AS kind", "p_brand AS vendor", STORED.split("p_brand AS vendor, ")[1])
 LIKE_SQL = "(1 - levenshtein({0}, {1})::DOUBLE / greatest(length({0}), length({1})))"
+SCORE_SQL = f"(0.4::DOUBLE * {LIKE_SQL.format('new.name', 'old.name')} + CASE WHEN new.told IS NOT NULL AND old.told IS NOT NULL THEN 0.2::DOUBLE * {LIKE_SQL.format('new.told', 'old.told')} ELSE 0 END + 0.15::DOUBLE * (new.kind = old.kind)::INT + 0.1::DOUBLE * (new.vendor = old.vendor)::INT) / CASE WHEN new.told IS NOT NULL AND old.told IS NOT NULL THEN 0.85::DOUBLE ELSE 0.65::DOUBLE END"
 
 
-@R.add("existing_duplicates", f"WITH {NEW_SQL}, s AS (SELECT new.id, new.n, old.id AS existing, {r('(0.4::DOUBLE * ' + LIKE_SQL.format('new.name', 'old.name') + ' + 0.15::DOUBLE * (new.kind = old.kind)::INT + 0.1::DOUBLE * (new.vendor = old.vendor)::INT) / 0.65::DOUBLE')} AS score FROM new JOIN old ON new.name = old.name AND (new.kind = old.kind OR new.vendor = old.vendor)) SELECT id, n, arg_max(existing, (score, -existing)) AS existing, max(score) AS score, max(score) > 0.95 AS keep_existing FROM s WHERE score > 0.75 GROUP BY id, n")
+@R.add("existing_duplicates", f"WITH {KINDS_SQL}, s AS (SELECT new.id, new.n, old.id AS existing, {r(SCORE_SQL)} AS score FROM new CROSS JOIN old) SELECT id, n, count(*) AS n_links, arg_max(existing, (score, -existing)) AS existing, max(score) AS score, max(score) > 0.95 AS keep_existing FROM s WHERE score > 0.85 GROUP BY id, n")
 def existing_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New kinds of items (equal ones are one row) that the store has: the likest
-    stored one, by name, category and vendor."""
-    p = table(spark, sf_dir, "part")
-    keys = [F.lower("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_brand").alias("vendor")]
-    new = p.where(SPLIT).groupBy(*keys).agg(F.min("p_partkey").alias("id"), F.count("*").alias("n"))
-    old = p.where(f"NOT ({SPLIT})").groupBy(*keys).agg(F.min("p_partkey").alias("existing")).select("name", F.col("kind").alias("k"), F.col("vendor").alias("v"), "existing")
-    same = lambda a, b: (F.col(a) == F.col(b)).cast("int")
-    score = rounded((F.lit(0.4) + F.lit(0.15) * same("kind", "k") + F.lit(0.1) * same("vendor", "v")) / 0.65)
-    s = new.join(old, "name").where("kind = k OR vendor = v").select("id", "n", "existing", score.alias("s")).where("s > 0.75")
-    return s.groupBy("id", "n").agg(F.max_by("existing", F.struct("s", -F.col("existing"))).alias("existing"), F.max("s").alias("score")).withColumn("keep_existing", F.col("score") > 0.95)
+    """New kinds of items (equal ones are one row) that the store has, by name,
+    description, category and vendor: how many stored kinds are alike, and the
+    likest. A pair that is alike enough loses at most 0.15 of all weights, so the
+    names are alike: like names are found first, by segments."""
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", SPLIT + " AS fresh", *STORED_SPARK)
+    keys = ["name", "kind", "vendor", "told"]
+    new = p.where("fresh").groupBy(*keys).agg(F.min("p_partkey").alias("id"), F.count("*").alias("n"))
+    old = p.where("NOT fresh").groupBy(*keys).agg(F.min("p_partkey").alias("existing"))
+    least = 1 - 0.15 * 0.85 / 0.4
+    like = likeness.value_pairs(p.select("name"), "edit", least, likeness.edit_likeness(F.col("a"), F.col("b")))
+    other = old.select("existing", *(F.col(k).alias(f"b_{k}") for k in keys))
+    pairs = new.join(like.withColumnRenamed("a", "name"), "name").join(other, F.col("b") == F.col("b_name"))
+    told = F.col("told").isNotNull() & F.col("b_told").isNotNull()
+    same = lambda k: F.when(F.col(k) == F.col(f"b_{k}"), 1.0).otherwise(0.0)
+    total = F.lit(0.4) * F.col("like") + F.when(told, 0.2 * likeness.edit_likeness(F.col("told"), F.col("b_told"))).otherwise(0.0) + 0.15 * same("kind") + 0.1 * same("vendor")
+    s = pairs.select("id", "n", "existing", rounded(total / F.when(told, 0.85).otherwise(0.65)).alias("s")).where("s > 0.85")
+    best = s.groupBy("id", "n").agg(F.count("*").alias("n_links"), F.max_by("existing", F.struct("s", -F.col("existing"))).alias("existing"), F.max("s").alias("score"))
+    return best.withColumn("keep_existing", F.col("score") > 0.95)
 
 
 FULL_SQL = "(" + " + ".join(f"CASE WHEN coalesce({c} <> '', false) THEN 0.5::DOUBLE + 0.5::DOUBLE * 0.8::DOUBLE ELSE 0.0::DOUBLE END" for c in ("name", "vendor", "category", "price", "status")) + ") / 7"

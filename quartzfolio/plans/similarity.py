@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzfolio.functions import similarity, strings, vectors
-from quartzfolio.operators import dedup, search
+from quartzfolio.operators import dedup, likeness, search
+from quartzfolio.operators.tables import materialize
 from quartzfolio.operators.windows import fold, running_sum
 from quartzfolio.plans.common import ITEMS_SQL, Registry, items, r, rounded, table
 
@@ -23,13 +24,13 @@ PAIRS_SQL = "d AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP B
 
 @R.add("levenshtein_pairs", f"WITH {PAIRS_SQL}, s AS (SELECT id, other, {r('1 - levenshtein(lower(name), lower(other_name))::DOUBLE / greatest(length(name), length(other_name))')} AS likeness FROM p) SELECT * FROM s WHERE likeness >= 0.8")
 def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    likeness = rounded(strings.edit_similarity(F.col("name"), F.col("other_name"))).alias("likeness")
-    return dedup.name_pairs(names(spark, sf_dir), "edit", 0.8).select("id", "other", likeness).where("likeness >= 0.8")
+    like = rounded(strings.edit_similarity(F.col("name"), F.col("other_name"))).alias("likeness")
+    return likeness.name_pairs(names(spark, sf_dir), "edit", 0.8).select("id", "other", like).where("likeness >= 0.8")
 
 
 @R.add("jaro_winkler_pairs", f"WITH {PAIRS_SQL}, s AS (SELECT id, other, {r('jaro_winkler_similarity(lower(name), lower(other_name))')} AS likeness FROM p) SELECT * FROM s WHERE likeness >= 0.9")
 def jaro_winkler_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = dedup.name_pairs(names(spark, sf_dir), "jaro_winkler", 0.9).select("id", "other", F.lower("name").alias("a"), F.lower("other_name").alias("b"))
+    pairs = likeness.name_pairs(names(spark, sf_dir), "jaro_winkler", 0.9).select("id", "other", F.lower("name").alias("a"), F.lower("other_name").alias("b"))
     return pairs.select("id", "other", rounded(similarity.jaro_winkler("a", "b")).alias("likeness")).where("likeness >= 0.9")
 
 
@@ -40,8 +41,8 @@ SELECT id, other, {r('dot / (u.norm * v.norm)')} AS likeness FROM x JOIN z u ON
 
 @R.add("ngram_cosine_pairs", NGRAM_SQL)
 def ngram_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    likeness = rounded(strings.bigram_cosine(F.lower("name"), F.lower("other_name"))).alias("likeness")
-    return dedup.name_pairs(names(spark, sf_dir), "cosine", 0.7).select("id", "other", likeness).where("likeness >= 0.7")
+    like = rounded(strings.bigram_cosine(F.lower("name"), F.lower("other_name"))).alias("likeness")
+    return likeness.name_pairs(names(spark, sf_dir), "cosine", 0.7).select("id", "other", like).where("likeness >= 0.7")
 
 
 @R.add("normalize_text", "SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || ' / ' || p_type), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS plain, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
@@ -66,30 +67,106 @@ def dedup_exact_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.by_content(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
-SIMILARITY_SQL = f"""WITH {ITEMS_SQL}, b AS (SELECT *, lower(split_part(name, ' ', 1)) AS block FROM items),
-p AS (SELECT a.id, c.id AS other, 0.4::DOUBLE * CASE WHEN lower(a.name) = lower(c.name) THEN 1.0::DOUBLE ELSE 1 - levenshtein(lower(a.name), lower(c.name))::DOUBLE / greatest(length(a.name), length(c.name)) END
- + 0.1::DOUBLE * CASE WHEN a.vendor = c.vendor THEN 1.0::DOUBLE ELSE 1 - levenshtein(lower(a.vendor), lower(c.vendor))::DOUBLE / greatest(length(a.vendor), length(c.vendor)) END
- + 0.05::DOUBLE * CASE WHEN a.category = c.category THEN 1.0::DOUBLE ELSE 1 - levenshtein(lower(a.category), lower(c.category))::DOUBLE / greatest(length(a.category), length(c.category)) END
- + 0.05::DOUBLE * CASE WHEN a.budget = c.budget THEN 1.0::DOUBLE ELSE 1 - abs(a.budget - c.budget) / greatest(a.budget, c.budget) END AS total
- FROM b a JOIN b c ON a.block = c.block AND a.vendor = c.vendor AND a.id < c.id)
-SELECT id, other, {r('total / 0.6::DOUBLE')} AS likeness FROM p WHERE total / 0.6::DOUBLE >= 0.9"""
+#: Items to be compared: parts with a stock code and a description, either of them missing from some.
+COMPARED = {
+    "id": "p_partkey", "name": "p_name", "vendor": "p_brand", "category": "p_type", "price": "CAST(p_retailprice * (5 + p_partkey % 60) AS DOUBLE)",
+    "sku": "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE concat('SK-', p_size, '-', substr(p_brand, 7)) END",
+    "description": "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE concat(p_type, ' goods, size ', p_size % 10) END",
+}
+
+
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr(*(f"{e} AS {n}" for n, e in COMPARED.items()))
+
+
+PLAIN_SQL = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+EDIT_SQL = "CASE WHEN greatest(length({0}), length({1})) = 0 THEN 1 ELSE 1 - levenshtein({0}, {1})::DOUBLE / greatest(length({0}), length({1})) END"
+PROFILES_SQL = f"""src AS (SELECT {", ".join(f"{e} AS {n}" for n, e in COMPARED.items())} FROM part),
+plain AS (SELECT id, price, {", ".join(f"{PLAIN_SQL.format(c)} AS {c}" for c in ("name", "vendor", "category", "sku", "description"))} FROM src WHERE name IS NOT NULL),
+prof AS (SELECT min(id) AS id, count(*) AS copies, name, sku, description, vendor, category, price FROM plain GROUP BY ALL),
+vals AS (SELECT name AS v, 'name' AS kind FROM prof UNION SELECT description, 'description' FROM prof WHERE description IS NOT NULL),
+grams AS (SELECT kind, v, substr(v, i::BIGINT, 2) AS g, count(*)::DOUBLE AS c FROM vals, generate_series(1, 200) AS t(i) WHERE i < length(v) GROUP BY ALL),
+norms AS (SELECT kind, v, sqrt(sum(c * c)) AS norm FROM grams GROUP BY ALL),
+dots AS (SELECT a.kind, a.v AS a, b.v AS b, sum(a.c * b.c) AS dot FROM grams a JOIN grams b USING (kind, g) WHERE a.v <> b.v GROUP BY ALL),
+duo AS (SELECT x.kind, x.v AS a, y.v AS b, greatest(length(x.v), length(y.v)) // 2 - 1 AS reach FROM vals x JOIN vals y USING (kind) WHERE x.v <> y.v),
+walk(kind, a, b, reach, i, taken, matched) AS (
+  SELECT kind, a, b, reach, 1, list_transform(range(length(b)), lambda x: false), '' FROM duo
+  UNION ALL
+  SELECT kind, a, b, reach, i + 1, list_transform(taken, lambda t, k: t OR coalesce(k = j, false)), matched || CASE WHEN j IS NULL THEN '' ELSE a[i] END FROM (
+    SELECT *, list_filter(range(greatest(1, i - reach), least(length(b), i + reach) + 1), lambda j: NOT taken[j] AND b[j] = a[i])[1] AS j FROM walk WHERE i <= length(a))),
+jaros AS (
+  SELECT kind, a, b, CASE WHEN matched = '' THEN 0 ELSE (length(matched)::DOUBLE / length(a) + length(matched)::DOUBLE / length(b)
+      + (length(matched) - len(list_filter(range(1, length(matched) + 1), lambda k: matched[k] <> list_filter(string_split(b, ''), lambda c, p: taken[p])[k])) / 2.0::DOUBLE) / length(matched)) / 3 END AS jaro
+  FROM walk WHERE i = length(a) + 1),
+likes AS (
+  SELECT x.kind, x.v AS a, y.v AS b, CASE WHEN x.v = y.v THEN 1.0::DOUBLE ELSE greatest(
+      jaro + 0.1::DOUBLE * ({" + ".join(f"(length(x.v) >= {i} AND length(y.v) >= {i} AND left(x.v, {i}) = left(y.v, {i}))::INT" for i in range(1, 5))}) * (1 - jaro),
+      coalesce(dot / (m.norm * n.norm), 0), {EDIT_SQL.format("x.v", "y.v")}) END AS sim
+  FROM vals x JOIN vals y USING (kind) LEFT JOIN dots ON dots.kind = x.kind AND dots.a = x.v AND dots.b = y.v LEFT JOIN jaros ON jaros.kind = x.kind AND jaros.a = x.v AND jaros.b = y.v
+    LEFT JOIN norms m ON m.kind = x.kind AND m.v = x.v LEFT JOIN norms n ON n.kind = x.kind AND n.v = y.v)"""
+
+
+def weighted_sql(least: float) -> str:
+    """All pairs of profiles, without a filter; ``links`` are those alike enough."""
+    edit = {c: EDIT_SQL.format(f"a.{c}", f"b.{c}") for c in ("sku", "vendor", "category")}
+    like = edit | {"name": "n.sim", "description": "d.sim", "price": "CASE WHEN a.price = b.price THEN 1 ELSE 1 - abs(a.price - b.price) / greatest(abs(a.price), abs(b.price)) END"}
+    both = {c: f"a.{c} IS NOT NULL AND b.{c} IS NOT NULL" for c in likeness.WEIGHTS}
+    total = " + ".join(f"CASE WHEN {both[c]} THEN {w}::DOUBLE * ({like[c]}) ELSE 0 END" for c, w in likeness.WEIGHTS.items())
+    weight = " + ".join(f"CASE WHEN {both[c]} THEN {w}::DOUBLE ELSE 0 END" for c, w in likeness.WEIGHTS.items())
+    return f"""{PROFILES_SQL}, links AS (
+  SELECT a.id, b.id AS other, {r(f"({total}) / ({weight})")} AS likeness FROM prof a JOIN prof b ON a.id < b.id
+    JOIN likes n ON n.kind = 'name' AND n.a = a.name AND n.b = b.name LEFT JOIN likes d ON d.kind = 'description' AND d.a = a.description AND d.b = b.description
+  WHERE {r(f"({total}) / ({weight})")} >= {least})"""
+
+
+@R.add("item_similarity_join", f"""WITH RECURSIVE {weighted_sql(0.9)},
+ends AS (SELECT id, other, likeness FROM links UNION ALL SELECT other, id, likeness FROM links),
+n AS (SELECT ends.id, sum(copies)::BIGINT AS n_links, arg_max(other, (likeness, -other)) AS best, max(likeness) AS likeness FROM ends JOIN prof ON prof.id = other GROUP BY ends.id),
+classes AS (SELECT id, min(id) OVER (PARTITION BY name, sku, description, vendor, category, price) AS class_id FROM plain)
+SELECT classes.id, class_id, copies, coalesce(n_links, 0) AS n_links, best, n.likeness FROM classes JOIN prof ON prof.id = class_id LEFT JOIN n ON n.id = class_id""")
+def item_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item with its class of equal items, and how many items of other
+    classes it is linked to by weighted likeness, with the likest."""
+    it = compared(spark, sf_dir)
+    prof = materialize(likeness.profiles(it), "profiles")
+    links = materialize(likeness.item_links(prof, 0.9), "links")
+    ends = likeness.both_ways(links).join(prof.select(F.col("id").alias("other"), "copies"), "other")
+    n = ends.groupBy(F.col("id").alias("class_id")).agg(F.sum("copies").alias("n_links"), F.max_by("other", F.struct("likeness", -F.col("other"))).alias("best"), F.max("likeness").alias("likeness"))
+    classes = prof.select(F.col("id").alias("class_id"), "copies").join(n, "class_id", "left").fillna(0, ["n_links"])
+    return likeness.members(it, prof).join(classes, "class_id")
 
 
-@R.add("item_similarity_join", SIMILARITY_SQL)
-def item_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of items by weighted fields, among those of one vendor whose names
-    begin alike."""
-    pairs = dedup.candidate_pairs(items(spark, sf_dir), [F.lower(F.split_part("name", F.lit(" "), F.lit(1))), F.col("vendor")], ["name", "vendor", "category", "budget"])
-    return pairs.select("id", "other", dedup.item_likeness().alias("likeness")).where("likeness >= 0.9").withColumn("likeness", rounded(F.col("likeness")))
+def clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of equal items, their links at 0.7, and ``id, head`` of each."""
+    prof = materialize(likeness.profiles(compared(spark, sf_dir)), "profiles")
+    links = materialize(likeness.item_links(prof, likeness.DUPLICATE), "links")
+    return prof, links, materialize(likeness.first_heads(prof, links), "heads")
 
 
 @R.add("dedup_greedy")
 def dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items clustered greedily in order of ids: one joins the first cluster
-    whose head is similar enough."""
-    pairs = dedup.candidate_pairs(items(spark, sf_dir), [F.lower(F.split_part("name", F.lit(" "), F.lit(1))), F.col("vendor")], ["name", "vendor", "category", "budget"])
-    links = pairs.select("id", "other", dedup.item_likeness().alias("likeness")).where("likeness >= 0.9")
-    return dedup.greedy_heads(items(spark, sf_dir).select("id", "vendor"), links, "vendor")
+    """Every item with its class of equal items and the first head before it that
+    is at least 0.7 alike, else itself."""
+    prof, _, heads = clusters(spark, sf_dir)
+    return likeness.members(compared(spark, sf_dir), prof).join(heads.withColumnRenamed("id", "class_id"), "class_id").select("id", "class_id", "head")
+
+
+@R.add("duplicate_groups")
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every cluster of duplicates the mean likeness to its head, whether that
+    confirms it, the item to keep, which is the first or the most complete one, and
+    the values merged from all, those of the most complete items first."""
+    it = compared(spark, sf_dir)
+    prof, links, heads = clusters(spark, sf_dir)
+    full = sum((F.when(F.coalesce(F.col(c).cast("string") != "", F.lit(False)), 0.5 + 0.5 * 0.8).otherwise(0.0) for c in likeness.WEIGHTS), F.lit(0.0))
+    head_of = likeness.members(it, prof).join(heads.withColumnRenamed("id", "class_id"), "class_id").select("id", "class_id", "head")
+    rows = it.withColumn("complete", rounded((full + 0.2 * 0.8) / 7)).join(head_of, "id")
+    best = dedup.merged(rows, "head", list(likeness.WEIGHTS), "complete")
+    kept = rows.groupBy("head").agg(F.min("id").alias("keep_first"), F.max_by("id", F.struct("complete", -F.col("id"))).alias("keep_best"))
+    to_head = heads.where("id <> head").join(links.select(F.col("id").alias("head"), F.col("other").alias("id"), "likeness"), ["id", "head"])
+    mean = to_head.groupBy("head").agg(rounded(F.avg("likeness")).alias("likeness"))
+    groups = best.where("n > 1").join(kept, "head").join(mean, "head", "left").fillna(1.0, ["likeness"])  # only equal items
+    return groups.withColumn("confirmed", F.col("likeness") >= likeness.CONFIRMED)
 
 
 WORDS_SQL = "t AS (SELECT p_name || ' ' || p_type || ' ' || p_brand AS text, min(p_partkey) AS id FROM part GROUP BY 1), k AS (SELECT DISTINCT id, unnest(string_split(lower(text), ' ')) AS word FROM t)"
@@ -100,7 +177,7 @@ SELECT c.id, other, {r('shared::DOUBLE / (x.n + y.n - shared)')} AS likeness FRO
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of texts of parts that share words; equal texts are one row."""
     texts = table(spark, sf_dir, "part").groupBy(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text")).agg(F.min("p_partkey").alias("id"))
-    return dedup.jaccard_join(texts.select("id", F.split(F.lower("text"), " ").alias("words")), 0.75).withColumn("likeness", rounded(F.col("likeness")))
+    return likeness.jaccard_join(texts.select("id", F.split(F.lower("text"), " ").alias("words")), 0.75).withColumn("likeness", rounded(F.col("likeness")))
 
 
 @R.add("minhash_lsh_pairs")

@@ -5,7 +5,7 @@ import random
 
 import pytest
 from quartzfolio.functions.similarity import jaro, jaro_winkler_of
-from quartzfolio.operators import budget, dedup, graph, learning, search
+from quartzfolio.operators import budget, dedup, graph, learning, likeness, search
 
 
 def test_jaro_winkler():
@@ -60,12 +60,6 @@ def test_lsh_pairs_have_every_copy(spark):
     assert got == {(0, 1, True), (0, 2, True), (0, 3, True), (4, 5, True), (4, 6, True), (0, 7, False)}
 
 
-def test_greedy_heads(spark):
-    rows = spark.createDataFrame([(i, "b") for i in range(6)], "id long, block string")
-    links = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (4, 5)], "id long, other long")
-    assert {r["id"]: r["head"] for r in dedup.greedy_heads(rows, links, "block").collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
-
-
 def test_merged_takes_the_surest_value(spark):
     df = spark.createDataFrame([(1, 1, "a", None, 0.5), (1, 2, "b", "x", 0.9), (1, 3, "c", "y", 0.9)], "c long, id long, name string, vendor string, confidence double")
     r = dedup.merged(df, "c", ["name", "vendor"], "confidence").first()
@@ -96,7 +90,7 @@ def test_cooldown(spark):
 
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], "id long, block string, words array<string>")
-    assert dedup.jaccard_join(none, 0.75).count() == 0
+    assert likeness.jaccard_join(none, 0.75).count() == 0
     assert dedup.lsh_pairs(spark.createDataFrame([], "id long, text string"), 0.75).count() == 0
     vecs = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert search.nearest(vecs, vecs, 3, 5).count() == 0
@@ -117,7 +111,7 @@ def test_name_pairs_miss_nothing(spark, kind, threshold):
     of = {"edit": strings.edit_similarity(F.col("name"), F.col("other_name")), "jaro_winkler": similarity.jaro_winkler("name", "other_name"), "cosine": strings.bigram_cosine(F.col("name"), F.col("other_name"))}[kind]
     other = df.select(F.col("id").alias("other"), F.col("name").alias("other_name"))
     every = df.join(other, F.col("id") < F.col("other")).where(of >= threshold).select("id", "other")
-    some = dedup.name_pairs(df, kind, threshold).where(of >= threshold).select("id", "other")
+    some = likeness.name_pairs(df, kind, threshold).where(of >= threshold).select("id", "other")
     want = sorted(map(tuple, every.collect()))
     assert sorted(map(tuple, some.collect())) == want
     assert len(want) > 20
