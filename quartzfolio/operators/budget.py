@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,21 +59,23 @@ def quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy(items: DataFrame, group: str, budget: float) -> DataFrame:
     """Items of each group in the order of score for cost; one that doesn't fit
     into what is left is skipped. Rows stream through in order, whatever the size
-    of a group; a task holds one number."""
+    of a group; a task holds one number. Items without a group are one group; those
+    without a cost are not taken."""
     rows = items.withColumn("ratio", F.col("score") / F.col("cost")).repartition(group).sortWithinPartitions(group, F.desc("ratio"), "id")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, left = None, 0.0
-        for f in frames:
-            taken = np.zeros(len(f), bool)
-            for i, (g, cost) in enumerate(zip(f[group], f["cost"], strict=True)):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, left = object(), 0.0
+        for b in batches:
+            taken = []
+            for g, cost in zip(b.column(group).to_pylist(), b.column("cost").to_pylist(), strict=True):
                 if g != current:
                     current, left = g, budget
-                if cost <= left:
-                    taken[i], left = True, left - cost
-            yield f.loc[taken, [group, "id", "score", "cost"]]
+                fits = cost is not None and cost <= left
+                taken.append(fits)
+                left -= cost if fits else 0.0
+            yield b.filter(pa.array(taken, pa.bool_())).select([group, "id", "score", "cost"])
 
-    return rows.mapInPandas(run, items.select(group, "id", "score", "cost").schema)
+    return rows.mapInArrow(run, items.select(group, "id", "score", "cost").schema)
 
 
 def knapsack(items: DataFrame, group: str, budget: float, unit: float = 1000.0) -> DataFrame:

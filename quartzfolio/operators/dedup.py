@@ -57,7 +57,8 @@ def lsh_pairs(rows: DataFrame, threshold: float, bands: int = 20, height: int =
     """Pairs of rows (id, text) that share a band of seeded minimal hashes of
     letter triples, verified on their full sets, and the copies of equal texts.
     The least id stands for its text: ``copy`` rows tie every other id of the text
-    to it, the rest are pairs of such ids. Null texts are copies of nothing."""
+    to it, the rest are pairs of such ids. Null texts are copies of nothing; a row
+    whose id is null is a copy with ``other`` null."""
     texts = rows.where("text IS NOT NULL").groupBy("text").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     seeds = (np.random.default_rng(7).integers(1, 2**63, bands * height, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -75,7 +76,7 @@ def lsh_pairs(rows: DataFrame, threshold: float, bands: int = 20, height: int =
     size = F.size("g") / F.size("h")
     both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("g").alias("h")), "other").where(size.between(threshold, 1 / threshold))
     near = both.select("id", "other", strings.jaccard(F.col("g"), F.col("h")).alias("likeness"), F.lit(False).alias("copy")).where(F.col("likeness") >= threshold)
-    members = texts.where("copies > 1").join(rows.select(F.col("id").alias("other"), "text"), "text").where("id < other")
+    members = texts.where("copies > 1").join(rows.select(F.col("id").alias("other"), "text"), "text").where("id < other OR other IS NULL")
     return near.unionByName(members.select("id", "other", F.lit(1.0).alias("likeness"), F.lit(True).alias("copy")))
 
 

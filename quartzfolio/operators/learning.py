@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,24 +39,24 @@ def adjusted(score: Column, patterns: Sequence[tuple[str, str, str, float, float
 def by_key(rows: DataFrame) -> DataFrame:
     """Rows of a key together and in order, streamed through a task: none is
     held whole in memory."""
-    return rows.repartition("key").sortWithinPartitions("key", "ts", "event_id")
+    return rows.select("key", "ts", "event_id").repartition("key").sortWithinPartitions("key", "ts", "event_id")
 
 
 def cooldown(rows: DataFrame, pause: str) -> DataFrame:
     """Rows (key, ts, event_id) that raise an alert: none within ``pause`` of the
-    key's last alert."""
+    key's last alert. Null keys are one key; rows without a time raise none."""
     wait = pd.Timedelta(pause)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, last = object(), None
         for b in batches:
             keep = []
-            for k, ts in zip(b["key"], b["ts"], strict=True):
+            for k, ts in zip(b.column("key").to_pylist(), b.column("ts").to_pylist(), strict=True):
                 if k != key:
                     key, last = k, None
-                alert = last is None or ts - last >= wait
+                alert = ts is not None and (last is None or ts - last >= wait)
                 keep.append(alert)
                 last = ts if alert else last
-            yield b[keep]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
-    return by_key(rows).mapInPandas(run, rows.select("key", "ts", "event_id").schema)
+    return by_key(rows).mapInArrow(run, rows.select("key", "ts", "event_id").schema)

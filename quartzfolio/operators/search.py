@@ -24,8 +24,11 @@ def nearest(queries: DataFrame, vecs: DataFrame, k: int, places: int) -> DataFra
     Queries lie in blocks of 256; every block meets every part of the vectors as
     a matrix product in a task of its own, which returns the best k of each query
     there, and only those are ranked together. Scores are rounded to ``places``
-    digits before ranking; the lesser id wins ties.
+    digits before ranking; the lesser id wins ties. Rows without a vector or with a
+    null in it neither ask nor are found.
     """
+    whole = "embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)"
+    queries, vecs = queries.where(whole), vecs.where(whole)
     n = queries.count()
     blocks, parts = -(-n // BLOCK) or 1, max(1, int(vecs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = lambda c, m, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(m)).cast("int")

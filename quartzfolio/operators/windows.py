@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 
 def latest(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
@@ -52,25 +53,104 @@ def stratified(df: DataFrame, quotas: dict[str, int]) -> DataFrame:
 
 
 def fold(df: DataFrame, keys: list[str], order: list[str], value: str, start: float | None, step: Callable[[float | None, float], float]) -> DataFrame:
-    """Left fold of the values of each key in order, ``step(state, value)``. Rows
-    of a key stream through a task in order; it holds one state, not the rows."""
-    rows = df.select(*keys, *(o for o in order if o not in keys), value).repartition(*keys).sortWithinPartitions(*keys, *order)
+    """Left fold of the values of each key in order, ``step(state, value)``, for any
+    step; ``fold_maps`` needs no task a key. Rows of a key stream through a task in
+    order; it holds one state, not the rows. Rows whose key is null are a key of
+    their own; null values are skipped."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, *(o for o in order if o not in keys), value).repartition(*keys).sortWithinPartitions(*keys, *order)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state, done = None, start, []
-        for f in frames:
-            for now, v in zip(zip(*(f[k] for k in keys), strict=True), f[value], strict=True):
+        for b in batches:
+            for *now, v in zip(*(b.column(c).to_pylist() for c in (*keys, value)), strict=True):
                 if now != key:
                     if key is not None:
                         done.append((*key, state))
                     key, state = now, start
                 state = step(state, v)
-            yield pd.DataFrame(done, columns=[*keys, "state"])
+            if done:
+                yield named(b.schema, keys, done)
             done = []
         if key is not None:
-            yield pd.DataFrame([(*key, state)], columns=[*keys, "state"])
+            yield named(b.schema, keys, [(*key, state)])
 
-    return rows.mapInPandas(run, StructType([*(df.schema[k] for k in keys), StructField("state", DoubleType())]))
+    return rows.mapInArrow(run, StructType([*(df.schema[k] for k in keys), StructField("state", DoubleType())]))
+
+
+def named(schema: pa.Schema, keys: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    fields = [*(schema.field(k) for k in keys), pa.field("state", pa.float64())]
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
+
+
+#: A clamped line: state -> min(high, max(low, a * state + b)), with a not below 0.
+Line = tuple[float, float, float, float]
+SAME: Line = (1.0, 0.0, -math.inf, math.inf)
+
+
+def after(f: Line, g: Line) -> Line:
+    """The clamped line that does ``f``, then ``g``: such lines compose to such."""
+    a, b, low, high = g
+    ends = (min(high, max(low, a * x + b)) if math.isfinite(x) or a else b for x in f[2:])
+    new_low, new_high = ends
+    return (f[0] * a, f[1] * a + b, new_low, new_high)
+
+
+def fold_maps(df: DataFrame, keys: list[str], order: list[str], line: tuple[Column, Column, Column, Column], start: float | None) -> DataFrame:
+    """The state of each key after all its rows in order, where a row is a clamped
+    line (a, b, low, high) of the state before it; without ``start`` the first row's
+    ``b / (1 - a)``, the value that it leaves as it is, begins.
+
+    As lines compose, a key needs no task of its own: rows are dealt by ranges of
+    key and order, a task composes the rows of a key that it has to one line, and
+    only those few lines of a key meet, in order. Rows whose key is null are a key
+    of their own; rows with a null in their line are skipped."""
+    names = ["_a", "_b", "_low", "_high"]
+    rows = df.select(*keys, *(o for o in order if o not in keys), *(c.cast("double").alias(n) for c, n in zip(line, names, strict=True))).dropna(subset=names)
+    cut = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_part", F.spark_partition_id())
+    kept = StructType([*(df.schema[k] for k in keys), *(StructField(n, DoubleType()) for n in names), StructField("_first", DoubleType()), StructField("_part", IntegerType())])
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, so_far, first, part = None, SAME, 0.0, 0
+        fields = None
+
+        def made(lines: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*lines, strict=True), fields, strict=True)], schema=fields)
+
+        for b in batches:
+            fields = pa.schema([*(b.schema.field(k) for k in keys), *(pa.field(n, pa.float64()) for n in (*names, "_first")), pa.field("_part", pa.int32())])
+            done, columns = [], [b.column(c).to_pylist() for c in (*keys, *names)]
+            for row in zip(*columns, strict=True):
+                now, own = row[: len(keys)], row[len(keys) :]
+                if now != key:
+                    if key is not None:
+                        done.append((*key, *so_far, first, part))
+                    key, so_far, first = now, SAME, own[1] / (1 - own[0]) if own[0] != 1 else own[1]
+                so_far = after(so_far, own)
+            part = b.column("_part")[0].as_py() if b.num_rows else part
+            if done:
+                yield made([(*d[:-1], part) for d in done])
+        if key is not None:
+            yield made([(*key, *so_far, first, part)])
+
+    lines = cut.mapInArrow(compose, kept).repartition(*keys).sortWithinPartitions(*keys, "_part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, schema = None, 0.0, None
+        for b in batches:
+            schema, done = b.schema, []
+            for row in zip(*(b.column(c).to_pylist() for c in (*keys, *names, "_first")), strict=True):
+                now, (a, add, low, high, first) = row[: len(keys)], row[len(keys) :]
+                if now != key:
+                    if key is not None:
+                        done.append((*key, state))
+                    key, state = now, first if start is None else start
+                state = min(high, max(low, a * state + add))
+            if done:
+                yield named(schema, keys, done)
+        if key is not None:
+            yield named(schema, keys, [(*key, state)])
+
+    return lines.mapInArrow(run, StructType([*(df.schema[k] for k in keys), StructField("state", DoubleType())]))
 
 
 def adaptive_threshold(scores: DataFrame, key: str, score: str) -> DataFrame:

@@ -175,7 +175,8 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 f(document, n, state) AS (SELECT document, 0::BIGINT, 0.5::DOUBLE FROM (SELECT DISTINCT document FROM m) UNION ALL SELECT f.document, f.n + 1, 0.3::DOUBLE * o.confidence + 0.7::DOUBLE * f.state FROM f JOIN o ON o.document = f.document AND o.n = f.n + 1)
 SELECT document, {r('arg_max(state, n)')} AS state FROM f GROUP BY document""")
 def confidence_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = windows.fold(metrics(spark, sf_dir), ["document"], ["seen_at", "id"], "confidence", 0.5, lambda s, v: 0.3 * v + 0.7 * s)
+    line = (F.lit(0.7), 0.3 * F.col("confidence"), F.lit(float("-inf")), F.lit(float("inf")))
+    out = windows.fold_maps(metrics(spark, sf_dir), ["document"], ["seen_at", "id"], line, 0.5)
     return out.select("document", rounded(F.col("state")).alias("state"))
 
 
@@ -183,8 +184,8 @@ def confidence_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 f(document, kind, n, state) AS (SELECT DISTINCT document, kind, 0::BIGINT, 0.5::DOUBLE FROM m UNION ALL SELECT f.document, f.kind, f.n + 1, least(0.95::DOUBLE, greatest(0.3::DOUBLE, f.state + o.d)) FROM f JOIN o ON o.document = f.document AND o.kind = f.kind AND o.n = f.n + 1)
 SELECT document, kind, {r('arg_max(state, n)')} AS state FROM f GROUP BY ALL""")
 def progressive_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = metrics(spark, sf_dir).withColumn("d", F.when(F.col("corrected") == 0, 0.1).otherwise(-0.1))
-    out = windows.fold(m, ["document", "kind"], ["seen_at", "id"], "d", 0.5, lambda s, v: min(0.95, max(0.3, s + v)))
+    line = (F.lit(1.0), F.when(F.col("corrected") == 0, 0.1).otherwise(-0.1), F.lit(0.3), F.lit(0.95))
+    out = windows.fold_maps(metrics(spark, sf_dir), ["document", "kind"], ["seen_at", "id"], line, 0.5)
     return out.select("document", "kind", rounded(F.col("state")).alias("state"))
 
 

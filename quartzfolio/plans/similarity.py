@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quartzfolio.functions import similarity, strings, vectors
 from quartzfolio.operators import dedup, likeness, search
 from quartzfolio.operators.tables import materialize
-from quartzfolio.operators.windows import fold, running_sum
+from quartzfolio.operators.windows import fold_maps, running_sum
 from quartzfolio.plans.common import ITEMS_SQL, Registry, items, r, rounded, table
 
 R = Registry()
@@ -311,5 +311,6 @@ SELECT user_id, {r('arg_max(state, n)')} AS score FROM f GROUP BY user_id""")
 def multi_query_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of one key averaged in pairs as they come."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    out = fold(e, ["user_id"], ["ts", "event_id"], "value", None, lambda s, v: v if s is None else (s + v) / 2)
+    line = (F.lit(0.5), F.col("value") / 2, F.lit(float("-inf")), F.lit(float("inf")))
+    out = fold_maps(e, ["user_id"], ["ts", "event_id"], line, None)
     return out.select("user_id", rounded(F.col("state")).alias("score"))

@@ -122,11 +122,11 @@ def test_fold_streams_in_order(spark):
 
     rows = [(k, 10 - i, float(i)) for k in (1, None, 3) for i in range(10)]
     df = spark.createDataFrame(rows, "k long, t long, v double").repartition(3)
-    got = {r["k"]: r["state"] for r in windows.fold(df.where("k IS NOT NULL"), ["k"], ["t"], "v", 0.0, lambda s, v: 2 * s + v).collect()}
+    got = {r["k"]: r["state"] for r in windows.fold(df, ["k"], ["t"], "v", 0.0, lambda s, v: 2 * s + v).collect()}
     want = 0.0
     for i in reversed(range(10)):
         want = 2 * want + i
-    assert got == {1: want, 3: want}
+    assert got == {1: want, None: want, 3: want}
     assert windows.fold(df.limit(0), ["k"], ["t"], "v", 0.0, lambda s, v: s).count() == 0
 
 
@@ -169,3 +169,52 @@ def test_chunks_by_hand(spark):
     assert all(r["length"] <= 1024 for r in one[:-1])
     assert all(b["start"] == a["start"] + a["length"] - 128 for a, b in zip(one[:-2], one[1:-1], strict=True))
     assert [(r["start"], r["length"]) for r in rows if r["doc_id"] == 3] == [(0, 5)]
+
+
+@pytest.mark.parametrize("start", [0.5, None])
+def test_folds_by_composition(spark, start):
+    """Clamped lines against plain loops: one key with most rows, which many tasks
+    share, and a null key."""
+    from pyspark.sql import functions as F
+
+    from quartzfolio.operators import windows
+
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 1, 1, 1, None, 2]), t, rng.choice([0.0, 0.5, 1.0]) if start is not None else 0.5, rng.uniform(-0.4, 0.5)) for t in range(3000)]
+    df = spark.createDataFrame(rows, "k long, t long, a double, b double").repartition(7)
+    line = (F.col("a"), F.col("b"), F.lit(-0.3 if start is not None else float("-inf")), F.lit(0.8 if start is not None else float("inf")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["k"]: r["state"] for r in windows.fold_maps(df, ["k"], ["t"], line, start).collect()}
+        cut = df.repartitionByRange("k", "t").where("k = 1").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(cut) > 1 and max(r["count"] for r in cut) < 0.7 * sum(r["count"] for r in cut)  # the hot key is not one task's
+    want = {}
+    for k, _, a, b in rows:
+        s = want.get(k, start if start is not None else b / (1 - a))
+        want[k] = min(0.8, max(-0.3, a * s + b)) if start is not None else a * s + b
+    assert got == pytest.approx(want)
+    assert windows.fold_maps(df.limit(0), ["k"], ["t"], line, start).count() == 0
+
+
+def test_null_keys_are_one_key(spark):
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    rows = spark.createDataFrame([(None, at(m), m) for m in range(4)] + [(1, None, 9)], "key long, ts timestamp, event_id long")
+    assert [r["event_id"] for r in learning.cooldown(rows, "1 hour").collect()] == [0]
+    items = spark.createDataFrame([(None, i, 9.0, 60.0) for i in range(3)] + [(1, 5, 1.0, None)], "g long, id long, score double, cost double")
+    assert [r["id"] for r in budget.greedy(items, "g", 100.0).collect()] == [0]
+
+
+def test_rows_without_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, None), (3, [None, 1.0]), (4, [0.0, 0.0])]
+    vecs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r["query"], r["vec_id"]) for r in search.nearest(vecs, vecs, 5, 5).collect()}
+    assert got == {(a, b) for a in (0, 1, 4) for b in (0, 1, 4) if a != b}
+
+
+def test_copies_without_id(spark):
+    rows = spark.createDataFrame([(1, "same text"), (None, "same text"), (2, "other")], "id long, text string")
+    assert [(r["id"], r["other"], r["copy"]) for r in dedup.lsh_pairs(rows, 0.75).collect()] == [(1, None, True)]
