@@ -186,11 +186,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     node that can be reached. Alternates between linking all neighbours and the
     lesser ones to the least; a table in the shared folder ends each round."""
     now, seen = materialize(edges.where("node <> root").distinct(), label), None
-    n_edges = now.count()
+    most = 2 * now.count()  # no round has more; one number in all rounds, so that Spark compiles them once
     while True:
         both = now.unionByName(now.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.least(F.min("root"), F.first("node")).alias("least"), F.count("*").alias("n"))
-        large = join_by_weight(both, least, ["node"], "n", 2 * n_edges).where("root > node").select(F.col("root").alias("node"), F.col("least").alias("root")).where("node <> root").distinct()
+        large = join_by_weight(both, least, ["node"], "n", most).where("root > node").select(F.col("root").alias("node"), F.col("least").alias("root")).where("node <> root").distinct()
         down = large.select(F.greatest("node", "root").alias("node"), F.least("node", "root").alias("root")).distinct()
         low = down.groupBy("node").agg(F.min("root").alias("least"))
         small = down.join(low, "node")
@@ -199,7 +199,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         said = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first())
         if said == seen:
             return now
-        n_edges, seen = said[0], said
+        seen = said
 
 
 def bucket_table(banded: DataFrame) -> DataFrame:
