@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quartzfolio.functions import vectors
 from quartzfolio.functions.numbers import half_up
+from quartzfolio.operators.windows import top_per_group
 
 #: Queries of a block; a task holds one block and streams vectors by.
 BLOCK = 256
@@ -76,18 +76,70 @@ def bm25(docs: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.75
     return n.where(hit > 0).crossJoin(F.broadcast(totals)).select("doc_id", score.alias("bm25"))  # one row
 
 
-def min_max(c: str, low: str, high: str) -> Column:
-    return F.when(F.col(high) > F.col(low), (F.col(c) - F.col(low)) / (F.col(high) - F.col(low))).otherwise(0.5)
+#: Words too common to be asked for, and the shortest that are.
+COMMON_TERMS, SHORTEST = ("the", "and", "for", "with", "that", "this", "from", "are", "was"), 3
+
+
+def terms(text: Column) -> Column:
+    """Words of a text in its order, repeats too."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """``query, word``: distinct words of three letters or more that aren't common."""
+    words = queries.select("query", F.explode(F.array_distinct(terms(F.col("text")))).alias("word"))
+    return words.where((F.length("word") >= SHORTEST) & ~F.col("word").isin(*COMMON_TERMS))
+
+
+def postings(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, word, tf, words`` of the words in ``wanted`` (word), and one row of
+    the number of documents with a word and their mean length. Texts are read once
+    for either; only words that are wanted leave a task."""
+    few = wanted.select("word").distinct()
+    rows = docs.select("doc_id", terms(F.col("text")).alias("w")).where(F.size("w") > 0)
+    totals = rows.agg(F.count("*").alias("docs"), F.avg(F.size("w").cast("double")).alias("mean"))
+    found = rows.select("doc_id", F.size("w").alias("words"), F.explode("w").alias("word")).join(few, "word", "left_semi")
+    return found.groupBy("doc_id", "word", "words").agg(F.count("*").alias("tf")), totals
+
+
+def bm25_for(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, places: int = 5) -> DataFrame:
+    """The ``k`` best documents (doc_id, text) of each query (query, text) by BM25 of
+    its terms, in one join of terms with postings. A query's scores are cut to its
+    best in each of many parts before those of a query meet. Queries and documents
+    without a word have no result; the lesser id wins ties."""
+    asked = asked_terms(queries)
+    found, totals = postings(docs, asked)
+    df = found.groupBy("word").agg(F.count("*").alias("df"))
+    idf = df.crossJoin(F.broadcast(totals)).select("word", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")  # one row of totals
+    weighed = found.join(idf, "word").select("doc_id", "word", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("words") / F.col("mean")))).alias("x"))
+    scores = asked.join(weighed, "word").groupBy("query", "doc_id").agg(F.sum("x").alias("bm25"))
+    return top_per_group(scores.withColumn("bm25", half_up(F.col("bm25"), places)), ["query"], [F.desc("bm25"), "doc_id"], k, salt="doc_id")
+
+
+def reranked(queries: DataFrame, docs: DataFrame, vecs: DataFrame, k: int, alpha: float = 0.7, least: float = 0.7, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The ``k`` best of each query (query, text, embedding): three times as many by
+    cosine, of at least half of ``least``, ranked anew by ``alpha`` of the scaled
+    cosine and the rest of the scaled score of the query's terms, in which lengths
+    in words go by the mean length of the query's candidates in signs. A query
+    without terms keeps its order by cosine."""
+    near = nearest(queries.select(F.col("query").alias("vec_id"), "embedding"), vecs, 3 * k, 8).where(F.col("cosine") >= least / 2).select("query", F.col("vec_id").alias("doc_id"), "cosine")
+    asked = asked_terms(queries)
+    told = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("signs"), terms(F.coalesce("text", F.lit(""))).alias("w"))
+    sizes = near.join(told.select("doc_id", "signs", F.size("w").alias("words")), "doc_id", "left").fillna(0, ["signs", "words"])
+    mean = sizes.groupBy("query").agg(F.avg("signs").alias("mean"))
+    tf = told.join(near.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("w").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
+    hits = sizes.join(mean, "query").join(asked, "query").join(tf, ["doc_id", "word"])
+    x = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("words") / F.col("mean")))
+    scored = near.join(hits.groupBy("query", "doc_id").agg(F.sum(x).alias("bm25")), ["query", "doc_id"], "left").withColumn("bm25", half_up(F.coalesce("bm25", F.lit(0.0)), 8))
+    bounds = scored.groupBy("query").agg(F.min("cosine").alias("s0"), F.max("cosine").alias("s1"), F.min("bm25").alias("k0"), F.max("bm25").alias("k1"))
+    has = asked.select("query").distinct().withColumn("has", F.lit(True))
+    both = scored.join(bounds, "query").join(has, "query", "left")
+    score = F.when(F.col("has"), F.lit(alpha) * min_max("cosine", "s0", "s1") + F.lit(1 - alpha) * min_max("bm25", "k0", "k1")).otherwise(F.col("cosine"))
+    return top_per_group(both.select("query", "doc_id", half_up(score, 5).alias("score")), ["query"], [F.desc("score"), "doc_id"], k, salt="doc_id")
 
 
-def hybrid(vecs: DataFrame, scored: DataFrame, query: DataFrame, alpha: float, k: int) -> DataFrame:
-    """Ranks by ``alpha`` of the scaled cosine and the rest of the scaled BM25.
-    ``query`` is one row."""
-    sem = vecs.crossJoin(F.broadcast(query)).select("doc_id", half_up(vectors.cosine(F.col("embedding"), F.col("q")), 8).alias("sem"))
-    both = sem.join(scored, "doc_id", "left").select("doc_id", "sem", half_up(F.coalesce("bm25", F.lit(0.0)), 8).alias("bm25"))
-    bounds = both.agg(F.min("sem").alias("s0"), F.max("sem").alias("s1"), F.min("bm25").alias("k0"), F.max("bm25").alias("k1"))
-    score = F.lit(alpha) * min_max("sem", "s0", "s1") + F.lit(1 - alpha) * min_max("bm25", "k0", "k1")
-    return both.crossJoin(F.broadcast(bounds)).select("doc_id", half_up(score, 5).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+def min_max(c: str, low: str, high: str) -> Column:
+    return F.when(F.col(high) > F.col(low), (F.col(c) - F.col(low)) / (F.col(high) - F.col(low))).otherwise(0.5)
 
 
 def cut(text: str, most: int, overlap: int, least: int) -> list[tuple[int, int]]:

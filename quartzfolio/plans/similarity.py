@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzfolio.functions import similarity, strings, vectors
-from quartzfolio.operators import dedup, likeness, search
-from quartzfolio.operators.tables import materialize
+from quartzfolio.operators import dedup, likeness, search, vector_index
+from quartzfolio.operators.tables import materialize, shared_path
 from quartzfolio.operators.windows import fold_maps, running_sum
 from quartzfolio.plans.common import ITEMS_SQL, Registry, items, r, rounded, table
 
@@ -199,6 +199,16 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest(vecs.where("vec_id % 20 = 0"), vecs, 10, 5)
 
 
+@R.add("vector_index_topk")
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of each query whose id is divisible by 20, from an
+    index of all vectors that is written and read back."""
+    vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    (centroids, probes), path = vector_index.learn(vecs), shared_path(spark, "index")
+    vector_index.build(vecs, centroids, path)
+    return vector_index.search(spark.read.parquet(path), centroids, vecs.where("vec_id % 20 = 0"), 10, probes)
+
+
 @R.add("cosine_matrix_label", f"""WITH v AS (SELECT label, i, avg(x)::DOUBLE AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL),
 n AS (SELECT label, sqrt(sum(x * x)) AS norm FROM v GROUP BY label)
 SELECT a.label, b.label AS other, {r('sum(a.x * b.x) / (any_value(x.norm) * any_value(y.norm))', 5)} AS cosine FROM v a JOIN v b ON a.i = b.i AND a.label < b.label JOIN n x ON x.label = a.label JOIN n y ON y.label = b.label GROUP BY 1, 2""")
@@ -224,16 +234,34 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", rounded(F.col("bm25"), 5).alias("bm25")).orderBy(F.desc("bm25"), "doc_id").limit(20)
 
 
-HYBRID_SQL = f"""{BM25_SQL}, v AS (SELECT vec_id AS doc_id, list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0)), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform((SELECT embedding FROM embeddings WHERE vec_id = 0), lambda x: x::DOUBLE * x::DOUBLE))) AS sem FROM embeddings),
-j AS (SELECT doc_id, floor(sem * 1e8 + 0.5) / 1e8 AS sem, floor(coalesce(bm25, 0) * 1e8 + 0.5) / 1e8 AS bm25 FROM v LEFT JOIN b USING (doc_id)),
-m AS (SELECT doc_id, CASE WHEN max(sem) OVER () > min(sem) OVER () THEN (sem - min(sem) OVER ()) / (max(sem) OVER () - min(sem) OVER ()) ELSE 0.5 END AS s, CASE WHEN max(bm25) OVER () > min(bm25) OVER () THEN (bm25 - min(bm25) OVER ()) / (max(bm25) OVER () - min(bm25) OVER ()) ELSE 0.5 END AS k FROM j)"""
+COMMON_SQL = ", ".join(f"'{w}'" for w in search.COMMON_TERMS)
+ASKED_SQL = "SELECT DISTINCT query, word FROM (SELECT {key} AS query, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM {table} WHERE {key} % 20 = 0) WHERE length(word) >= 3 AND word NOT IN ({common})"
+WORD_ROWS_SQL = "w AS (SELECT doc_id, length(text) AS signs, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM documents), tf AS (SELECT doc_id, word, count(*) AS tf FROM w WHERE word <> '' GROUP BY ALL)"
+
+
+@R.add("bm25_query_topk", f"""WITH a AS ({ASKED_SQL.format(key='item_id', table='benchmark', common=COMMON_SQL)}), {WORD_ROWS_SQL}, n AS (SELECT doc_id, sum(tf) AS words FROM tf GROUP BY 1), c AS (SELECT avg(words)::DOUBLE AS mean, count(*) AS docs FROM n), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT query, doc_id, {r('sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * words / mean)))', 5)} AS bm25 FROM a JOIN tf USING (word) JOIN df USING (word) JOIN n USING (doc_id) CROSS JOIN c GROUP BY query, doc_id)
+SELECT query, doc_id, bm25, row_number() OVER (PARTITION BY query ORDER BY bm25 DESC, doc_id) AS place FROM s QUALIFY place <= 20""")
+def bm25_query_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents for each passage with an id divisible by 20."""
+    asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query"), "text")
+    return search.bm25_for(asked, table(spark, sf_dir, "documents").select("doc_id", "text"), 20)
 
 
-@R.add("hybrid_rank", f"WITH {HYBRID_SQL} SELECT doc_id, {r('0.7::DOUBLE * s + 0.3::DOUBLE * k', 5)} AS score FROM m ORDER BY floor((0.7::DOUBLE * s + 0.3::DOUBLE * k) * 1e5 + 0.5) DESC, doc_id LIMIT 15")
+@R.add("hybrid_rank", f"""WITH {COSINE_SQL}, near AS (SELECT query, vec_id AS doc_id, floor(cosine * 1e8 + 0.5) / 1e8 AS cosine FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY floor(cosine * 1e8 + 0.5) DESC, vec_id) <= 30),
+a AS ({ASKED_SQL.format(key='doc_id', table='documents', common=COMMON_SQL)}), {WORD_ROWS_SQL},
+size AS (SELECT doc_id, coalesce(length(text), 0) AS signs, coalesce((SELECT sum(tf) FROM tf WHERE tf.doc_id = documents.doc_id), 0) AS words FROM documents),
+c AS (SELECT query, doc_id, cosine, coalesce(signs, 0) AS signs, coalesce(words, 0) AS words, avg(coalesce(signs, 0)) OVER (PARTITION BY query) AS mean FROM near LEFT JOIN size USING (doc_id) WHERE cosine >= 0.35),
+x AS (SELECT c.query, c.doc_id, any_value(cosine) AS cosine, floor(coalesce(sum(tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * words / mean))), 0) * 1e8 + 0.5) / 1e8 AS bm25 FROM c LEFT JOIN (a JOIN tf USING (word)) h ON h.query = c.query AND h.doc_id = c.doc_id GROUP BY 1, 2),
+m AS (SELECT *, CASE WHEN query IN (SELECT query FROM a) THEN 0.7::DOUBLE * CASE WHEN max(cosine) OVER q > min(cosine) OVER q THEN (cosine - min(cosine) OVER q) / (max(cosine) OVER q - min(cosine) OVER q) ELSE 0.5 END
+  + 0.3::DOUBLE * CASE WHEN max(bm25) OVER q > min(bm25) OVER q THEN (bm25 - min(bm25) OVER q) / (max(bm25) OVER q - min(bm25) OVER q) ELSE 0.5 END ELSE cosine END AS z FROM x WINDOW q AS (PARTITION BY query))
+SELECT query, doc_id, {r('z', 5)} AS score, row_number() OVER (PARTITION BY query ORDER BY {r('z', 5)} DESC, doc_id) AS place FROM m QUALIFY place <= 10""")
 def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    words = search.bm25(table(spark, sf_dir, "documents").where("text IS NOT NULL"), QUERY_TERMS)
-    return search.hybrid(vecs, words, vecs.where("doc_id = 0").select(F.col("embedding").alias("q")), 0.7, 15)
+    """For each document with an id divisible by 20 and a vector: thirty candidates
+    by cosine, ranked anew with the terms of its text; the ten best."""
+    vecs, docs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = vecs.where("vec_id % 20 = 0").join(docs, F.col("vec_id") == F.col("doc_id"), "left").select(F.col("vec_id").alias("query"), "text", "embedding")
+    return search.reranked(asked, docs, vecs, 10)
 
 
 @R.add("adaptive_cutoff", f"""WITH {COSINE_SQL}, t AS (SELECT query, floor(cosine * 1e8 + 0.5) / 1e8 AS cosine, row_number() OVER (PARTITION BY query ORDER BY floor(cosine * 1e5 + 0.5) DESC, vec_id) AS place FROM s QUALIFY place <= 10),
