@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quartzfolio.operators.references import holding
+
 
 def equal_pairs(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Edges (src, dst) between rows (id) that agree in all keys, src < dst. What
@@ -49,8 +51,8 @@ def mentions(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
     Of each passage's inner words the one in the fewest documents is its key;
     documents send a row only for the keys, and a meeting is verified on the
-    texts. Passages of fewer than three words have no inner word; each is compared
-    with every text, so keep these few.
+    texts. Passages of fewer than three words have no inner word; an automaton over
+    all of them finds these in one pass.
     """
     parts = lambda c: F.filter(F.split(c, "[^\\p{L}\\p{N}]+"), lambda w: w != "")
     inner = passages.where("passage <> ''").withColumn("w", parts(F.col("passage"))).withColumn("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))))
@@ -62,4 +64,5 @@ def mentions(docs: DataFrame, passages: DataFrame) -> DataFrame:
     hits = own.join(rare.select("item_id", "word"), "word").select("doc_id", "item_id")
     long = hits.join(docs, "doc_id").join(passages, "item_id").where(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
     short = inner.where(F.size("w") == 0).select("item_id", "passage")
-    return long.unionByName(docs.join(short, F.contains("text", F.col("passage"))).select("doc_id", "item_id"))
+    found = holding(docs, short.select(F.col("item_id").alias("pattern_id"), F.col("passage").alias("pattern")))
+    return long.unionByName(found.withColumnRenamed("pattern_id", "item_id"))

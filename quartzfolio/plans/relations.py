@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quartzfolio.functions import items as fi
-from quartzfolio.operators import search
+from quartzfolio.operators import references, search
 from quartzfolio.operators.scoring import settled
 from quartzfolio.operators import validation as va
 from quartzfolio.operators.windows import adaptive_threshold
@@ -40,6 +40,19 @@ def document_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("confidence", sure)
 
 
+#: Documents are known by their first four words.
+TITLE = "regexp_extract(lower(text), '^[^a-z]*([a-z]+ [a-z]+ [a-z]+ [a-z]+)', 1)"
+
+
+@R.add("content_references", f"""WITH d AS (SELECT doc_id, lower(text) AS low, {TITLE} AS title FROM documents), t AS (SELECT title AS found, count(*) AS n FROM d WHERE title <> '' GROUP BY 1),
+h AS (SELECT doc_id, count(*) AS titles, sum(n)::BIGINT AS documents FROM d JOIN t ON contains(low, found) AND found <> coalesce(title, '') GROUP BY doc_id)
+SELECT doc_id, coalesce(titles, 0) AS titles, coalesce(documents, 0) AS documents, CASE WHEN titles > 0 THEN 'references' WHEN regexp_matches(low, '{references.SEE_APPENDIX.replace(chr(92) + "s", "[ \t\n\r]")}') THEN 'supplements' END AS relation,
+CASE WHEN titles > 0 THEN 0.7::DOUBLE WHEN regexp_matches(low, '{references.SEE_APPENDIX.replace(chr(92) + "s", "[ \t\n\r]")}') THEN 0.6::DOUBLE END AS confidence FROM d LEFT JOIN h USING (doc_id)""")
+def content_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents' texts hold the titles of others, or point to an appendix."""
+    return references.content_references(table(spark, sf_dir, "documents").select("doc_id", "text"), F.expr(TITLE))
+
+
 TOC = "'Contents' || chr(10) || '1. Scope of ' || p_name || ' ... ' || CAST(1 + p_size % 3 AS STRING) || chr(10) || '2. Parts ... ' || CAST(5 + p_size % 4 AS STRING) || chr(10) || 'no entry' || chr(10) || '3. Appendix ... ' || CAST(12 + p_size % 5 AS STRING)"
 
 
