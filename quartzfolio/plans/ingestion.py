@@ -158,15 +158,25 @@ def transposed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("sheet", "col", F.array_join(F.transform("p", lambda x: x["t"]), ";").alias("item"))
 
 
-SPANS = ((0, 0, 2, "2024"), (0, 3, 5, "2025"), (1, 0, 0, "Q1"), (1, 1, 2, "Q2"), (1, 3, 5, "H1"), (2, 4, 5, "May"))
+MONTHS_SQL = "m AS (SELECT DISTINCT o_orderpriority AS sheet, year(o_orderdate) AS y, quarter(o_orderdate) AS q, month(o_orderdate) AS m FROM orders WHERE o_orderdate IS NOT NULL), c AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY y, m) - 1 AS col FROM m)"
 
 
-@R.add("header_paths", f"WITH h(level, a, b, t) AS (VALUES {', '.join(map(str, SPANS)).replace(chr(34), chr(39))}), c AS (SELECT range AS col FROM range(6)) SELECT col, string_agg(t, ' > ' ORDER BY level) AS path FROM c JOIN h ON col BETWEEN a AND b GROUP BY col")
+def header_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of a sheet for each priority of orders, over three rows: years,
+    quarters and months with an order, and the columns that each spans."""
+    o = table(spark, sf_dir, "orders").where("o_orderdate IS NOT NULL")
+    m = o.selectExpr("o_orderpriority AS sheet", "year(o_orderdate) AS y", "quarter(o_orderdate) AS q", "month(o_orderdate) AS m").distinct()
+    c = m.selectExpr("*", "row_number() OVER (PARTITION BY sheet ORDER BY y, m) - 1 AS col")  # a row for each month of a sheet
+    rows = c.select("sheet", "col", F.explode(F.array(*(F.struct(F.lit(i).alias("level"), F.concat_ws("-", *k).alias("key"), F.concat(F.lit(p), F.col(t).cast("string")).alias("t")) for i, (k, p, t) in enumerate(((("y",), "", "y"), (("y", "q"), "Q", "q"), (("y", "m"), "M", "m")))))).alias("x")).select("sheet", "col", "x.*")
+    return rows.groupBy("sheet", "level", "key", "t").agg(F.min("col").alias("a"), F.max("col").alias("b"))
+
+
+@R.add("header_paths", f"WITH {MONTHS_SQL} SELECT sheet, col, y || ' > Q' || q || ' > M' || m AS path FROM c")
 def header_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers over several rows: those that cover a column, by level."""
-    h = F.broadcast(spark.createDataFrame(list(SPANS), "level int, a int, b int, t string"))
-    c = spark.range(6).withColumnRenamed("id", "col").join(h, F.col("col").between(F.col("a"), F.col("b")))
-    return c.groupBy("col").agg(F.array_sort(F.collect_list(F.struct("level", "t"))).alias("p")).select("col", F.array_join(F.transform("p", lambda x: x["t"]), " > ").alias("path"))
+    c = header_spans(spark, sf_dir).select("sheet", "level", "t", F.explode(F.sequence("a", "b")).alias("col"))
+    p = c.groupBy("sheet", "col").agg(F.array_sort(F.collect_list(F.struct("level", "t"))).alias("p"))  # a row a level
+    return p.select("sheet", "col", F.array_join(F.transform("p", lambda x: x["t"]), " > ").alias("path"))
 
 
 # ---- relations; what is related to is a name with the number of its items, so that no group is paired out

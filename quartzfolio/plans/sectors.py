@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzfolio.operators import sectors as se
+from quartzfolio.operators import taxonomy as tx
 from quartzfolio.plans.common import Registry, r, rounded, table
 from quartzfolio.plans.portfolio import ITEMS_SQL as P_SQL
 from quartzfolio.plans.portfolio import case
@@ -90,16 +91,44 @@ def ateco_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.best_code(with_sector(spark, sf_dir), se.ATECO, 0.1)
 
 
-QUERIES = ("software", "coffee", "services")
-CPV_ROWS = ", ".join(f"('{c}', '{d}')" for c, _, _, d in se.CPV)
+#: A taxonomy of three levels from the parts: types, their brands, and sizes of these.
+LEVELS = (("lower(substr(p_type, 1, 3))", "lower(p_type)"), ("concat(lower(substr(p_type, 1, 3)), '.', substr(p_brand, 7))", "lower(concat(p_type, ' ', p_brand))"), ("concat(lower(substr(p_type, 1, 3)), '.', substr(p_brand, 7), '.', p_size)", "min(lower(concat(p_type, ' ', p_brand, ' ', p_name)))"))
+CODES = " UNION ALL ".join(f"SELECT {code} AS code, {text if text.startswith('min') else f'min({text})'} AS description, CASE WHEN min(p_type) = 'PROMO' THEN NULL ELSE length(min(p_type)) % 2 = 0 END AS service FROM part GROUP BY 1" for code, text in LEVELS)
+ASKING = ("p_partkey AS id", "concat(p_name, ' ', p_brand, CASE WHEN p_partkey % 3 = 0 THEN concat(' ', p_type) ELSE '' END) AS text", "CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 4 = 1 END AS service")
+ASKED = f"SELECT {', '.join(ASKING)} FROM part"
+BAG_SQL = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z0-9#]+'), lambda w: length(w) > 2))"
+MATCHED_SQL = f"""codes AS ({CODES}), asked AS ({ASKED}), c AS (SELECT code, len(string_split(code, '.')) AS level, service AS kind, unnest({BAG_SQL.format('description')}) AS word, len({BAG_SQL.format('description')}) AS size FROM codes),
+i AS (SELECT id, service, unnest({BAG_SQL.format('text')}) AS word FROM asked), h AS (SELECT id, code, level, size, count(*) AS n FROM i JOIN c USING (word) WHERE service IS NULL OR kind IS NULL OR service = kind GROUP BY ALL),
+matched AS (SELECT id, code, {r('n::DOUBLE / size + 0.05::DOUBLE * level')} AS score FROM h WHERE {r('n::DOUBLE / size + 0.05::DOUBLE * level')} >= 0.3 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, code) = 1)"""
 
 
-@R.add("code_search", f"WITH code(code, d) AS (VALUES {CPV_ROWS}), q(query) AS (VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in QUERIES)}) SELECT query, code, {r('length(query)::DOUBLE / length(d)')} AS score FROM q JOIN code ON contains(d, query)")
+def taxonomy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Codes, and the items that ask for one."""
+    part = table(spark, sf_dir, "part")
+    levels = [part.groupBy(F.expr(code).alias("code")).agg(F.expr(text if text.startswith("min") else f"min({text})").alias("description"), F.expr("CASE WHEN min(p_type) = 'PROMO' THEN NULL ELSE length(min(p_type)) % 2 = 0 END").alias("service")) for code, text in LEVELS]
+    asked = part.selectExpr(*ASKING)
+    return reduce(DataFrame.unionByName, levels), asked
+
+
+@R.add("taxonomy_match", f"WITH {MATCHED_SQL} SELECT id, code, score FROM matched")
+def taxonomy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best code of each item in a taxonomy that is a table."""
+    codes, asked = taxonomy(spark, sf_dir)
+    return tx.best_codes(asked, codes, 0.05)
+
+
+@R.add("taxonomy_rollup", f"WITH {MATCHED_SQL}, u AS (SELECT code, unnest(range(1, len(string_split(code, '.')) + 1)) AS level FROM matched) SELECT array_to_string(string_split(code, '.')[:level], '.') AS code, level, count(*) AS items FROM u GROUP BY 1, 2")
+def taxonomy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many items every code has, with all below it."""
+    codes, asked = taxonomy(spark, sf_dir)
+    return tx.rolled_up(tx.best_codes(asked, codes, 0.05))
+
+
+@R.add("code_search", f"WITH codes AS ({CODES}), q AS (SELECT DISTINCT lower(p_name) AS query FROM part), s AS (SELECT query, code, {r('length(query)::DOUBLE / length(description)')} AS score FROM q JOIN codes ON contains(description, query)) SELECT query, code, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, code) AS place FROM s QUALIFY place <= 10")
 def code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes whose description holds a query; both sides are literals."""
-    codes = spark.createDataFrame([(c, d) for c, _, _, d in se.CPV], "code string, d string")
-    rows = codes.select("code", "d", F.explode(F.array(*map(F.lit, QUERIES))).alias("query")).where(F.contains("d", F.col("query")))
-    return rows.select("query", "code", rounded(F.length("query") / F.length("d")).alias("score"))
+    """For each name the codes whose description holds it."""
+    codes, _ = taxonomy(spark, sf_dir)
+    return tx.search_codes(codes, table(spark, sf_dir, "part").select(F.col("p_name").alias("query")))
 
 
 TYPE_WEIGHTS = {"product": (("platform", 0.6), ("software", 0.8), ("suite", 0.5), ("server", 0.6)), "service": (("hosting", 0.7), ("support", 0.6), ("consulting", 0.9), ("gateway", 0.4)), "initiative": (("project", 0.8), ("migration", 0.7))}

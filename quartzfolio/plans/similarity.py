@@ -57,9 +57,10 @@ STOP_SQL = ", ".join(f"'{w}'" for w in strings.STOP_WORDS)
 SELECT word, count(*) AS n FROM k GROUP BY word HAVING count(*) >= 20""")
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords of documents with the number of documents that have them."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"[^a-z0-9àèéìòù]+")).alias("word"))
-    words = words.where((F.length("word") >= 3) & ~F.col("word").isin(*strings.STOP_WORDS))
-    return words.groupBy("word", "doc_id").agg(F.count("*").alias("k")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 20")
+    split = F.split(F.lower("text"), r"[^a-z0-9àèéìòù]+")
+    own = F.array_distinct(F.filter(split, lambda w: (F.length(w) >= 3) & ~w.isin(*strings.STOP_WORDS)))
+    words = table(spark, sf_dir, "documents").select(F.explode(own).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 20")
 
 
 @R.add("dedup_exact_hash", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS copies FROM documents WHERE text IS NOT NULL")
