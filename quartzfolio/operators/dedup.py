@@ -10,17 +10,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzfolio.functions import strings
+from quartzfolio.operators.likeness import meet
+from quartzfolio.operators.tables import join_by_weight
 
 SHIFT, HALF, MIX = np.uint64(42), np.uint64(21), np.uint64(0x9E3779B97F4A7C15)
 
 
 def by_content(df: DataFrame, text: str, key: str) -> DataFrame:
     """Of every row with a text: the first key that has it and the number of its
-    copies. Copies are counted before they meet, and the many-copied texts are
-    joined back like others, as both sides of the join are plain shuffles."""
+    copies. Copies are counted before they meet, and a text that very many rows have
+    is joined back by broadcast. Null keys are first of no text that has others."""
     rows = df.where(F.col(text).isNotNull()).select(key, F.sha2(text, 256).alias("hash"))
     of = rows.groupBy("hash").agg(F.min(key).alias("class_id"), F.count("*").alias("copies"))
-    return rows.join(of, "hash").select(key, "class_id", "copies")
+    return join_by_weight(rows, of, ["hash"], "copies", rows.count()).select(key, "class_id", "copies")
 
 
 def merged(df: DataFrame, cluster: str, fields: Sequence[str], confidence: str, key: str = "id") -> DataFrame:
@@ -72,7 +74,7 @@ def lsh_pairs(rows: DataFrame, threshold: float, bands: int = 20, height: int =
     shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who")).where("n > 1")
     fresh = shared.groupBy("n", "who").agg(F.min("band").alias("band"))  # of bands with the same texts one is enough
     banded = banded.join(fresh.select("band"), "band")
-    pairs = banded.alias("a").join(banded.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
+    pairs = meet(banded, "band").select("id", "other").distinct()
     size = F.size("g") / F.size("h")
     both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("g").alias("h")), "other").where(size.between(threshold, 1 / threshold))
     near = both.select("id", "other", strings.jaccard(F.col("g"), F.col("h")).alias("likeness"), F.lit(False).alias("copy")).where(F.col("likeness") >= threshold)

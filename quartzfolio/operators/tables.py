@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys that hold at least one row of so many are heavy; no more than so many can be.
+HEAVY = 2000
 
 
 @lru_cache(maxsize=1)
@@ -31,3 +36,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = local_folder()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def join_by_weight(rows: DataFrame, of_key: DataFrame, keys: Sequence[str], n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``of_key``, which has a row a key and in column ``n`` how
+    many of the ``total`` rows have it. Heavy keys, ``HEAVY`` at most, are broadcast,
+    so that none of them meets in one task; the others are shuffled. Keys must not be
+    null."""
+    least = max(1, total // HEAVY)
+    heavy, rest = F.broadcast(of_key.where(F.col(n) > least)), of_key.where(F.col(n) <= least)
+    light = rows.join(heavy.select(*keys), list(keys), "left_anti")
+    return rows.join(heavy, list(keys)).unionByName(light.join(rest, list(keys)))

@@ -218,3 +218,23 @@ def test_rows_without_vectors(spark):
 def test_copies_without_id(spark):
     rows = spark.createDataFrame([(1, "same text"), (None, "same text"), (2, "other")], "id long, text string")
     assert [(r["id"], r["other"], r["copy"]) for r in dedup.lsh_pairs(rows, 0.75).collect()] == [(1, None, True)]
+
+
+def test_copies_of_a_hot_text(spark):
+    """A text that two thirds of all rows have is no one task's work."""
+    rows = [(i, "hot") for i in range(6000)] + [(i, f"text {i // 2}") for i in range(10_000, 13_000)] + [(None, "hot"), (20_000, None), (20_001, "")]
+    out = dedup.by_content(spark.createDataFrame(rows, "id long, text string").repartition(8), "text", "id")
+    got = {r["id"]: (r["class_id"], r["copies"]) for r in out.collect()}
+    want = {i: (0, 6001) for i in [*range(6000), None]} | {i: (i - i % 2, 2) for i in range(10_000, 13_000)} | {20_001: (20_001, 1)}
+    assert got == want
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().toString()
+
+
+def test_bands_that_very_many_texts_share(spark, monkeypatch):
+    from quartzfolio.operators import likeness
+
+    rows = spark.createDataFrame([(i, f"a rather long common passage that all of these share, item {i % 90}") for i in range(180)], "id long, text string")
+    whole = sorted(map(tuple, dedup.lsh_pairs(rows, 0.75).collect()))
+    monkeypatch.setattr(likeness.meet, "__defaults__", (11,))
+    assert sorted(map(tuple, dedup.lsh_pairs(rows, 0.75).collect())) == whole
+    assert len(whole) > 90
