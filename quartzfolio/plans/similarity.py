@@ -71,7 +71,7 @@ def dedup_exact_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Items to be compared: parts with a stock code and a description, either of them missing from some.
 COMPARED = {
     "id": "p_partkey", "name": "p_name", "vendor": "p_brand", "category": "p_type", "price": "CAST(p_retailprice * (5 + p_partkey % 60) AS DOUBLE)",
-    "sku": "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE concat('SK-', p_size, '-', substr(p_brand, 7)) END",
+    "sku": "CASE WHEN p_partkey % 41 = 0 THEN NULL ELSE substr(md5(concat(p_partkey - p_partkey % 3, '')), 1, 8) END",
     "description": "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE concat(p_type, ' goods, size ', p_size % 10) END",
 }
 
