@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartzfolio.functions.numbers import half_up
+from quartzfolio.operators import containment
 
 #: Domains that a portfolio should cover, and those of category names.
 DOMAINS = ("Infrastructure", "Security", "Data & Analytics", "Applications", "Integration", "Collaboration", "Cloud Platform", "Development", "Networking")
@@ -109,8 +110,7 @@ def health(items: DataFrame) -> DataFrame:
     kinds = kinds.agg(F.count_if(F.col("k") >= 4).alias("crowded"), F.count_if((F.col("k") == 1) & F.col("important")).alias("single"))
     covered = items.groupBy("tenant", domain(F.col("category")).alias("d")).agg(F.count("*").alias("k")).groupBy("tenant")
     covered = covered.agg(F.count("*").alias("domains"), F.count_if(F.col("k") >= 3).alias("strong"), some(F.col("d") == "Security").alias("has_security"), some(F.col("d") == "Infrastructure").alias("has_base"))
-    words = F.array_distinct(F.filter(F.split(F.lower("name"), " "), lambda w: F.length(w) > 3))
-    shared = items.select("tenant", F.explode(words).alias("w")).groupBy("tenant", "w").agg(F.count("*").alias("k")).groupBy("tenant").agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).cast("long").alias("overlaps"))
+    shared = containment.overlaps(items).groupBy("tenant").agg(F.floor(F.sum(F.col("n") * F.col("n_links")) / 2).cast("long").alias("overlaps"))
     t = of.join(vendors, "tenant").join(kinds, "tenant").join(covered, "tenant").join(shared, "tenant", "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(0)))
     c = F.col
     share = c("top") / c("n")
@@ -127,6 +127,12 @@ def health(items: DataFrame) -> DataFrame:
     return t.withColumn("health", half_up(overall)).withColumn("status", status(F.col("health")))
 
 
+def cost_outliers(items: DataFrame, times: float = 3.0) -> DataFrame:
+    """Items whose budget is over ``times`` the mean of their tenant's positive ones."""
+    mean = items.where("budget > 0").groupBy("tenant").agg(F.avg(F.col("budget").cast("decimal(18,2)")).cast("double").alias("mean"))  # a row a tenant
+    return items.where("budget > 0").join(mean, "tenant").where(F.col("budget") > times * F.col("mean")).select("tenant", "id", "budget", "mean")
+
+
 def months(later: Column, earlier: Column) -> Column:
     """Of thirty days each."""
     return F.datediff(later, earlier) / 30.0

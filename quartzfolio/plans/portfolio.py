@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quartzfolio.operators import containment
 from quartzfolio.operators import portfolio as pf
 from quartzfolio.operators import stack
 from quartzfolio.plans.common import Registry, r, rounded, table
@@ -57,6 +58,10 @@ def clamp(e: str) -> str:
 LOW = {c: f"lower(coalesce({c}, ''))" for c in ("name", "description", "category", "vendor", "license_type", "data_class")}
 CRITICAL = "(coalesce(priority = 'critical', false) OR coalesce(importance = 'core', false))"
 DOMAIN_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in pf.DOMAIN_OF.items())
+#: Names of a tenant, each with each other one.
+HOLDS_SQL = "(contains({0}, {1}) OR len(list_filter(string_split({1}, ' '), lambda w: length(w) > 3 AND contains({0}, w))) > 0)"
+OVERLAP_SQL = f"""names AS (SELECT tenant, lower(coalesce(name, '')) AS name, count(*) AS n FROM items GROUP BY 1, 2),
+overlap AS (SELECT a.tenant, a.name, a.n, CAST(a.n - 1 + coalesce(sum(b.n), 0) AS BIGINT) AS n_links FROM names a LEFT JOIN names b ON a.tenant IS NOT DISTINCT FROM b.tenant AND a.name <> b.name AND ({HOLDS_SQL.format('a.name', 'b.name')} OR {HOLDS_SQL.format('b.name', 'a.name')}) GROUP BY a.tenant, a.name, a.n)"""
 HEALTH_SQL = f"""{ITEMS_SQL}, dom(k, d) AS (VALUES {DOMAIN_ROWS}),
 i AS (SELECT *, coalesce(importance = 'core', false) OR coalesce(alignment >= 7, false) AS is_core, {CRITICAL} OR coalesce(alignment >= 9, false) AS important FROM items),
 o AS (SELECT tenant, count(*) AS n, avg((type = 'product')::INT::DOUBLE) AS products, avg(is_core::INT::DOUBLE) AS core, sum(coalesce(budget, 0)) AS budget, coalesce(sum(budget) FILTER (is_core), 0) AS core_budget, coalesce(sum(budget) FILTER (alignment >= 7), 0) AS high_budget,
@@ -66,7 +71,7 @@ o AS (SELECT tenant, count(*) AS n, avg((type = 'product')::INT::DOUBLE) AS prod
 v AS (SELECT tenant, max(k) AS top FROM (SELECT tenant, coalesce(vendor, 'Unknown') AS v, count(*) AS k FROM i GROUP BY ALL) GROUP BY tenant),
 k AS (SELECT tenant, count(*) FILTER (k >= 4) AS crowded, count(*) FILTER (k = 1 AND important) AS single FROM (SELECT tenant, category, count(*) AS k, bool_or(important) AS important FROM i GROUP BY ALL) GROUP BY tenant),
 g AS (SELECT tenant, count(*) AS domains, count(*) FILTER (k >= 3) AS strong, bool_or(d = 'Security') AS has_security, bool_or(d = 'Infrastructure') AS has_base FROM (SELECT tenant, coalesce(dom.d, 'Applications') AS d, count(*) AS k FROM i LEFT JOIN dom ON dom.k = regexp_replace(lower(coalesce(category, '')), '[^a-z]', '_', 'g') GROUP BY ALL) GROUP BY tenant),
-w AS (SELECT tenant, sum(k * (k - 1) // 2) AS shared_pairs FROM (SELECT tenant, w, count(*) AS k FROM (SELECT DISTINCT tenant, id, unnest(string_split(lower(name), ' ')) AS w FROM i) WHERE length(w) > 3 GROUP BY ALL) GROUP BY tenant),
+{OVERLAP_SQL}, w AS (SELECT tenant, CAST(sum(n * n_links) // 2 AS BIGINT) AS shared_pairs FROM overlap GROUP BY tenant),
 t AS (SELECT * FROM o JOIN v USING (tenant) JOIN k USING (tenant) JOIN g USING (tenant) LEFT JOIN w USING (tenant)),
 h AS (SELECT tenant, n,
   {clamp("domains::DOUBLE / 9 * 100 - CASE WHEN has_security THEN 0 ELSE 15 END - CASE WHEN has_base THEN 0 ELSE 10 END + 2 * strong")} AS coverage,
@@ -89,6 +94,18 @@ for _name in pf.HEALTH_WEIGHTS:
     R.add(f"health_{_name}", f"WITH {HEALTH_SQL} SELECT tenant, {_name} AS score, {STATUS_SQL.format(_name)} AS status FROM health")(dimension(_name))
 
 
+@R.add("name_overlaps", f"WITH {ITEMS_SQL}, {OVERLAP_SQL} SELECT * FROM overlap")
+def name_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of each tenant with the number of other items that theirs overlap."""
+    return containment.overlaps(items(spark, sf_dir))
+
+
+@R.add("cost_outliers", f"WITH {ITEMS_SQL}, m AS (SELECT tenant, avg(CAST(budget AS DECIMAL(18,2)))::DOUBLE AS mean FROM items WHERE budget > 0 GROUP BY tenant) SELECT tenant, id, budget, {r('mean', 2)} AS mean FROM items JOIN m USING (tenant) WHERE budget > 3 * mean")
+def cost_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that cost over three times the mean of their tenant."""
+    return pf.cost_outliers(items(spark, sf_dir)).withColumn("mean", rounded(F.col("mean"), 2))
+
+
 @R.add("portfolio_health", f"WITH {HEALTH_SQL} SELECT *, {STATUS_SQL.format('health')} AS status FROM health")
 def portfolio_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five scores of each tenant's portfolio, and their weighed mean."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quartzfolio.functions import items as fi
-from quartzfolio.operators import references, search
+from quartzfolio.operators import containment, references, search
 from quartzfolio.operators.scoring import settled
 from quartzfolio.operators import validation as va
 from quartzfolio.operators.windows import adaptive_threshold
@@ -128,18 +128,17 @@ def name_dedup_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PART_WORDS = "(?i)phase|step|part|module|component|fase|parte|modulo"
-MODULE_SQL = "CASE WHEN p_partkey % 6 = 0 THEN p_name || ' module' ELSE p_name END"
+#: Names of parts: some are steps or modules of others, with words before and after.
+MODULE_SQL = "CASE p_partkey % 6 WHEN 0 THEN p_name || ' module' WHEN 1 THEN 'Phase ' || p_size || ': ' || p_name || ' rollout' WHEN 2 THEN split_part(p_name, ' ', 2) ELSE p_name END"
 
 
-@R.add("part_of", f"WITH d AS (SELECT p_partkey AS id, p_type AS kind, lower({MODULE_SQL}) AS name FROM part), w AS (SELECT kind, name, min(id) AS whole, count(*) AS n FROM d WHERE NOT regexp_matches(name, '{PART_WORDS}') GROUP BY ALL) SELECT d.id, whole, n, 0.75::DOUBLE AS confidence FROM d JOIN w ON w.kind = d.kind AND d.name = w.name || ' module' WHERE regexp_matches(d.name, '{PART_WORDS}')")
+@R.add("part_of", f"""WITH d AS (SELECT p_partkey AS id, p_type AS kind, lower({MODULE_SQL}) AS name FROM part), c AS (SELECT kind, name, count(*) AS n, min(id) AS first FROM d WHERE kind <> '' AND name <> '' GROUP BY ALL)
+SELECT a.kind, a.name, b.name AS whole, a.n AS n_parts, b.n AS n_wholes, a.first AS first_part, b.first AS first_whole, 0.75::DOUBLE AS confidence FROM c a JOIN c b ON b.kind = a.kind AND contains(a.name, b.name) AND length(b.name) < length(a.name) WHERE regexp_matches(a.name, '{PART_WORDS}')""")
 def part_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components, by a word of their name, and the whole that has the rest of it
-    in the same category; the first item stands for those of one name."""
-    d = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"), F.lower(F.expr(MODULE_SQL)).alias("name"))
-    is_part = F.col("name").rlike(PART_WORDS)
-    whole = d.where(~is_part).groupBy("kind", "name").agg(F.min("id").alias("whole"), F.count("*").alias("n"))
-    parts = d.where(is_part).select("id", "kind", F.trim(F.regexp_replace("name", r"(?i)\b(phase|step|part|module|component|fase|parte|modulo)\b.*$", "")).alias("name"))
-    return parts.join(whole, ["kind", "name"]).select("id", "whole", "n", F.lit(0.75).alias("confidence"))
+    """Components, by a word of their name, and the wholes of the same category
+    whose names theirs hold; a row for each two names, with the items of each."""
+    d = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"), F.expr(MODULE_SQL).alias("name"))
+    return containment.part_of(d, F.col("name").rlike(PART_WORDS))
 
 
 # ---- relations of items
