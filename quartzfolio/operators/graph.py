@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzfolio.operators.references import holding
+from quartzfolio.operators.tables import join_by_weight, materialize
 
 
 def equal_pairs(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -46,6 +47,72 @@ def cycles(edges: DataFrame, longest: int) -> DataFrame:
     return done.select("start", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("cycle"))
 
 
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst), once each, between nodes that lie on a cycle or on a way from
+    one cycle to another: nodes without an edge in or out go, until none is left. There
+    are as many rounds as the longest chain outside that core has edges, each of two
+    semi-joins on what the round before has kept."""
+    kept = materialize(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
+    n = kept.count()
+    while n:
+        on = kept.join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        on = materialize(on.join(kept.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), "edges")
+        kept, before, n = on, n, on.count()
+        if n == before:
+            break
+    return kept
+
+
+def doubled(steps: DataFrame) -> DataFrame:
+    """Steps (src, dst), one for each source, taken twice; a node that very many
+    lead to is broadcast."""
+    into = steps.groupBy("dst").agg(F.count("*").alias("n"))
+    further = steps.select(F.col("src").alias("dst"), F.col("dst").alias("next")).join(into, "dst")
+    return join_by_weight(steps, further, ["dst"], "n", steps.count()).select("src", F.col("next").alias("dst"))
+
+
+def found_cycles(edges: DataFrame) -> DataFrame:
+    """``start, length, place, node``: cycles of a graph of any size, a row for each
+    node of a cycle, numbered from its least node on.
+
+    In the core of a graph every node has a successor. If each goes to its least one,
+    all ways end in cycles, at least one for each component that has one, and none of
+    them shares a node. What lies on them is found by doubling steps: 2 ** k steps
+    from all nodes end in ever fewer, until the number stays. Least nodes and places
+    are found by doubling too, so rounds grow with the logarithm of the longest way.
+    Nulls are no nodes; repeated edges count once; a node that leads to itself, and
+    has no lesser successor, is a cycle of one.
+    """
+    steps = materialize(cyclic_core(edges).groupBy("src").agg(F.min("dst").alias("dst")), "steps")
+    far, n = steps, -1
+    while True:
+        ends = materialize(far.select(F.col("dst").alias("src")).distinct(), "ends")
+        k = ends.count()
+        if k == n or not k:
+            break
+        n = k
+        far = materialize(doubled(far.join(ends, "src", "left_semi")), "far")
+    on = materialize(steps.join(ends, "src", "left_semi"), "ring")
+    low = on.select("src", "dst", F.least("src", "dst").alias("low"))  # the least of the nodes from src to dst
+    moved = k
+    while moved:
+        low = materialize(low, "low")
+        other = low.select(F.col("src").alias("dst"), F.col("dst").alias("next"), F.col("low").alias("b_low"))
+        met = low.join(other, "dst")
+        moved = met.where("b_low < low").count()
+        low = met.select("src", F.col("next").alias("dst"), F.least("low", "b_low").alias("low"))
+    # from each node to the one that leads to the least: its distance there, from the end
+    ways = on.join(low.select("src", "low"), "src").select("src", "low", F.when(F.col("dst") != F.col("low"), F.col("dst")).alias("dst"), F.when(F.col("dst") != F.col("low"), 1).otherwise(0).cast("long").alias("left"))
+    going = k
+    while going:
+        ways = materialize(ways, "ways")
+        other = ways.select(F.col("src").alias("dst"), F.col("dst").alias("next"), F.col("left").alias("b_left"))
+        going = ways.where("dst IS NOT NULL").count()
+        ways = ways.join(other, "dst", "left").select("src", "low", F.col("next").alias("dst"), (F.col("left") + F.coalesce("b_left", F.lit(0))).alias("left"))
+    sizes = ways.where(F.col("src") == F.col("low")).select("low", (F.col("left") + 1).alias("length"))
+    return ways.join(sizes, "low").select(F.col("low").alias("start"), "length", (F.col("length") - 1 - F.col("left")).alias("place"), F.col("src").alias("node"))
+
+
 def mentions(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(doc_id, item_id) where a text of ``docs`` holds a passage whole.
 

@@ -109,6 +109,28 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(e, 4)
 
 
+#: What was ordered next, in amounts over 47: parts that lead to parts.
+LEADS_SQL = "l AS (SELECT l_partkey AS src, lead(l_partkey) OVER w AS dst, lead(l_quantity) OVER w AS q FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity)), e AS (SELECT DISTINCT src, dst FROM l WHERE q > 47 AND src IS NOT NULL AND dst IS NOT NULL)"
+#: Steps up to which the SQL follows ways; enough for the tables that it is held against.
+WAYS = 150
+
+
+def part_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")  # the lines of an order
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), F.lead("l_quantity").over(w).alias("q"))
+    return lines.where("q > 47").select("src", "dst")
+
+
+@R.add("dependency_cycles", f"""WITH RECURSIVE {LEADS_SQL}, a(k, x) AS (SELECT 0, src FROM e UNION SELECT k + 1, src FROM a JOIN e ON dst = x WHERE k < {WAYS}), b(k, x) AS (SELECT 0, dst FROM e UNION SELECT k + 1, dst FROM b JOIN e ON src = x WHERE k < {WAYS}),
+core AS (SELECT x FROM a WHERE k = {WAYS} INTERSECT SELECT x FROM b WHERE k = {WAYS}), f AS (SELECT src, min(dst) AS dst FROM e WHERE src IN (FROM core) AND dst IN (FROM core) GROUP BY src),
+r(k, x) AS (SELECT 0, src FROM f UNION SELECT k + 1, dst FROM r JOIN f ON src = x WHERE k < {WAYS}), c AS (SELECT x FROM r WHERE k = {WAYS}), p(start, place, node) AS (SELECT x, 0, x FROM c UNION ALL SELECT start, place + 1, dst FROM p JOIN f ON src = node WHERE dst <> start AND place < {WAYS})
+SELECT start, count(*) OVER (PARTITION BY start) AS length, place::BIGINT AS place, node FROM p QUALIFY min(node) OVER (PARTITION BY start) = start""")
+def dependency_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of parts that lead to each other in orders: each part that can reach a
+    cycle goes to the least part that can too; a row for each part of a cycle."""
+    return graph.found_cycles(part_leads(spark, sf_dir))
+
+
 @R.add("doc_series", "WITH d AS (SELECT p_partkey AS id, p_name || ' v' || (p_partkey % 4 + 1) || '.pdf' AS file FROM part), s AS (SELECT id, regexp_replace(file, '[ _-]*v[0-9]+\\.[a-z]+$', '') AS stem, CAST(regexp_extract(file, 'v([0-9]+)\\.[a-z]+$', 1) AS INTEGER) AS version FROM d) SELECT stem, count(*) AS n, arg_max(id, (version, id)) AS latest, max(version) AS version FROM s GROUP BY stem HAVING count(*) > 1")
 def doc_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of one document by the stem of their file names; whole groups."""
