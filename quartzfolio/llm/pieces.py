@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a batched Viterbi search in numpy.
 
-A text becomes words: runs of the blank sign with what follows them. Distinct
-words of equal length form a matrix and advance together, one code point at a
+A text becomes words: runs of the blank sign with what follows them, which letters
+and other signs share only if a piece has both. Distinct words of equal length form a matrix and advance together, one code point at a
 time. Hashes of all substrings that end there probe the sorted keys of the
 pieces, and a vectorised maximum stores the backpointer.
 
@@ -97,7 +97,13 @@ class Model:
         of_byte = {int(self.pieces[i][3:5], 16): i for i, t in enumerate(self.types.tolist()) if t == BYTE}
         self.bytes = [of_byte[b] for b in range(256)] if len(of_byte) == 256 else None
         self.line_alone = not any("\n" in p for p in symbols)
-        self.words = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n" if self.line_alone else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+        line = "\n" if self.line_alone else ""
+        digits = re.escape("".join(sorted({ch for p in symbols for ch in p if ch.isalnum() and not ch.isalpha()})))  # no letters, though words hold them
+        letter, sign = rf"[^\W\d_{digits}]", rf"[\W\d_{digits}]"
+        crossing = re.compile(f"{letter}(?!{BLANK}){sign}|(?!{BLANK}){sign}{letter}")
+        self.signs_alone = self.bytes is not None and not any(crossing.search(p) for p in symbols)
+        runs = [f"{letter}+", f"(?:(?![{BLANK}{line}]){sign})+"] if self.signs_alone else [f"[^{BLANK}{line}]+"]
+        self.words = re.compile("|".join([f"{BLANK}*{r}" for r in runs] + [f"{BLANK}+", *line]))
         if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in symbols):
             raise ValueError("a piece goes on over a blank; words can't be told apart")
         self.plain = [p.replace(BLANK, " ").encode() if t in (NORMAL, USER) else bytes([int(p[3:5], 16)]) if t == BYTE else " ⁇ ".encode() if t == UNKNOWN else b"" for p, t in zip(self.pieces, self.types.tolist(), strict=True)]

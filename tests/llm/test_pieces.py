@@ -83,3 +83,10 @@ def test_forgetting_changes_nothing(monkeypatch, pairs):
     fresh = pc.Encoder(pairs[0][0].m)
     texts = ["one two three four five six", "seven eight one two", "x" * 50]
     assert [fresh.encode([t])[0] for t in texts] == pairs[0][0].encode(texts)
+
+
+def test_words_end_between_letters_and_signs():
+    m = pc.load(PATH)
+    assert m.signs_alone and m.words.findall("▁ab,▁▁c1d\n▁") == ["▁ab", ",", "▁▁c", "1", "d", "\n", "▁"]
+    crossing = pc.Model(pc.BPE, [*m.pieces, "b,"], np.append(m.scores, -1.0), np.append(m.types, pc.NORMAL))
+    assert not crossing.signs_alone and crossing.words.findall("▁ab,") == ["▁ab,"]
