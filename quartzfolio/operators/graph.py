@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quartzfolio.operators.likeness import meet
 from quartzfolio.operators.references import holding
 from quartzfolio.operators.tables import join_by_weight, materialize
 
@@ -33,6 +36,60 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "id", "left").select("id", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
 
 
+def told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose id no other row has, and the others; null ids are in neither."""
+    n = rows.groupBy("id").agg(F.count("*").alias("_n")).where("id IS NOT NULL")
+    return (rows.join(n.where(w).select("id"), "id") for w in ("_n = 1", "_n > 1"))
+
+
+def agree(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"b_{k}")) & F.col(k).isNotNull() for k in keys))
+
+
+def repeats(single: DataFrame, several: DataFrame, detectors: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+    """``src, dst, kind`` once each, of pairs of which an id is in several rows."""
+    found = []
+    for kind, keys in detectors:
+        other = single.unionByName(several).select(F.col("id").alias("dst"), *keys)
+        found.append((kind, several.select(F.col("id").alias("src"), *keys).join(other, list(keys)).where("src <> dst")))
+    return first_detected(found)
+
+
+def agreeing_pairs(rows: DataFrame, detectors: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+    """``src, dst, kind``, once each (src < dst): rows (id, ...) that agree in all keys
+    of a detector (kind, keys); of a pair that several detect the first in order
+    stays. A pair is left out where an earlier detector has it, so pairs are not
+    shuffled; groups meet in blocks. There are as many as the answer has, which grows
+    with the square of a group."""
+    single, several = told_apart(rows)
+    out, before = repeats(single, several, detectors), []
+    for kind, keys in detectors:
+        whole = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+        met = meet(single.where(whole).withColumn("_key", F.struct(*keys)), "_key")
+        for earlier in before:
+            met = met.where(~agree(earlier))
+        out = out.unionByName(met.select(F.col("id").alias("src"), F.col("other").alias("dst"), F.lit(kind).alias("kind")))
+        before.append(keys)
+    return out
+
+
+def agreement_degrees(rows: DataFrame, detectors: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+    """``id, degree`` of each row: how many ends of ``agreeing_pairs`` it is, without
+    the pairs. Who agrees in one set of keys or in another is counted by sizes of
+    groups, those that agree in both taken off again."""
+    single, several = told_apart(rows)
+    ends, n = [], single.count()
+    for k in range(1, len(detectors) + 1):
+        for some in combinations(detectors, k):
+            keys = list(dict.fromkeys(c for _, own in some for c in own))
+            of = single.select("id", *keys).dropna(subset=keys)
+            sizes = of.groupBy(*keys).agg(F.count("*").alias("n"))
+            ends.append(join_by_weight(of, sizes, keys, "n", n).select("id", ((F.col("n") - 1) * (-1) ** (k + 1)).alias("n")))
+    ends.append(repeats(single, several, detectors).select(F.explode(F.array("src", "dst")).alias("id"), F.lit(1).cast("long").alias("n")))
+    total = reduce(DataFrame.unionByName, ends).groupBy("id").agg(F.sum("n").alias("degree"))
+    return rows.select("id").join(total, "id", "left").fillna(0, ["degree"])
+
+
 def cycles(edges: DataFrame, longest: int) -> DataFrame:
     """Simple cycles of at most ``longest`` edges (src, dst), each written from
     its least node. Paths grow by one join a step and never pass below their
