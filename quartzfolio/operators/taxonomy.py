@@ -24,8 +24,10 @@ def words(text: Column) -> Column:
 
 def index(codes: DataFrame) -> DataFrame:
     """``word, code, level, kind, size``: postings of codes (code, description,
-    service) by the words of their descriptions, ``size`` of them."""
-    of = codes.select("code", F.size(F.split("code", "[.]")).alias("level"), F.col("service").alias("kind"), words(F.col("description")).alias("w"))
+    service) by the words of their descriptions, ``size`` of them. Of codes that no
+    item can tell apart, with the same words, level and kind, the first stands."""
+    of = codes.select("code", F.size(F.split("code", "[.]")).alias("level"), F.col("service").alias("kind"), F.array_sort(words(F.col("description"))).alias("w"))
+    of = of.groupBy("w", "level", "kind").agg(F.min("code").alias("code"))
     return of.select("code", "level", "kind", F.size("w").alias("size"), F.explode("w").alias("word"))
 
 
