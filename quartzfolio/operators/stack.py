@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartzfolio.functions.numbers import half_up
@@ -42,6 +42,13 @@ LEGACY = {
 NEEDED = {"security": ("Identity & Access", "SIEM"), "infrastructure": ("Backup & DR", "Container Platform"), "integration": ("API Gateway",), "monitoring": ("Monitoring", "Log Management"), "devops": ("CI/CD",)}
 
 
+def able(text: Column) -> Column:
+    """What a text says an item can do, by a loop over the words; the text is made once."""
+    known = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(c).alias("name")) for c, ws in CAPABILITIES.items() for w in ws))
+    held = lambda t: F.transform(F.filter(known, lambda x: F.contains(t, x["word"])), lambda x: x["name"])
+    return F.array_distinct(F.get(F.transform(F.array(text), held), 0))
+
+
 def described(items: DataFrame) -> DataFrame:
     """Items with tier, capabilities, flags and the number of issues; in place."""
     text, tech, plain = (F.lower(F.concat_ws(" ", *cs)) for cs in (("name", "category", "description"), ("name", "description", "deployment"), ("name", "description")))
@@ -51,7 +58,7 @@ def described(items: DataFrame) -> DataFrame:
     issues = count(F.lower("name"), LEGACY) + sum((sure(x).cast("int") for x in (F.col("lifecycle_stage").isin("end_of_life", "decline"), F.col("status") == "deprecated", F.col("deployment").isin("on_premise", "legacy"))), F.lit(0))
     return items.withColumns({
         "tier": F.when(best["n"] > 0, best["t"]).when(F.contains(low("category"), F.lit("application")), "business").otherwise("infrastructure"),
-        "capabilities": F.array_compact(F.array(*(F.when(holds(text, ws), c) for c, ws in CAPABILITIES.items()))), "n_issues": issues,
+        "capabilities": able(text), "n_issues": issues,
         "modern": hosted | sure(F.col("lifecycle_stage").isin("growth", "introduction")) | (count(tech, MODERN) >= 2), "cloud_ready": hosted | holds(tech, CLOUD), "open_standards": holds(plain, OPEN),
     })
 
