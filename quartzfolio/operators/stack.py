@@ -70,7 +70,8 @@ def layers(described: DataFrame) -> DataFrame:
 
 def redundant(described: DataFrame) -> DataFrame:
     both, n = F.col("modern") & F.col("cloud_ready"), F.col("n")
-    g = described.select("tenant", "id", "modern", "cloud_ready", F.explode("capabilities").alias("capability")).groupBy("tenant", "capability")
+    each = described.select("tenant", "id", "modern", "cloud_ready", F.explode_outer("capabilities").alias("capability"))  # explode would make the array twice more, to look for empty ones
+    g = each.where("capability IS NOT NULL").groupBy("tenant", "capability")
     g = g.agg(F.count("*").alias("n"), F.coalesce(F.max(F.when(both, F.col("id"))), F.min(F.when(F.col("modern"), F.col("id"))), F.min("id")).alias("kept")).where("n > 1")
     return g.withColumn("effort", F.when(n > 3, "high").when(n > 2, "medium").otherwise("low"))
 
