@@ -6,7 +6,7 @@ new, confidence); a row has an array of each, so that nothing is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,14 +99,23 @@ def fixes() -> Column:
     return kept(*enums, *(fix(f, F.substring(f, 1, most)) for f, _, _, most in LENGTHS if most < 10**9 and f != "name"))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once, however often it is used there."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def nearest_category(category: Column) -> tuple[Column, Column]:
     """Name and likeness (length against length) of the nearest category that
     holds this one or is held by it; the first of equals."""
-    c = F.trim(F.regexp_replace(F.lower(category), r"[\s-]", "_"))
-    size = lambda a: F.least(F.length(a), F.length(c)) / F.greatest(F.length(a), F.length(c))
-    options = F.array(*(F.struct(F.when(F.contains(F.lit(a), c) | F.contains(c, F.lit(a)), size(F.lit(a))).otherwise(0.0).alias("s"), F.lit(-i).alias("o"), F.lit(a).alias("a")) for i, a in enumerate(CATEGORIES)))
-    best = F.array_max(options)
-    return F.when(c.isin(*CATEGORIES), c).otherwise(best["a"]), F.when(c.isin(*CATEGORIES), 1.0).otherwise(best["s"])
+    known = F.array(*(F.struct(F.lit(-i).alias("o"), F.lit(a).alias("a")) for i, a in enumerate(CATEGORIES)))
+
+    def nearest(c: Column) -> Column:
+        size = lambda a: F.least(F.length(a), F.length(c)) / F.greatest(F.length(a), F.length(c))
+        option = lambda k: F.struct(F.when(F.contains(k["a"], c) | F.contains(c, k["a"]), size(k["a"])).otherwise(0.0).alias("s"), k["o"].alias("o"), k["a"].alias("a"))
+        return F.array_max(F.transform(known, option))  # a category itself has 1
+
+    best = once(F.trim(F.regexp_replace(F.lower(category), r"[\s-]", "_")), nearest)
+    return best["a"], best["s"]
 
 
 def guardian_issues() -> Column:
@@ -144,7 +153,7 @@ def guardian_corrections() -> Column:
     vendor = F.try_element_at(names(VENDORS), F.lower(F.trim("vendor")))
     return kept(
         fix(~empty("budget") & (number != ""), "budget", number, F.lit(0.95)), fix(~empty("type") & ~kind.isin(*TYPES) & guess.isNotNull(), "type", guess, F.lit(0.8)), fix(vendor.isNotNull(), "vendor", vendor, F.lit(0.95)),
-        fix(c("vendor") != F.trim("vendor"), "vendor", F.trim("vendor"), F.lit(1.0)), fix(~empty("category") & (near > 0.5) & (near < 1), "category", name, near),
+        fix(c("vendor") != F.trim("vendor"), "vendor", F.trim("vendor"), F.lit(1.0)), once(F.struct(name.alias("name"), near.alias("near")), lambda n: fix(~empty("category") & (n["near"] > 0.5) & (n["near"] < 1), "category", n["name"], n["near"])),
     )
 
 
