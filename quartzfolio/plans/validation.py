@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzfolio.operators import validation as va
+from quartzfolio.operators.tables import spread
 from quartzfolio.plans.common import Registry, r, rounded, table
 from quartzfolio.plans.portfolio import case
 
@@ -33,7 +34,7 @@ RAW_SQL = "raw AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in RAW.items()) +
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr(*(f"{e} AS {n}" for n, e in RAW.items()))
+    return spread(table(spark, sf_dir, "part")).selectExpr(*(f"{e} AS {n}" for n, e in RAW.items()))
 
 
 def words(of) -> str:
@@ -161,7 +162,7 @@ def field_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the fields that have an issue."""
     rows = raw(spark, sf_dir).select("id", va.guardian_issues().alias("i"))
     fields = F.array_distinct(F.transform("i", lambda x: x["field"]))
-    each = rows.select("id", "i", F.explode(fields).alias("field"))
+    each = rows.select("id", "i", F.explode_outer(fields).alias("field")).where("field IS NOT NULL")  # explode would make the issues again, to look for empty ones
     costs = va.names({k: str(v) for k, v in va.FIELD_COST.items()})
     lost = F.aggregate("i", F.lit(0), lambda s, x: s + F.when(x["field"] == F.col("field"), F.element_at(costs, x["severity"]).cast("int")).otherwise(0))
     return each.select("id", "field", F.greatest(F.lit(0), 100 - lost).alias("score"))
