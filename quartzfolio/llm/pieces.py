@@ -1,15 +1,18 @@
 """SentencePiece encoding and decoding by a batched Viterbi search in numpy.
 
 A text becomes words: runs of the blank sign with what follows them, which letters
-and other signs share only if a piece has both. Distinct words of equal length form a matrix and advance together, one code point at a
-time. Hashes of all substrings that end there probe the sorted keys of the
+and other signs share only if a piece has both. Where they don't, words of Latin-1
+texts are found by numpy, many texts at once, and those of up to sixteen signs are
+their own keys in a hash table that the worker keeps; other texts are split by a
+regular expression. Distinct words of equal length form a matrix and advance
+together, one code point at a time. Hashes of all substrings that end there probe the sorted keys of the
 pieces, and a vectorised maximum stores the backpointer.
 
 In a unigram model the maximum is of summed scores. In a byte-pair model the
 path must be the one that merging would give. That holds exactly if any two
 neighbours on the path, merged on their own, come out as those two pieces, so a
-table of such neighbours (filled as needed, by merging batches of pairs) admits
-or forbids every step, and a single path is left. Ids are those of the
+table of such neighbours (of fixed size, filled by undoing the merges at the seam
+of batches of pairs) admits or forbids every step, and a single path is left. Ids are those of the
 sentencepiece library for both kinds of model.
 
 Defined results. Null text: null ids (and null again when decoded). Empty text:
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartzfolio.llm.common import Remembered, kept_by_worker, mix64
+from quartzfolio.llm.tokens import FIRST, LONGEST, WordTable
 
 BLANK = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C55)
@@ -41,12 +46,13 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 FILTER_BITS, SLOT_BITS = 20, 20
 NEVER = np.int64(2**62)
-#: Neighbours that a worker keeps (18 bytes each); beyond that it starts anew.
-MOST_NEAR = 2_000_000
 #: Words that a worker remembers, twice; longer words aren't kept.
 REMEMBERED, LONGEST_KEPT = 300_000, 40
 #: Rows of a matrix, and the size beyond which it is split.
 MOST_ROWS, MOST_CELLS = 20_000, 2_000_000
+#: Kinds of signs; bytes of texts, and words, that are looked up at once.
+SPACE, LINE, LETTER, SIGN = range(4)
+TOGETHER, MOST_WORDS = 2_000_000, 1 << 18
 
 
 def rolling(c: np.ndarray) -> np.ndarray:
@@ -102,6 +108,8 @@ class Model:
         letter, sign = rf"[^\W\d_{digits}]", rf"[\W\d_{digits}]"
         crossing = re.compile(f"{letter}(?!{BLANK}){sign}|(?!{BLANK}){sign}{letter}")
         self.signs_alone = self.bytes is not None and not any(crossing.search(p) for p in symbols)
+        self.by_kind = self.signs_alone and self.line_alone
+        self.kinds = np.array([{" ": SPACE, "\n": LINE}.get(chr(c), LETTER if re.match(letter, chr(c)) else SIGN) for c in range(256)], np.uint8)
         runs = [f"{letter}+", f"(?:(?![{BLANK}{line}]){sign})+"] if self.signs_alone else [f"[^{BLANK}{line}]+"]
         self.words = re.compile("|".join([f"{BLANK}*{r}" for r in runs] + [f"{BLANK}+", *line]))
         if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in symbols):
@@ -131,12 +139,15 @@ class Model:
         out[maybe[hit]] = self.key_ids[at[hit]]
         return out
 
-    def merged(self, symbols: np.ndarray) -> np.ndarray:
+    def merged(self, symbols: np.ndarray, halves: np.ndarray | None = None) -> np.ndarray:
         """Rows of symbols (padded with -1) after all merges, best first and
-        leftmost among equals."""
+        leftmost among equals. ``halves`` is given the two symbols before the last
+        merge of rows that come down to two."""
         out = symbols.copy()
         live, s = np.arange(len(symbols)), symbols.copy()
         while len(live) and s.shape[1] > 1:
+            if s.shape[1] == 2 and halves is not None:
+                halves[live] = s
             key = np.where((s[:, 1:] >= 0) & (s[:, :-1] >= 0), s[:, :-1] << 32 | s[:, 1:], -2)
             at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
             rank = np.where(self.pair_keys[at] == key, self.pair_ranks[at], NEVER)
@@ -160,11 +171,69 @@ class Encoder:
     def __init__(self, model: Model) -> None:
         self.m = model
         self.known: Remembered = Remembered(REMEMBERED)
-        self.near_keys = np.array([-1], np.int64)
-        self.near_ok = np.array([False])
+        self.short = WordTable(most=2 * REMEMBERED)
         self.slot_keys, self.slot_ok = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, bool)
         names = {i: s for s, i in model.symbols.items()}
         self.chars_of = {i: [model.symbols[ch] for ch in s] for i, s in names.items()}
+        if model.kind == BPE:
+            self.grow_trees()
+
+    def grow_trees(self) -> None:
+        """Of each symbol whether merging makes it (``stable``), from which two
+        (``halves``; -1: a code point), at which rank (-1 then), and whether ranks
+        only grow on the way (``sorted``)."""
+        m = self.m
+        n = len(m.weight)
+        self.stable, self.halves = np.ones(n, bool), np.full((n, 2), -1, np.int64)
+        by_size: dict[int, list[int]] = {}
+        for i in m.usable:
+            by_size.setdefault(len(self.chars_of[i]), []).append(i)
+        for size, ids in by_size.items():
+            halves = np.full((len(ids), 2), -1, np.int64)
+            got = m.merged(np.array([self.chars_of[i] for i in ids], np.int64), halves)
+            self.stable[ids] = (got[:, 0] == ids) & ((got[:, 1] == -1) if size > 1 else True)
+            self.halves[ids] = halves
+        self.halves[~self.stable] = -1
+        self.made = np.full(n, -1, np.int64)
+        whole = np.flatnonzero(self.halves[:, 0] >= 0)
+        self.made[whole] = self.rank_of(self.halves[whole, 0], self.halves[whole, 1])
+        self.sorted = self.stable.copy()
+        for i in whole[np.argsort(m.sizes[whole], kind="stable")].tolist():  # halves are shorter
+            a, b = self.halves[i].tolist()
+            self.sorted[i] = self.sorted[a] and self.sorted[b] and self.made[i] > max(self.made[a], self.made[b])
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of two symbols, ``NEVER`` if there is none."""
+        m, key = self.m, left << 32 | right
+        at = np.minimum(np.searchsorted(m.pair_keys, key), len(m.pair_keys) - 1)
+        return np.where(m.pair_keys[at] == key, m.pair_ranks[at], NEVER)
+
+    def stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether two symbols, merged on their own, stay these two. Where ranks only
+        grow, merges go by rank, so only those at the seam count, which are undone
+        from the last one: two symbols that meet there merge if that comes before the
+        next merge that takes one of them; of equal ranks the left one comes first."""
+        ok = np.ones(len(left), bool)
+        plain = self.sorted[left] & self.sorted[right]
+        live, a, b = np.flatnonzero(plain), left[plain], right[plain]
+        limit = np.full(len(live), NEVER)
+        while len(live):
+            apart = self.rank_of(a, b) >= limit
+            ok[live[~apart]] = False
+            go = apart & ((self.made[a] >= 0) | (self.made[b] >= 0))
+            live, a, b = live[go], a[go], b[go]
+            first = self.made[a] > self.made[b]
+            limit = np.where(first, self.made[a], self.made[b] + 1)
+            a, b = np.where(first, self.halves[a, 1], a), np.where(first, b, self.halves[b, 0])
+        rest = np.flatnonzero(~plain)
+        by_size: dict[int, list[int]] = {}
+        chars = {i: [*self.chars_of[int(left[i])], *self.chars_of[int(right[i])]] for i in rest.tolist()}
+        for i, x in chars.items():
+            by_size.setdefault(len(x), []).append(i)
+        for n, rows in by_size.items():
+            got = self.m.merged(np.array([chars[i] for i in rows], np.int64))
+            ok[rows] = (got[:, 0] == left[rows]) & (got[:, 1] == right[rows]) & ((got[:, 2] == -1) if n > 2 else True)
+        return ok
 
     def neighbours(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether two symbols, merged on their own, stay these two."""
@@ -175,31 +244,13 @@ class Encoder:
         if hit.all():
             return out
         rest = np.flatnonzero(~hit)
-        out[rest] = self.looked_up(key[rest])
-        self.slot_keys[slot[rest]], self.slot_ok[slot[rest]] = key[rest], out[rest]
+        new, which = np.unique(key[rest], return_inverse=True)
+        out[rest] = self.stay_apart(new >> 32, new & 0xFFFFFFFF)[which]
+        self.slot_keys[slot[rest]] = key[rest]
+        kept = self.slot_keys[slot[rest]] == key[rest]  # of two keys in one slot the last
+        self.slot_ok[slot[rest[kept]]] = out[rest[kept]]
         return out
 
-    def looked_up(self, key: np.ndarray) -> np.ndarray:
-        """The same from the table of all pairs met so far, which grows by new ones."""
-        wanted = np.unique(key)
-        at = np.minimum(np.searchsorted(self.near_keys, wanted), len(self.near_keys) - 1)
-        new = wanted[self.near_keys[at] != wanted]
-        if len(new):
-            chars = [[*self.chars_of[k >> 32], *self.chars_of[k & 0xFFFFFFFF]] for k in new.tolist()]
-            sizes = np.array(list(map(len, chars)))
-            ok = np.zeros(len(new), bool)
-            for n in np.unique(sizes).tolist():
-                rows = np.flatnonzero(sizes == n)
-                got = self.m.merged(np.array([chars[i] for i in rows.tolist()], np.int64))
-                ok[rows] = (got[:, 0] == new[rows] >> 32) & (got[:, 1] == (new[rows] & 0xFFFFFFFF)) & ((got[:, 2] == -1) if n > 2 else True)
-            if len(self.near_keys) + len(new) > MOST_NEAR:
-                kept = np.isin(self.near_keys, wanted)  # those of this call
-                kept[0] = True
-                self.near_keys, self.near_ok = self.near_keys[kept], self.near_ok[kept]
-            at = np.searchsorted(self.near_keys, new)
-            self.near_keys, self.near_ok = np.insert(self.near_keys, at, new), np.insert(self.near_ok, at, ok)
-        return self.near_ok[np.searchsorted(self.near_keys, key)]
-
     def paths(self, words: list[str]) -> list[bytes]:
         """Ids of words of one length."""
         m, n, size = self.m, len(words), len(words[0])
@@ -220,7 +271,7 @@ class Encoder:
             if (m.sizes[t] != k).any():  # a hash of another length
                 rows, t, k = (x[m.sizes[t] == k] for x in (rows, t, k))
             if m.kind == BPE:  # one way at most is admitted
-                ok = self.reachable(t)
+                ok = self.stable[t]
                 before = last[rows, i - k]
                 check = np.flatnonzero(ok & (before >= 0))
                 ok[check] = self.neighbours(before[check], t[check])
@@ -254,18 +305,6 @@ class Encoder:
             out[i] = np.array(self.ids(words[i], symbol[ends[i - 1] if i else 0 : ends[i]].tolist()), "<u4").tobytes()
         return out
 
-    def reachable(self, symbols: np.ndarray) -> np.ndarray:
-        """Whether merging makes these symbols from their code points."""
-        if not hasattr(self, "stable"):
-            self.stable = np.ones(len(self.m.weight), bool)
-            by_size: dict[int, list[int]] = {}
-            for i in self.m.usable:
-                by_size.setdefault(len(self.chars_of[i]), []).append(i)
-            for size, ids in by_size.items():
-                got = self.m.merged(np.array([self.chars_of[i] for i in ids], np.int64))
-                self.stable[ids] = (got[:, 0] == ids) & ((got[:, 1] == -1) if size > 1 else True)
-        return self.stable[symbols]
-
     def ids(self, word: str, path: list[int]) -> list[int]:
         """Ids of a path; where it has no piece (-1 stands for an unknown code
         point), bytes or the unknown piece."""
@@ -281,26 +320,105 @@ class Encoder:
             at += size
         return out
 
-    def learn(self, words: set[str]) -> None:
+    def matrices(self, words: Iterable[str]) -> Iterator[tuple[list[str], list[bytes]]]:
+        """Words with their ids, in parts of one length."""
         by_size: dict[int, list[str]] = {}
         for w in words:
             by_size.setdefault(len(w), []).append(w)
         for size, group in sorted(by_size.items()):
             step = max(1, min(MOST_ROWS, MOST_CELLS // size))
             for a in range(0, len(group), step):
-                part = group[a : a + step]
-                self.known.update(zip(part, self.paths(part), strict=True))
+                yield group[a : a + step], self.paths(group[a : a + step])
 
-    def encode(self, texts: list[str | None]) -> list[bytes | None]:
-        split = [self.m.words.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+    def of_words(self, split: list[list[str]]) -> list[bytes]:
+        """Ids of texts that are lists of words."""
         missing = self.known.missing(set().union(*split))
-        self.learn(missing)
+        for words, ids in self.matrices(missing):
+            self.known.update(zip(words, ids, strict=True))
         get = self.known.__getitem__
-        out = [None if t is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+        out = [b"".join(map(get, words)) for words in split]
         for w in [w for w in missing if len(w) > LONGEST_KEPT]:
             del self.known[w]
         return out
 
+    def of_keys(self, raw: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of Latin-1 text, one after another, and how many each has."""
+        known, blanks = self.short, raw.decode("latin-1").replace(" ", BLANK)
+        eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        low = eight[starts] & FIRST[np.minimum(lengths, 8)]
+        high = np.zeros(len(starts), np.uint64)
+        over = np.flatnonzero(lengths > 8)
+        high[over] = eight[starts[over] + 8] & FIRST[np.minimum(lengths[over] - 8, 8)]
+        hashed = known.home(low, high)
+        slots = known.find(low, high, hashed)
+        long = np.flatnonzero(lengths > LONGEST)
+        slots[long] = 0
+        while len(missing := np.flatnonzero(slots < 0)):
+            new = missing[np.unique(hashed[missing], return_index=True)[1]]
+            if known.words + len(new) > known.most and known.words:
+                known.clear()
+                slots[:] = -1
+                slots[long] = 0
+                continue
+            at = {blanks[s : s + n]: i for i, s, n in zip(new.tolist(), starts[new].tolist(), lengths[new].tolist(), strict=True)}
+            for words, ids in self.matrices(at):
+                i = np.array([at[w] for w in words])
+                known.insert(low[i], high[i], hashed[i], np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids]))
+            slots[missing] = known.find(low[missing], high[missing], hashed[missing])
+        begins, sizes = known.begin[slots], known.size[slots]
+        if len(long):
+            ids = self.of_words([[blanks[s : s + n]] for s, n in zip(starts[long].tolist(), lengths[long].tolist(), strict=True)])
+            n = np.array([len(x) // 4 for x in ids])
+            begins[long], sizes[long] = known.append(np.frombuffer(b"".join(ids), "<u4")) + np.cumsum(n) - n, n
+        ends = np.cumsum(sizes)
+        return known.ids[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1])], sizes
+
+    def latin(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of Latin-1 texts that aren't empty and have no null sign."""
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        raw = b" " + b" ".join(texts)
+        kind = self.m.kinds[np.frombuffer(raw, np.uint8)]
+        edge, here, before = np.ones(len(raw), bool), kind[1:], kind[:-1]
+        edge[1:] = (here == LINE) | (before == LINE) | (before != SPACE) & (here != before)
+        edge[ends[:-1]] = True  # the blank before each text
+        starts = np.flatnonzero(edge)
+        lengths = np.diff(starts, append=len(raw))
+        parts, sizes = [], []
+        for a in range(0, len(starts), MOST_WORDS):
+            s, n = starts[a : a + MOST_WORDS], lengths[a : a + MOST_WORDS]
+            ids, k = self.of_keys(raw[s[0] : s[-1] + n[-1]] + b" " * LONGEST, s - s[0], n)
+            parts.append(ids.astype("<u4").tobytes())
+            sizes.append(k)
+        upto = 4 * np.cumsum(np.concatenate(sizes))[np.searchsorted(starts, ends) - 1]
+        flat = b"".join(parts)
+        return [flat[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
+
+    def encode(self, texts: list[str | None]) -> list[bytes | None]:
+        out: list[bytes | None] = [None if t is None else b"" for t in texts]
+        rest, batch, size = [], {}, 0
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            try:
+                raw = t.encode("latin-1") if self.m.by_kind and "\0" not in t else None
+            except UnicodeEncodeError:
+                raw = None
+            if raw is None:
+                rest.append(i)
+                continue
+            batch[i] = raw
+            size += len(raw)
+            if size > TOGETHER:
+                for k, ids in zip(batch, self.latin(list(batch.values())), strict=True):
+                    out[k] = ids
+                batch, size = {}, 0
+        for k, ids in zip(batch, self.latin(list(batch.values())) if batch else (), strict=True):
+            out[k] = ids
+        split = [self.m.words.findall(BLANK + texts[i].replace(" ", BLANK)) for i in rest]
+        for i, ids in zip(rest, self.of_words(split), strict=True):
+            out[i] = ids
+        return out
+
 
 def load(path: str) -> Model:
     """Read a model file. Only the identity normaliser is supported, with the

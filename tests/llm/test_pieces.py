@@ -90,3 +90,67 @@ def test_words_end_between_letters_and_signs():
     assert m.signs_alone and m.words.findall("▁ab,▁▁c1d\n▁") == ["▁ab", ",", "▁▁c", "1", "d", "\n", "▁"]
     crossing = pc.Model(pc.BPE, [*m.pieces, "b,"], np.append(m.scores, -1.0), np.append(m.types, pc.NORMAL))
     assert not crossing.signs_alone and crossing.words.findall("▁ab,") == ["▁ab,"]
+
+
+LATIN = st.text(alphabet=st.one_of(st.sampled_from("abethrsin  \n\t.,!_|0²×é"), st.characters(max_codepoint=255)), max_size=60)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), LATIN), max_size=8))
+def test_latin_texts_together(pairs, texts):
+    for ours, theirs in pairs[:1]:
+        got = ours.encode(texts)
+        assert [None if x is None else np.frombuffer(x, "<u4").tolist() for x in got] == [None if t is None else theirs.encode(t) for t in texts]
+    unigram = pairs[1][0]
+    assert [x for x, t in zip(unigram.encode(texts), texts, strict=True) if t] == unigram.of_words([unigram.m.words.findall(pc.BLANK + t.replace(" ", pc.BLANK)) for t in texts if t])
+
+
+def test_latin_texts_are_split_without_the_expression(monkeypatch, pairs):
+    ours = pc.Encoder(pairs[0][0].m)
+    texts = [f"Some words, çà et là {i}!!\n  more_of them " + "-" * i for i in range(40)]
+    merged = []
+    monkeypatch.setattr(pc.Model, "merged", lambda self, x, *y: merged.append(len(x)))
+    monkeypatch.setattr(ours.m, "words", None)
+    monkeypatch.setattr(ours, "of_words", lambda split: [np.array(pairs[0][1].encode("x")).astype("<u4").tobytes() for _ in split])  # of more than sixteen signs
+    short = texts[:15]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ours.encode(short)] == [pairs[0][1].encode(t) for t in short]
+    assert len(ours.encode(texts)) == 40 and sum(merged) == 0
+
+
+@pytest.mark.parametrize("words", [1, 3, 1 << 19])
+def test_small_tables_and_parts_change_nothing(monkeypatch, pairs, words):
+    monkeypatch.setattr(pc, "MOST_WORDS", words)
+    monkeypatch.setattr(pc, "TOGETHER", 30)
+    monkeypatch.setattr(pc, "REMEMBERED", 2)
+    texts = ["one two three four five six", None, "", "seven eight one two", " \n ", "y" * 50 + " one", "one \x00 two", "one ▁ two", "a" * 16 + " " + "b" * 17, "ÿ" * 3000]
+    fresh, theirs = pc.Encoder(pairs[0][0].m), pairs[0][1]
+    want = [None if t is None else theirs.encode(t) for t in texts]
+    for _ in range(2):
+        assert [None if x is None else np.frombuffer(x, "<u4").tolist() for x in fresh.encode(texts)] == want
+
+
+@pytest.mark.parametrize("ranks", [1, 7, 10_000])
+def test_neighbours_stay_apart_as_merging_says(ranks):
+    """Also in models whose ranks are tied, or where a piece comes before its parts."""
+    rng = np.random.default_rng(ranks)
+    pieces = ["a", "b", "c"] + sorted({"".join(rng.choice(list("abc"), n)) for n in rng.integers(2, 6, 90).tolist()})
+    m = pc.Model(pc.BPE, pieces, -rng.integers(0, ranks, len(pieces)).astype(float), np.full(len(pieces), pc.NORMAL))
+    e = pc.Encoder(m)
+    made = np.flatnonzero(e.stable)
+    left, right = (x.ravel() for x in np.meshgrid(made, made))
+    want = []
+    for a, b in zip(left.tolist(), right.tolist(), strict=True):
+        got = m.merged(np.array([[*e.chars_of[a], *e.chars_of[b]]], np.int64))[0]
+        want.append(got[got >= 0].tolist() == [a, b])
+    assert e.stay_apart(left, right).tolist() == want
+    assert ranks == 1 or (any(want) and 0 < e.sorted.sum() < len(pieces))
+
+
+def test_neighbours_of_a_trained_model_are_found_without_merging(monkeypatch, pairs):
+    ours = pc.Encoder(pairs[0][0].m)
+    made = np.array([i for i in ours.m.usable if ours.sorted[i]])
+    assert len(made) > 0.99 * len(ours.m.usable)
+    left, right = np.random.default_rng(6).choice(made, (2, 3000))
+    got = ours.stay_apart(left, right)
+    monkeypatch.setattr(ours, "sorted", np.zeros(len(ours.sorted), bool))
+    assert ours.stay_apart(left, right).tolist() == got.tolist() and 0 < got.mean() < 1
