@@ -9,9 +9,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quartzfolio.operators.likeness import meet
 from quartzfolio.operators.references import holding
-from quartzfolio.operators.tables import join_by_weight, materialize
+from quartzfolio.operators.tables import join_by_weight, materialize, shuffled
+
+#: Rows of a group that stand in one array and are met by others one after another.
+BLOCK = 2000
 
 
 def equal_pairs(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -42,8 +44,8 @@ def told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (rows.join(n.where(w).select("id"), "id") for w in ("_n = 1", "_n > 1"))
 
 
-def agree(keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"b_{k}")) & F.col(k).isNotNull() for k in keys))
+def agree(keys: Sequence[str], other: str) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{other}{k}")) & F.col(k).isNotNull() for k in keys))
 
 
 def repeats(single: DataFrame, several: DataFrame, detectors: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
@@ -55,20 +57,40 @@ def repeats(single: DataFrame, several: DataFrame, detectors: Sequence[tuple[str
     return first_detected(found)
 
 
+def block_pairs(rows: DataFrame, keys: Sequence[str], before: Sequence[Sequence[str]], total: int) -> DataFrame:
+    """``src, dst`` (src < dst) of rows (id: distinct, ...), ``total`` at most, with equal
+    ``keys``, none null, that do not agree in all of one of the sets of keys ``before``.
+    A group is cut into blocks by a hash of the id; a block is one array, which each row
+    of it and of the blocks before it walks through, so that each two rows meet once.
+    Work goes by pairs, not by bytes, so tasks are many and not gathered."""
+    others = [[k for k in earlier if k not in keys] for earlier in before]
+    if not all(others):
+        return rows.select(F.col("id").alias("src"), F.col("id").alias("dst")).where(F.lit(False))  # all these agree before
+    more = list(dict.fromkeys(k for of in others for k in of))
+    marks = [F.xxhash64(*of).alias(f"_h{i}") for i, of in enumerate(others)]  # cheaper to compare than texts
+    own = rows.dropna(subset=list(keys))
+    cut = join_by_weight(own, own.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1"), keys, "_n", total).select("id", *keys, *more, *marks, F.ceil(F.col("_n") / BLOCK).cast("int").alias("_m"))
+    cut = cut.withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_m")).cast("int"))
+    held = ["id", *more, *(f"_h{i}" for i in range(len(others)))]
+    where, tasks = [*keys, "_j"], 16 * rows.sparkSession.sparkContext.defaultParallelism
+    blocks = cut.groupBy(*keys, F.col("_b").alias("_j")).agg(F.collect_list(F.struct(*held)).alias("_block")).repartition(tasks, *where)
+    walks = cut.withColumn("_j", F.explode(F.sequence(F.col("_b"), F.col("_m") - 1))).repartition(tasks, *where)
+    met = walks.join(shuffled(blocks), where).select("_b", "_j", *held, F.explode("_block").alias("x")).where((F.col("_b") != F.col("_j")) | (F.col("id") < F.col("x.id")))
+    for i, of in enumerate(others):
+        met = met.where((F.col(f"_h{i}") != F.col(f"x._h{i}")) | ~agree(of, "x."))
+    return met.select(F.least("id", "x.id").alias("src"), F.greatest("id", "x.id").alias("dst"))
+
+
 def agreeing_pairs(rows: DataFrame, detectors: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
     """``src, dst, kind``, once each (src < dst): rows (id, ...) that agree in all keys
     of a detector (kind, keys); of a pair that several detect the first in order
     stays. A pair is left out where an earlier detector has it, so pairs are not
     shuffled; groups meet in blocks. There are as many as the answer has, which grows
     with the square of a group."""
-    single, several = told_apart(rows)
-    out, before = repeats(single, several, detectors), []
+    single, several = (materialize(part, "rows") for part in told_apart(rows))
+    out, before, total = repeats(single, several, detectors), [], single.count()
     for kind, keys in detectors:
-        whole = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
-        met = meet(single.where(whole).withColumn("_key", F.struct(*keys)), "_key")
-        for earlier in before:
-            met = met.where(~agree(earlier))
-        out = out.unionByName(met.select(F.col("id").alias("src"), F.col("other").alias("dst"), F.lit(kind).alias("kind")))
+        out = out.unionByName(block_pairs(single, keys, before, total).withColumn("kind", F.lit(kind)))
         before.append(keys)
     return out
 
